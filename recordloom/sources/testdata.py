@@ -23,9 +23,12 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
-def applicant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fact table ``applicant`` from orders x customer (one row per order)."""
-    o = table(spark, sf_dir, "orders")
+def applicant(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """Fact table ``applicant`` from orders x customer (one row per order).
+
+    ``orders`` may be a micro-batch of the orders table (streaming pick-up).
+    """
+    o = orders if orders is not None else table(spark, sf_dir, "orders")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
     k = F.col("o_orderkey")
@@ -181,7 +184,10 @@ def processing_sheet(spark: SparkSession, sf_dir: str, year: int, dirty: bool =
         )
     return j.select(
         fn.alias("File_Number"),
-        F.concat(_s(k + 1), F.lit("/"), F.lit(str(year))).alias("Serial"),
+        # Every 103rd serial reuses the previous number with last year's suffix,
+        # so two rows share the prefix a per-record document is named by.
+        F.when(k % 103 == 2, F.concat(_s(k), F.lit("/"), F.lit(str(year - 1))))
+        .otherwise(F.concat(_s(k + 1), F.lit("/"), F.lit(str(year)))).alias("Serial"),
         F.upper("c_name").alias("Name"),
         F.when(F.col("o_custkey") % 2 == 0, F.lit("M")).otherwise(F.lit("F")).alias("Sex"),
         F.concat(F.date_format(F.date_sub(reg, 10), "dd/MM/yyyy"), F.lit(", "),
