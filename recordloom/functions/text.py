@@ -62,7 +62,7 @@ def format_date(x: str | Column) -> Column:
 def parse_date(x: str | Column, formats: Iterable[str] = SHEET_DATE_FORMATS) -> Column:
     """Text in any of ``formats`` -> date; anything else -> NULL (never raises)."""
     s = _c(x).cast("string")
-    return F.coalesce(*[F.try_to_date(s, F.lit(f)) for f in formats])
+    return F.coalesce(*[F.try_to_date(s, f) for f in formats])
 
 
 def parse_format_date(x: str | Column, dtype: str = "string",

@@ -171,12 +171,12 @@ def _violations(fact: DataFrame, dim: DataFrame, fk: str, check: str, key: str,
     d, _ = sized_broadcast(dim.select(fk))
     nonnull = fact.filter(F.col(fk).isNotNull())
     orphans = nonnull.join(d, fk, "left_anti").select(
-        F.lit(check).alias("check"), F.col(key).alias("record_key"),
+        F.lit(check).alias("check_name"), F.col(key).alias("record_key"),
         F.concat(F.lit(f"{fk}="), F.col(fk)).alias("detail"))
     if allow_null:
         return orphans
     nulls = fact.filter(F.col(fk).isNull()).select(
-        F.lit(check).alias("check"), F.col(key).alias("record_key"), F.lit(f"{fk} is NULL").alias("detail"))
+        F.lit(check).alias("check_name"), F.col(key).alias("record_key"), F.lit(f"{fk} is NULL").alias("detail"))
     return orphans.unionByName(nulls)
 
 
@@ -184,7 +184,7 @@ def dq_orphans(fact: DataFrame, state: DataFrame, ministry: DataFrame, authority
                key: str = "file_number") -> DataFrame:
     """OP-57: foreign-key violations (state mandatory; parent and authority when not NULL).
 
-    Output ``check, record_key, detail``. Dimensions are broadcast only after
+    Output ``check_name, record_key, detail``. Dimensions are broadcast only after
     a size check; the parent table joins by AQE-planned anti join.
     """
     return (_violations(fact, state, "state_code", "fk_state", key, allow_null=False)

@@ -6,6 +6,13 @@ key, so even a hot leading value is split across tasks, numbers rows inside
 each partition, and adds the row count of all earlier partitions. The offset
 table has one row per partition, a size fixed by the caller, so broadcasting
 it is safe.
+
+The range-partitioned rows are checkpointed (reliable checkpoint in the
+shared ``spark.checkpoint.dir``) before they are counted: a range
+partitioner samples its bounds per plan, so two plan branches over the same
+input could split it differently. Reading one materialised copy keeps the
+counts and the numbered rows consistent, and a lost executor re-reads the
+checkpoint instead of re-sampling.
 """
 
 from __future__ import annotations
@@ -15,6 +22,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _PART_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row position
 
 
@@ -37,9 +46,11 @@ def dense_record_number(df: DataFrame, order_cols: Sequence[str | Column], rn: s
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     # Explicit partition count: AQE leaves this shuffle's partitions alone, so
     # the partition index seen by monotonically_increasing_id is stable.
+    ensure_checkpoint_dir(df.sparkSession)
     tagged = (df.repartitionByRange(n, *cols)
                 .sortWithinPartitions(*cols)
                 .withColumn("__mid", F.monotonically_increasing_id())
+                .checkpoint(eager=True)
                 .withColumn("__part", F.shiftright(F.col("__mid"), _PART_SHIFT)))
     counts = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__cnt"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
