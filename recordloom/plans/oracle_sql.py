@@ -116,7 +116,8 @@ def intake(state_codes, authority_texts, na_tokens: bool = False) -> str:
     CASE WHEN l_orderkey % 10 = 3 THEN {missing} ELSE l_linestatus END AS Address_line_2,
     concat('street ', CAST(l_suppkey AS VARCHAR)) AS Address_line_3,
     CAST(l_shipdate AS DATE) AS Registration_Date,
-    concat('MHA-', CAST(l_orderkey % 1000 AS VARCHAR)) AS MHA_FILE_NUMBER,
+    CASE WHEN l_orderkey % 3 = 0 THEN concat('MHA-N', CAST(l_orderkey % 1000 AS VARCHAR))
+         ELSE concat('MHA-', CAST(l_orderkey % 1000 AS VARCHAR)) END AS MHA_FILE_NUMBER,
     DATE '1995-01-01' + CAST(l_partkey % 3 AS INTEGER) AS MHA_DATE,
     [{auths}, 'UNKNOWN PERSON, CLERK'][l_partkey % {len(authority_texts) + 1} + 1] AS Signing_Authority,
     l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_suppkey AS o4, l_extendedprice AS o5, l_shipdate AS o6

@@ -136,7 +136,9 @@ def intake(spark: SparkSession, sf_dir: str, padded_headers: bool = False,
         F.when(ok % 10 == 3, missing).otherwise(F.col("l_linestatus")).alias("Address_line_2"),
         F.concat(F.lit("street "), _s(sk)).alias("Address_line_3"),
         ship.alias("Registration_Date"),
-        F.concat(F.lit("MHA-"), _s(ok % 1000)).alias("MHA_FILE_NUMBER"),
+        # A third of the parent keys are new to the registry (prefix MHA-N).
+        F.when(ok % 3 == 0, F.concat(F.lit("MHA-N"), _s(ok % 1000)))
+        .otherwise(F.concat(F.lit("MHA-"), _s(ok % 1000))).alias("MHA_FILE_NUMBER"),
         F.date_add(F.lit("1995-01-01").cast("date"), (pk % 3).cast("int")).alias("MHA_DATE"),
         F.element_at(auths, (pk % (len(AUTHORITY_MAP) + 1) + 1).cast("int")).alias("Signing_Authority"),
         F.struct(*[F.col(c) for c in INTAKE_ORDER]).alias("_input_order"),
