@@ -82,3 +82,54 @@ def certificate_documents(reg: Registry, run_date: dt.date, template: str,
 
 def records_with_ids(records: DataFrame, key: str = "File_Number") -> DataFrame:
     return records.select(F.col(key))
+
+
+@dataclass(frozen=True)
+class LoopResult:
+    run_id: str
+    summary: dict
+    documents_path: str
+    registry_root: str
+    reports_path: str
+
+
+def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str, out: str,
+                   batch_size: int = DEFAULT_BATCH_SIZE) -> LoopResult:
+    """OP-94: one full run, written to shared folders under ``out``.
+
+    OP-90 records -> OP-64 quarantine -> OP-40/60/63 batch documents (written
+    per run id) -> OP-70 write-back of the rendered records only, published
+    as the next applicant version (OP-74) -> OP-33 run summary appended to the
+    run log -> OP-34..38 reports for the new state. Repeating it (OP-81) picks
+    up only what is still unprinted.
+    """
+    from ..operators import reporting, writeback
+    from ..sources import sinks
+
+    rec = certificate_records(reg, run_date, ordered=False)
+    ok, bad = render.quarantine_failures(rec, template)
+    num = numbering.dense_record_number(ok, ["serial_no", "File_Number"], "rn")
+    docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn", "serial_no"])
+    batches = render.assemble_batches(docs, batch_size)
+    docs_path = f"{out}/documents"
+    sinks.batch_doc_sink(batches, docs_path, run_id)
+    bad.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{out}/quarantine/run_id={run_id}")
+
+    keys = num.select(F.col("serial_no").alias("serial"))
+    nxt = writeback.mark_printed_run(reg.applicant, keys, run_date)
+    reg_root = f"{out}/applicant"
+    sinks.publish_snapshot(nxt.drop("changed"), reg_root, run_id)
+
+    found = select.active_table(reg.applicant)
+    summary_df = reporting.run_summary(run_id, found, ok, bad, nxt)
+    summary_df.write.mode("append").parquet(f"{out}/run_log")
+    summary = summary_df.first().asDict()
+
+    state_now = sinks.read_current(reg.applicant.sparkSession, reg_root)
+    rep = f"{out}/reports/run_id={run_id}"
+    reporting.report_volume_trend(state_now).write.mode("overwrite").parquet(f"{rep}/volume_trend")
+    reporting.report_backlog(state_now, run_date).write.mode("overwrite").parquet(f"{rep}/backlog")
+    reporting.report_gender(state_now).write.mode("overwrite").parquet(f"{rep}/gender")
+    reporting.report_authority_load(state_now, reg.authority).write.mode("overwrite").parquet(f"{rep}/authority_load")
+    reporting.report_state(state_now, reg.state).write.mode("overwrite").parquet(f"{rep}/state")
+    return LoopResult(run_id, summary, docs_path, reg_root, rep)

@@ -34,15 +34,17 @@ def bridge_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
     out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def per_record_sink(docs: DataFrame, path: str, buckets: int = 64) -> None:
+def per_record_sink(docs: DataFrame, path: str, buckets: int | None = None) -> None:
     """OP-07: one document per record, stored as rows ``(doc_name, doc_text)``.
 
     Documents go into Parquet files partitioned by a hash bucket of the name:
-    never one file per row. Callers dedupe names first (last wins,
-    ``render.per_record_documents``).
+    never one file per row. ``buckets`` defaults to the session's shuffle
+    partition count, so the number of writer tasks grows with the cluster.
+    Callers dedupe names first (last wins, ``render.per_record_documents``).
     """
-    (docs.withColumn("bucket", F.pmod(F.xxhash64("doc_name"), F.lit(buckets)))
-         .repartition("bucket")
+    n = int(buckets or docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (docs.withColumn("bucket", F.pmod(F.xxhash64("doc_name"), F.lit(n)))
+         .repartition(n, "bucket")
          .write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 

@@ -215,3 +215,36 @@ def test_entry_smoke(spark):
 def test_registry_dataclass(spark):
     reg = Registry.of(testdata.registry(spark, SF_SMALL))
     assert reg.state.count() == 25
+
+
+def test_close_the_loop_twice(spark, scratch):
+    from recordloom.plans.pipelines import close_the_loop
+    from recordloom.sources import sinks as sk
+    reg = catalog.registry(spark, SF_SMALL)
+    out = os.path.join(scratch, "loop")
+    first = close_the_loop(reg, RUN, "20260115_0900", catalog.CERTIFICATE_TEMPLATE, out)
+    s1 = first.summary
+    assert 0 < s1["rendered"] and s1["rendered"] + s1["quarantined"] <= s1["found"]
+    assert s1["updated"] == s1["rendered"]
+    # Second run over the published state: only the quarantined / unmatched stay unprinted.
+    reg2 = Registry(sk.read_current(spark, first.registry_root), reg.ministry, reg.authority, reg.state)
+    second = close_the_loop(reg2, RUN, "20260115_1000", catalog.CERTIFICATE_TEMPLATE, out)
+    assert second.summary["rendered"] == 0 and second.summary["updated"] == 0
+    assert second.summary["quarantined"] == s1["quarantined"]
+    log = spark.read.parquet(os.path.join(out, "run_log"))
+    assert log.count() == 2
+    assert sk.current_version(spark, first.registry_root) == "20260115_1000"
+
+
+def test_polling_trigger(spark, scratch):
+    src = os.path.join(scratch, "incoming")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    orders.write.parquet(src)
+    job = _job(spark, os.path.join(scratch, "out"), SF_SMALL)
+    q = job.start(stream_source(spark, src, orders.schema), os.path.join(scratch, "ck"), once=False, poll_seconds=1)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    expected = catalog.QUERIES["incremental_ledger"](spark, SF_SMALL).count()
+    assert job.ledger().count() == expected
