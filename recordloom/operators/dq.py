@@ -77,14 +77,14 @@ def dq_duplicates(df: DataFrame, key: str = "File_Number", status: str = "STATUS
     """OP-55 (check 5): every active row whose key occurs more than once among active rows.
 
     Keys are counted with a map-side-combined aggregate and joined back
-    (NULL-safe: NULL keys count as equal). A hot key is split by AQE's
-    skew-join handling instead of landing in a single window task.
+    (NULL-safe: NULL keys count as equal). AQE broadcasts the duplicate-key
+    set when it is small and otherwise splits a hot key's partition, instead
+    of a window that would put every row of a hot key into one task.
     """
     active = df.filter(_active_flag(status))
     dup_keys = (active.groupBy(key).agg(F.count(F.lit(1)).alias("n_same_key"))
                       .filter(F.col("n_same_key") > 1))
-    dk, _ = sized_broadcast(dup_keys)
-    dk = dk.withColumnRenamed(key, "__dup_key")
+    dk = dup_keys.withColumnRenamed(key, "__dup_key")
     out = active.join(dk, active[key].eqNullSafe(F.col("__dup_key")), "inner").drop("__dup_key")
     cols = list(keep) if keep is not None else [c for c in df.columns]
     return out.select(*cols, "n_same_key")
@@ -167,8 +167,8 @@ def gated(df: DataFrame, result: GateResult) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _violations(fact: DataFrame, dim: DataFrame, fk: str, check: str, key: str,
-                allow_null: bool) -> DataFrame:
-    d, _ = sized_broadcast(dim.select(fk))
+                allow_null: bool, small_dim: bool = True) -> DataFrame:
+    d = sized_broadcast(dim.select(fk))[0] if small_dim else dim.select(fk)
     nonnull = fact.filter(F.col(fk).isNotNull())
     orphans = nonnull.join(d, fk, "left_anti").select(
         F.lit(check).alias("check_name"), F.col(key).alias("record_key"),
@@ -184,11 +184,13 @@ def dq_orphans(fact: DataFrame, state: DataFrame, ministry: DataFrame, authority
                key: str = "file_number") -> DataFrame:
     """OP-57: foreign-key violations (state mandatory; parent and authority when not NULL).
 
-    Output ``check_name, record_key, detail``. Dimensions are broadcast only after
-    a size check; the parent table joins by AQE-planned anti join.
+    Output ``check_name, record_key, detail``. State and authority are
+    broadcast after a size check; the parent table grows with the fact, so
+    its anti join is planned by AQE.
     """
     return (_violations(fact, state, "state_code", "fk_state", key, allow_null=False)
-            .unionByName(_violations(fact, ministry, "mha_file_number", "fk_mha", key, allow_null=True))
+            .unionByName(_violations(fact, ministry, "mha_file_number", "fk_mha", key, allow_null=True,
+                                     small_dim=False))
             .unionByName(_violations(fact, authority, "ib_staff_authority_id", "fk_ib_authority", key,
                                      allow_null=True)))
 

@@ -1,7 +1,10 @@
 """Joins of the registry star (OP-20..25).
 
-Dimensions are broadcast only after a bounded row count proves they are
-small; otherwise the join is left to AQE (sort-merge with skew splitting).
+Base dimension tables are broadcast only after a bounded row count proves
+they are small. Sides derived inside the query (key sets, key maps) are not
+pre-counted (that would compute them twice); AQE measures them at run time
+and turns the join into a broadcast when the shuffled side is small, or keeps
+a sort-merge join and splits skewed partitions otherwise.
 """
 
 from __future__ import annotations
@@ -38,20 +41,15 @@ def join_parent_inner(fact: DataFrame, parent: DataFrame, key: str = "mha_file_n
 
 def left_join_dimension(fact: DataFrame, dim: DataFrame, key: str,
                         max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Left outer join to a dimension; broadcast when small, else split NULL keys.
+    """Left outer join to a dimension table; broadcast when proven small.
 
-    Without a broadcast, every NULL key would hash to the same reducer; those
-    rows cannot match anyway, so they bypass the join and are unioned back.
+    A dimension above the bound joins by sort-merge. All NULL keys then hash to
+    one reducer; AQE's skew-join handling splits that partition of the (left)
+    fact side, so a third of the fact lacking a reference does not end up in
+    one task, and the fact is still scanned only once.
     """
-    d, small = sized_broadcast(dim, max_rows)
-    if small:
-        return fact.join(d, key, "left")
-    matched = fact.filter(F.col(key).isNotNull()).join(dim, key, "left")
-    unmatched = fact.filter(F.col(key).isNull())
-    for f in dim.schema.fields:
-        if f.name != key:
-            unmatched = unmatched.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return matched.unionByName(unmatched)
+    d, _ = sized_broadcast(dim, max_rows)
+    return fact.join(d, key, "left")
 
 
 def join_authority_left(fact: DataFrame, authority: DataFrame, key: str = "ib_staff_authority_id",
@@ -77,6 +75,11 @@ def join_state(fact: DataFrame, state: DataFrame, key: str = "state_code",
     return fact.join(d, key, "left")
 
 
+def left_join_keys(fact: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Left join to a derived key set; the physical strategy is AQE's call."""
+    return fact.join(keys, key, "left")
+
+
 def semi_by_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """OP-24: restrict rows to a key set (``WHERE k = ANY(...)``) as a semi join."""
     return df.join(keys.select(key), key, "left_semi")

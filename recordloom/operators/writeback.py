@@ -3,8 +3,8 @@
 Parquet tables take no UPDATE, so a write-back produces the table's next
 state as a DataFrame (plus a ``changed`` flag) that is published as a new
 version (``sources.sinks.publish_snapshot``) or as ledger rows. Every
-operator here is a join + ``when``; key maps are broadcast only when a
-bounded count proves them small.
+operator here is a join + ``when``; the key sets are derived inside the
+query, so AQE picks broadcast or sort-merge from their measured size.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schemas import STATUS_PRINTED
-from .joins import left_join_dimension
+from .joins import left_join_keys
 
 
 def mark_printed_run(fact: DataFrame, run_keys: DataFrame, run_date: dt.date, key: str = "serial",
@@ -28,7 +28,7 @@ def mark_printed_run(fact: DataFrame, run_keys: DataFrame, run_date: dt.date, ke
     Returns the fact's next state with a boolean ``changed`` column.
     """
     keys = run_keys.select(key).distinct().withColumn("__hit", F.lit(True))
-    j = left_join_dimension(fact, keys, key)
+    j = left_join_keys(fact, keys, key)
     change = F.coalesce(F.col("__hit"), F.lit(False)) & (tx.status_norm_table(status) != F.lit(STATUS_PRINTED))
     marked = j.withColumn("changed", change).drop("__hit")
     return _apply(marked, run_date, status, issued, fact.columns)
@@ -96,7 +96,7 @@ def key_change_cascade(fact: DataFrame, key_map: DataFrame, fk: str, old: str =
                        new: str = "new_key") -> DataFrame:
     """OP-75 (ON UPDATE CASCADE): renamed parent keys follow into the fact."""
     m = key_map.select(F.col(old).alias(fk), F.col(new).alias("__new"))
-    j = left_join_dimension(fact, m, fk)
+    j = left_join_keys(fact, m, fk)
     return j.select(*[F.coalesce(F.col("__new"), F.col(c)).alias(c) if c == fk else F.col(c)
                       for c in fact.columns])
 
@@ -110,7 +110,7 @@ def rename_parent_keys(parent: DataFrame, key_map: DataFrame, key: str, old: str
 def parent_delete_set_null(fact: DataFrame, deleted: DataFrame, fk: str, deleted_key: str = "key") -> DataFrame:
     """OP-76 (ON DELETE SET NULL): facts pointing at a deleted parent lose the reference."""
     d = deleted.select(F.col(deleted_key).alias(fk)).distinct().withColumn("__del", F.lit(True))
-    j = left_join_dimension(fact, d, fk)
+    j = left_join_keys(fact, d, fk)
     return j.select(*[F.when(F.col("__del").isNotNull(), F.lit(None).cast("string")).otherwise(F.col(c)).alias(c)
                       if c == fk else F.col(c) for c in fact.columns])
 
