@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -54,7 +53,3 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([root, "recordloom", *parts, uuid.uuid4().hex])
-
-
-def local_dir_exists(path: str) -> bool:
-    return os.path.isdir(path)
