@@ -133,3 +133,53 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     reporting.report_authority_load(state_now, reg.authority).write.mode("overwrite").parquet(f"{rep}/authority_load")
     reporting.report_state(state_now, reg.state).write.mode("overwrite").parquet(f"{rep}/state")
     return LoopResult(run_id, summary, docs_path, reg_root, rep)
+
+
+@dataclass(frozen=True)
+class SheetRun:
+    verdict: object          # dq.GateResult
+    batches: DataFrame       # empty when the gate failed (fail closed)
+
+
+def sheet_pipeline(sheet: DataFrame, run_date: dt.date, template: str, batch_size: int = DEFAULT_BATCH_SIZE,
+                   key: str = "File_Number", status: str = "STATUS", serial: str = "Serial",
+                   row_col: str = "_row", date_columns: tuple[str, ...] = ("Registration_date",),
+                   inject_year: bool = True) -> SheetRun:
+    """OP-92: sheet -> gate (checks 1..5) -> dates -> text-serial order -> render -> batches.
+
+    The gate is one action; on failure the batches are empty. Records are
+    numbered by (first digit run of the serial, key, sheet row) and
+    assembled ``batch_size`` at a time.
+    """
+    from ..functions import text as tx
+    from ..operators import dq
+
+    verdict = dq.dq_gate(sheet, key, status)
+    act = select.active_sheet(dq.gated(sheet, verdict), status)
+    for c in date_columns:
+        if c in act.columns:
+            act = act.withColumn(c, tx.parse_format_date(c))
+    if inject_year:
+        act = select.inject_year(act, run_date.year)
+    act = select.add_serial_helper(act, serial)
+    num = numbering.dense_record_number(act, [select.SERIAL_HELPER, key, row_col])
+    docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn"])
+    return SheetRun(verdict, render.assemble_batches(docs, batch_size))
+
+
+def per_record_pipeline(sheet: DataFrame, template: str, status: str = "STATUS", serial: str | None = "Serial",
+                        row_col: str = "_row", date_columns: tuple[str, ...] = ("Registration_date",)) -> DataFrame:
+    """OP-93: active sheet rows, dates formatted, one document per serial prefix.
+
+    Rows sharing a prefix overwrite each other (last sheet row wins); without
+    a serial column documents are named ``row<n>``.
+    """
+    from ..functions import text as tx
+
+    act = select.active_sheet(sheet, status)
+    for c in date_columns:
+        if c in act.columns:
+            act = act.withColumn(c, tx.parse_format_date(c))
+    docs = render.render_documents(act, template)
+    use_serial = serial if serial is not None and serial in sheet.columns else None
+    return render.per_record_documents(docs, use_serial, row_col, row_pos=row_col)
