@@ -99,26 +99,32 @@ def render_documents(df: DataFrame, template: Template | str, out: str = "doc",
     return df.select(*(keep if keep is not None else df.columns), doc)
 
 
+def failure_flags(df: DataFrame, template: Template | str, required: Sequence[str] | None = None,
+                  flag: str = "render_failed") -> DataFrame:
+    """Mark rows that cannot be rendered: a required field (default: every
+    field the template uses that the row has) is NULL or blank. Adds the
+    boolean ``flag`` and ``reason`` (missing field names, '' when fine)."""
+    tpl = compile_template(template) if isinstance(template, str) else template
+    req = [c for c in (required if required is not None else tpl.fields) if c in df.columns]
+    flags = [(c, tx.is_missing(F.col(f"`{c}`"))) for c in req]
+    bad = F.lit(False)
+    for _, f in flags:
+        bad = bad | f
+    names = tx.join_names(flags) if flags else F.lit("")
+    return df.withColumn(flag, bad).withColumn(
+        "reason", F.when(F.col(flag), F.concat(F.lit("missing: "), names)).otherwise(F.lit("")))
+
+
 def quarantine_failures(df: DataFrame, template: Template | str,
                         required: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """OP-64: split rows that cannot be rendered from those that can.
 
-    A row fails when a required field (default: every field the template uses
-    that the row has) is NULL or blank. Returns ``(ok, quarantined)``; the
-    quarantined rows carry ``reason`` listing the missing fields.
+    Returns ``(ok, quarantined)``; the quarantined rows carry ``reason``
+    listing the missing fields. See :func:`failure_flags`.
     """
-    tpl = compile_template(template) if isinstance(template, str) else template
-    req = [c for c in (required if required is not None else tpl.fields) if c in df.columns]
-    flags = [(c, tx.is_missing(F.col(f"`{c}`"))) for c in req]
-    if not flags:
-        return df, df.limit(0).withColumn("reason", F.lit(""))
-    bad = None
-    for _, f in flags:
-        bad = f if bad is None else (bad | f)
-    tagged = df.withColumn("__bad", bad)
-    ok = tagged.filter(~F.col("__bad")).drop("__bad")
-    quarantined = (tagged.filter(F.col("__bad")).drop("__bad")
-                   .withColumn("reason", F.concat(F.lit("missing: "), tx.join_names(flags))))
+    tagged = failure_flags(df, template, required, "__bad")
+    ok = tagged.filter(~F.col("__bad")).drop("__bad", "reason")
+    quarantined = tagged.filter(F.col("__bad")).drop("__bad")
     return ok, quarantined
 
 

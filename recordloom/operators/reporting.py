@@ -26,25 +26,33 @@ def exists_check(df: DataFrame) -> DataFrame:
     return df.limit(1).agg((F.count(F.lit(1)) > 0).alias("has_rows"))
 
 
-def run_summary(run_id: str, found: DataFrame, rendered: DataFrame, quarantined: DataFrame,
-                updated: DataFrame) -> DataFrame:
+def run_summary(run_id: str, fact: DataFrame, flagged: DataFrame, status: str = "status",
+                fact_key: str = "file_number", rec_key: str = "File_Number", serial: str = "serial",
+                flag: str = "render_failed") -> DataFrame:
     """OP-33: found / rendered / quarantined / updated for one run, as one row.
 
-    ``updated`` is a write-back result with a ``changed`` flag. The four counts
-    are unioned as tagged rows and summed, so no cross join is needed.
+    ``flagged`` holds the run's records with the boolean ``flag`` (render
+    failed). One data flow: the fact is left-joined to the flags on its
+    primary key, aggregated per serial (map-side combined, so a repeated
+    serial cannot pile up in one task), then totalled. ``updated`` follows
+    the write-back's rule: every still-unprinted row whose serial belongs to
+    a rendered record.
     """
-    def tagged(df: DataFrame, name: str, cond=None) -> DataFrame:
-        n = F.count_if(cond) if cond is not None else F.count(F.lit(1))
-        base = df.agg(n.cast("bigint").alias("n"))
-        return base.select(*[(F.col("n") if m == name else F.lit(0).cast("bigint")).alias(m)
-                             for m in ("found", "rendered", "quarantined", "updated")])
-
-    parts = (tagged(found, "found")
-             .unionByName(tagged(rendered, "rendered"))
-             .unionByName(tagged(quarantined, "quarantined"))
-             .unionByName(tagged(updated, "updated", F.col("changed"))))
-    return parts.agg(*[F.sum(m).cast("bigint").alias(m) for m in ("found", "rendered", "quarantined", "updated")]) \
-                .select(F.lit(run_id).alias("run_id"), "found", "rendered", "quarantined", "updated")
+    flags = flagged.select(F.col(rec_key).alias(fact_key), F.col(flag).alias("__bad"))
+    active = tx.status_norm_table(status) != F.lit(STATUS_PRINTED)
+    j = fact.select(fact_key, serial, active.alias("__act")).join(flags, fact_key, "left")
+    per_serial = j.groupBy(serial).agg(
+        F.count_if("__act").alias("n_act"),
+        F.count_if(F.col("__bad").isNotNull() & ~F.col("__bad")).alias("n_ok"),
+        F.count_if(F.col("__bad")).alias("n_bad"),
+    )
+    hit = F.col(serial).isNotNull() & (F.col("n_ok") > 0)
+    return per_serial.agg(
+        F.coalesce(F.sum("n_act"), F.lit(0)).cast("bigint").alias("found"),
+        F.coalesce(F.sum("n_ok"), F.lit(0)).cast("bigint").alias("rendered"),
+        F.coalesce(F.sum("n_bad"), F.lit(0)).cast("bigint").alias("quarantined"),
+        F.coalesce(F.sum(F.when(hit, F.col("n_act"))), F.lit(0)).cast("bigint").alias("updated"),
+    ).select(F.lit(run_id).alias("run_id"), "found", "rendered", "quarantined", "updated")
 
 
 def report_volume_trend(fact: DataFrame, date_col: str = "registration_date") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,8 +107,12 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     from ..operators import reporting, writeback
     from ..sources import sinks
 
-    rec = certificate_records(reg, run_date, ordered=False)
-    ok, bad = render.quarantine_failures(rec, template)
+    # The run's records feed the numbering, the quarantine and the summary:
+    # keep them for this run only.
+    flagged = render.failure_flags(certificate_records(reg, run_date, ordered=False), template)
+    flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
+    ok = flagged.filter(~F.col("render_failed")).drop("render_failed", "reason")
+    bad = flagged.filter(F.col("render_failed")).drop("render_failed")
     num = numbering.dense_record_number(ok, ["serial_no", "File_Number"], "rn")
     docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn", "serial_no"])
     batches = render.assemble_batches(docs, batch_size)
@@ -120,10 +125,10 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     reg_root = f"{out}/applicant"
     sinks.publish_snapshot(nxt.drop("changed"), reg_root, run_id)
 
-    found = select.active_table(reg.applicant)
-    summary_df = reporting.run_summary(run_id, found, ok, bad, nxt)
+    summary_df = reporting.run_summary(run_id, reg.applicant, flagged)
     summary_df.write.mode("append").parquet(f"{out}/run_log")
     summary = summary_df.first().asDict()
+    flagged.unpersist()
 
     state_now = sinks.read_current(reg.applicant.sparkSession, reg_root)
     rep = f"{out}/reports/run_id={run_id}"

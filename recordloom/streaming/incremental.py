@@ -16,6 +16,7 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,21 +84,28 @@ class IncrementalJob:
             done = self.ledger(before_batch=batch_id).select("file_number")
             fact = joins.anti_existing(fact, done, "file_number")
         reg = Registry(fact, self.ministry, self.authority, self.state)
-        rec = certificate_records(reg, self.run_date, ordered=False)
-        ok, bad = render.quarantine_failures(rec, self.template)
-        num = numbering.dense_record_number(ok, ["serial_no", "File_Number"], "rn")
+        # The batch's records feed two sinks (documents, quarantine): keep them
+        # for the duration of this micro-batch only.
+        rec = render.failure_flags(certificate_records(reg, self.run_date, ordered=False), self.template)
+        rec = rec.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            ok = rec.filter(~F.col("render_failed")).drop("render_failed", "reason")
+            rec.filter(F.col("render_failed")).select("File_Number", "reason") \
+               .write.mode("overwrite").parquet(self.path("quarantine", batch_id))
+            num = numbering.dense_record_number(ok, ["serial_no", "File_Number"], "rn")
+        finally:
+            rec.unpersist()
         docs = render.render_documents(num, self.template, suppress_blank_lines=self.suppress_blank_lines,
                                        keep=["rn", "File_Number", "serial_no"])
         run_id = f"{self.run_date.strftime('%Y%m%d')}_b{batch_id}"
         (render.assemble_batches(docs, self.batch_size)
                .withColumn("run_id", F.lit(run_id))
                .write.mode("overwrite").parquet(self.path("documents", batch_id)))
-        bad.select("File_Number", "reason").write.mode("overwrite").parquet(self.path("quarantine", batch_id))
         if self.mark:
-            (docs.select(F.col("File_Number").alias("file_number"), F.col("serial_no").alias("serial"),
-                         F.lit(STATUS_PRINTED).alias("status"), F.lit(self.run_date).cast("date").alias("date_issued"),
-                         F.lit(run_id).alias("run_id"))
-                 .write.mode("overwrite").parquet(self.path("ledger", batch_id)))
+            (num.select(F.col("File_Number").alias("file_number"), F.col("serial_no").alias("serial"),
+                        F.lit(STATUS_PRINTED).alias("status"), F.lit(self.run_date).cast("date").alias("date_issued"),
+                        F.lit(run_id).alias("run_id"))
+                .write.mode("overwrite").parquet(self.path("ledger", batch_id)))
 
     # -- the stream ------------------------------------------------------------
     def start(self, source: DataFrame, checkpoint: str, once: bool = True,
