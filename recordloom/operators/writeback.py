@@ -131,3 +131,32 @@ def parent_delete_restrict(fact: DataFrame, deleted: DataFrame, fk: str, deleted
 def delete_parents(parent: DataFrame, deleted: DataFrame, key: str, deleted_key: str = "key") -> DataFrame:
     """Remove deleted keys from the parent table (pairs with OP-76 / OP-77)."""
     return parent.join(deleted.select(F.col(deleted_key).alias(key)), key, "left_anti")
+
+
+# ---------------------------------------------------------------------------
+# Ledger form of the write-back: write only what changed
+# ---------------------------------------------------------------------------
+
+def ledger_rows(next_state: DataFrame, run_id: str, key: str = "file_number",
+                cols: Sequence[str] = ("serial", "status", "date_issued")) -> DataFrame:
+    """OP-70/74 at scale: the changed rows of a write-back as append-only ledger rows.
+
+    A run writes O(changed rows) instead of a new copy of the whole table.
+    ``run_id`` must sort in run order (e.g. ``yyyyMMdd_HHmmss``).
+    """
+    return next_state.filter(F.col("changed")).select(key, *cols, F.lit(run_id).alias("run_id"))
+
+
+def apply_ledger(fact: DataFrame, ledger: DataFrame, key: str = "file_number", run_col: str = "run_id",
+                 cols: Sequence[str] = ("status", "date_issued")) -> DataFrame:
+    """Current state = base table overlaid with each key's latest ledger row.
+
+    The latest row per key is a map-side-combined ``max_by`` (a key written by
+    many runs never piles up in one task); the overlay is a left join that AQE
+    plans by size.
+    """
+    latest = (ledger.groupBy(key)
+                    .agg(F.max_by(F.struct(*[F.col(c) for c in cols]), F.col(run_col)).alias("__l")))
+    j = left_join_keys(fact, latest, key)
+    return j.select(*[F.when(F.col("__l").isNotNull(), F.col(f"__l.{c}")).otherwise(F.col(c)).alias(c)
+                      if c in cols else F.col(c) for c in fact.columns])

@@ -90,7 +90,7 @@ class LoopResult:
     run_id: str
     summary: dict
     documents_path: str
-    registry_root: str
+    ledger_path: str
     reports_path: str
 
 
@@ -98,46 +98,60 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
                    batch_size: int = DEFAULT_BATCH_SIZE) -> LoopResult:
     """OP-94: one full run, written to shared folders under ``out``.
 
-    OP-90 records -> OP-64 quarantine -> OP-40/60/63 batch documents (written
-    per run id) -> OP-70 write-back of the rendered records only, published
-    as the next applicant version (OP-74) -> OP-33 run summary appended to the
-    run log -> OP-34..38 reports for the new state. Repeating it (OP-81) picks
-    up only what is still unprinted.
+    The registry's current state is the base table overlaid with the ledger
+    of earlier runs. OP-90 records -> OP-64 quarantine -> OP-40/60/63 batch
+    documents (written per run id) -> OP-70 write-back of the rendered
+    records only, appended as ledger rows (only changed keys are written) ->
+    OP-33 run summary appended to the run log -> OP-34..38 reports for the
+    new state. Rerunning a run id overwrites its own partitions; a new run
+    (OP-81) picks up only what is still unprinted. ``run_id`` must sort in
+    run order (``yyyyMMdd_HHmmss``).
     """
     from ..operators import reporting, writeback
     from ..sources import sinks
 
+    spark = reg.applicant.sparkSession
+    ledger_path = f"{out}/ledger"
+    fact = reg.applicant
+    try:
+        earlier = spark.read.parquet(ledger_path).filter(F.col("run_id") != F.lit(run_id))
+        fact = writeback.apply_ledger(fact, earlier)
+    except Exception:  # noqa: BLE001 - first run: no ledger yet
+        pass
+    reg = Registry(fact, reg.ministry, reg.authority, reg.state)
+
     # The run's records feed the numbering, the quarantine and the summary:
     # keep them for this run only.
     flagged = render.failure_flags(certificate_records(reg, run_date, ordered=False), template)
     flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
-    ok = flagged.filter(~F.col("render_failed")).drop("render_failed", "reason")
-    bad = flagged.filter(F.col("render_failed")).drop("render_failed")
-    num = numbering.dense_record_number(ok, ["serial_no", "File_Number"], "rn")
-    docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn", "serial_no"])
-    batches = render.assemble_batches(docs, batch_size)
-    docs_path = f"{out}/documents"
-    sinks.batch_doc_sink(batches, docs_path, run_id)
-    bad.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").parquet(f"{out}/quarantine/run_id={run_id}")
-
-    keys = num.select(F.col("serial_no").alias("serial"))
-    nxt = writeback.mark_printed_run(reg.applicant, keys, run_date)
-    reg_root = f"{out}/applicant"
-    sinks.publish_snapshot(nxt.drop("changed"), reg_root, run_id)
-
-    summary_df = reporting.run_summary(run_id, reg.applicant, flagged)
-    summary_df.write.mode("append").parquet(f"{out}/run_log")
-    summary = summary_df.first().asDict()
-    flagged.unpersist()
-
-    state_now = sinks.read_current(reg.applicant.sparkSession, reg_root)
+    try:
+        ok = flagged.filter(~F.col("render_failed")).drop("render_failed", "reason")
+        bad = flagged.filter(F.col("render_failed")).drop("render_failed")
+        num = numbering.dense_record_number(ok, ["serial_no", "File_Number"], "rn")
+        docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn", "serial_no"])
+        docs_path = f"{out}/documents"
+        sinks.batch_doc_sink(render.assemble_batches(docs, batch_size), docs_path, run_id)
+        bad.write.mode("overwrite").parquet(f"{out}/quarantine/run_id={run_id}")
+
+        nxt = writeback.mark_printed_run(fact, num.select(F.col("serial_no").alias("serial")), run_date)
+        (writeback.ledger_rows(nxt, run_id).drop("run_id")
+                  .write.mode("overwrite").parquet(f"{ledger_path}/run_id={run_id}"))
+
+        summary_df = reporting.run_summary(run_id, fact, flagged)
+        summary_df.write.mode("append").parquet(f"{out}/run_log")
+        summary = summary_df.first().asDict()
+    finally:
+        flagged.unpersist()
+
+    state_now = writeback.apply_ledger(
+        fact, spark.read.parquet(ledger_path).filter(F.col("run_id") == F.lit(run_id)))
     rep = f"{out}/reports/run_id={run_id}"
     reporting.report_volume_trend(state_now).write.mode("overwrite").parquet(f"{rep}/volume_trend")
     reporting.report_backlog(state_now, run_date).write.mode("overwrite").parquet(f"{rep}/backlog")
     reporting.report_gender(state_now).write.mode("overwrite").parquet(f"{rep}/gender")
     reporting.report_authority_load(state_now, reg.authority).write.mode("overwrite").parquet(f"{rep}/authority_load")
     reporting.report_state(state_now, reg.state).write.mode("overwrite").parquet(f"{rep}/state")
-    return LoopResult(run_id, summary, docs_path, reg_root, rep)
+    return LoopResult(run_id, summary, docs_path, ledger_path, rep)
 
 
 @dataclass(frozen=True)

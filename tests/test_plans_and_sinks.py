@@ -219,21 +219,34 @@ def test_registry_dataclass(spark):
 
 def test_close_the_loop_twice(spark, scratch):
     from recordloom.plans.pipelines import close_the_loop
-    from recordloom.sources import sinks as sk
     reg = catalog.registry(spark, SF_SMALL)
     out = os.path.join(scratch, "loop")
     first = close_the_loop(reg, RUN, "20260115_0900", catalog.CERTIFICATE_TEMPLATE, out)
     s1 = first.summary
     assert 0 < s1["rendered"] and s1["rendered"] + s1["quarantined"] <= s1["found"]
     assert s1["updated"] == s1["rendered"]
-    # Second run over the published state: only the quarantined / unmatched stay unprinted.
-    reg2 = Registry(sk.read_current(spark, first.registry_root), reg.ministry, reg.authority, reg.state)
-    second = close_the_loop(reg2, RUN, "20260115_1000", catalog.CERTIFICATE_TEMPLATE, out)
+    # Rerunning the same run id is idempotent.
+    again = close_the_loop(reg, RUN, "20260115_0900", catalog.CERTIFICATE_TEMPLATE, out)
+    assert again.summary == s1
+    # A later run sees the ledger: only the quarantined / unmatched stay unprinted.
+    second = close_the_loop(reg, RUN, "20260115_1000", catalog.CERTIFICATE_TEMPLATE, out)
     assert second.summary["rendered"] == 0 and second.summary["updated"] == 0
     assert second.summary["quarantined"] == s1["quarantined"]
-    log = spark.read.parquet(os.path.join(out, "run_log"))
-    assert log.count() == 2
-    assert sk.current_version(spark, first.registry_root) == "20260115_1000"
+    assert second.summary["found"] == s1["found"] - s1["updated"]
+    led = spark.read.parquet(first.ledger_path)
+    assert led.count() == s1["updated"]
+    assert spark.read.parquet(os.path.join(out, "run_log")).count() == 3
+
+
+def test_apply_ledger_latest_wins(spark):
+    from recordloom.operators import writeback
+    fact = spark.createDataFrame([("F1", "IN PROCESS", None), ("F2", None, None), ("F3", "PRINTED", RUN)],
+                                 "file_number string, status string, date_issued date")
+    led = spark.createDataFrame([("F1", "PRINTED", RUN, "20260101_0000"), ("F1", "IN PROCESS", None, "20260102_0000"),
+                                 ("F2", "PRINTED", RUN, "20260101_0000")],
+                                "file_number string, status string, date_issued date, run_id string")
+    got = {r[0]: (r[1], r[2]) for r in writeback.apply_ledger(fact, led).collect()}
+    assert got == {"F1": ("IN PROCESS", None), "F2": ("PRINTED", RUN), "F3": ("PRINTED", RUN)}
 
 
 def test_polling_trigger(spark, scratch):
