@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..schemas import STATUS_IN_PROCESS
 from ..sources import tables
 from . import joins, numbering
@@ -87,7 +88,7 @@ def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFr
     au_new = _dedupe_small(au_src, "ib_staff_authority_id", existing.get("ib_authority"))
 
     mha = first_pairs(intake, "MHA_FILE_NUMBER", "MHA_DATE", order).select(
-        F.col("MHA_FILE_NUMBER").alias("mha_file_number"), F.col("MHA_DATE").cast("date").alias("mha_date"))
+        F.col("MHA_FILE_NUMBER").alias("mha_file_number"), tx.parse_date("MHA_DATE").alias("mha_date"))
     if existing.get("ministryofhomeaffairs") is not None:
         mha = joins.anti_existing(mha, existing["ministryofhomeaffairs"], "mha_file_number")
 
@@ -95,7 +96,7 @@ def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFr
         F.col("File_Number").alias("file_number"),
         F.col("Name").alias("name"),
         F.col("Sex").alias("sex"),
-        F.col("Birth_Date").cast("date").alias("birth_date"),
+        tx.parse_date("Birth_Date").alias("birth_date"),
         F.col("Place").alias("place"),
         F.col("State").alias("state_code"),
         F.col("Name_Of_Father").alias("name_of_father"),
@@ -103,7 +104,7 @@ def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFr
         F.col("Address_line_1").alias("address_line_1"),
         F.col("Address_line_2").alias("address_line_2"),
         F.col("Address_line_3").alias("address_line_3"),
-        F.col("Registration_Date").cast("date").alias("registration_date"),
+        tx.parse_date("Registration_Date").alias("registration_date"),
         F.col("MHA_FILE_NUMBER").alias("mha_file_number"),
         F.col("ib_staff_authority_id"),
         F.col(order),
