@@ -50,6 +50,7 @@ def _read_tables(spark: SparkSession, root: str, required: bool = True,
         if exclude_load is not None and "load_id" in df.columns:
             df = df.filter(F.col("load_id") != F.lit(exclude_load))
         out[t] = df.drop("load_id")
+    # status_class stays on the applicant table: the selection prunes on it.
     return out
 
 
@@ -71,8 +72,9 @@ def cmd_load(a: argparse.Namespace) -> None:
     existing = _read_tables(spark, a.tables, required=False, exclude_load=a.load_id)
     load = ingest.load_star(spark, intake, existing)
     for name, df in (("state", load.state), ("ib_authority", load.authority),
-                     ("ministryofhomeaffairs", load.ministry), ("applicant", load.applicant)):
+                     ("ministryofhomeaffairs", load.ministry)):
         df.write.mode("overwrite").parquet(f"{a.tables}/{name}/load_id={a.load_id}")
+    sinks.write_registry_table(load.applicant, f"{a.tables}/applicant/load_id={a.load_id}")
 
 
 def cmd_select(a: argparse.Namespace) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..schemas import STATUS_IN_PROCESS, STATUS_PRINTED
+from ..schemas import STATUS_CLASS, STATUS_CLASS_ACTIVE, STATUS_IN_PROCESS, STATUS_PRINTED
 
 
 def _printed_prefilter(status: str) -> Column:
@@ -26,9 +26,23 @@ def active_sheet(df: DataFrame, status: str = "STATUS") -> DataFrame:
     return df.filter(_printed_prefilter(status) & (tx.status_norm_sheet(status) != F.lit(STATUS_PRINTED)))
 
 
+def status_class(status: str = "status") -> Column:
+    """PRINTED / ACTIVE class of a row (table mode), stored as a partition column."""
+    return F.when(tx.status_norm_table(status) == F.lit(STATUS_PRINTED), F.lit(STATUS_PRINTED)) \
+            .otherwise(F.lit(STATUS_CLASS_ACTIVE))
+
+
 def active_table(df: DataFrame, status: str = "status") -> DataFrame:
-    """OP-11: rows whose upper-cased status is not PRINTED; blanks are not stripped."""
-    return df.filter(_printed_prefilter(status) & (tx.status_norm_table(status) != F.lit(STATUS_PRINTED)))
+    """OP-11: rows whose upper-cased status is not PRINTED; blanks are not stripped.
+
+    On a table stored with the ``status_class`` partition column (written
+    from the same rule), the equivalent partition filter prunes the printed
+    history at planning time: only the ACTIVE folders are listed and read.
+    """
+    cond = _printed_prefilter(status) & (tx.status_norm_table(status) != F.lit(STATUS_PRINTED))
+    if STATUS_CLASS in df.columns:
+        cond = (F.col(STATUS_CLASS) == F.lit(STATUS_CLASS_ACTIVE)) & cond
+    return df.filter(cond)
 
 
 def active_exact(df: DataFrame, status: str = "status") -> DataFrame:

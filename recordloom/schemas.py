@@ -72,6 +72,11 @@ SHEET_DATE_FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy")
 OUTPUT_DATE_FORMAT = "dd/MM/yyyy"
 RUN_ID_FORMAT = "ddMMyyyy_HHmmss"
 
+# Partition column that splits a stored registry table into printed history
+# and rows still to print (the stored form of an index on upper(status)).
+STATUS_CLASS = "status_class"
+STATUS_CLASS_ACTIVE = "ACTIVE"
+
 # Separators used when documents are assembled.
 PAGE_BREAK = "\f"
 

@@ -68,6 +68,19 @@ def read_batches(spark: SparkSession, path: str, run_id: str) -> DataFrame:
 # OP-74 publish_atomic: immutable versions + append-only pointers
 # ---------------------------------------------------------------------------
 
+def write_registry_table(df: DataFrame, path: str, status: str = "status", mode: str = "overwrite") -> None:
+    """Store a registry fact table partitioned by ``status_class`` (PRINTED / ACTIVE).
+
+    The run's selection then reads only the ACTIVE folders (partition
+    pruning), however large the printed history grows.
+    """
+    from ..operators.select import status_class
+    from ..schemas import STATUS_CLASS
+    (df.drop(STATUS_CLASS) if STATUS_CLASS in df.columns else df) \
+        .withColumn(STATUS_CLASS, status_class(status)) \
+        .write.mode(mode).partitionBy(STATUS_CLASS).parquet(path)
+
+
 def publish_snapshot(df: DataFrame, root: str, version: str) -> str:
     """OP-74: write the table's next state as a new version, then its pointer.
 

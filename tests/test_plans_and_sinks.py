@@ -306,3 +306,17 @@ def test_reorder_input_does_not_change_results(spark):
     n2 = numbering.dense_record_number(shuffled.repartition(5), ["_input_order"], num_partitions=3).select(
         "File_Number", "rn")
     assert n1.exceptAll(n2).count() == 0
+
+
+def test_status_partitions_prune_printed_history(spark, scratch):
+    from recordloom.operators import select
+    path = os.path.join(scratch, "applicant_by_status")
+    sinks.write_registry_table(testdata.applicant(spark, SF_SMALL), path)
+    stored = spark.read.parquet(path)
+    act = select.active_table(stored)
+    plan = plan_text(act)
+    import re
+    assert re.search(r"PartitionFilters: \[isnotnull\(status_class#\d+\), \(status_class#\d+ = ACTIVE\)\]", plan)
+    base = select.active_table(testdata.applicant(spark, SF_SMALL))
+    assert sorted(r[0] for r in act.select("file_number").collect()) == \
+           sorted(r[0] for r in base.select("file_number").collect())
