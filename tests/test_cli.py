@@ -14,8 +14,12 @@ from conftest import SF_SMALL
 def test_cli_load_select_run_sheet(spark, scratch):
     root = os.path.join(scratch, "tables")
     reg = testdata.registry(spark, SF_SMALL)
+    from recordloom.sources import sinks
     for name, df in reg.items():
-        df.write.parquet(f"{root}/{name}/load_id=base")
+        if name == "applicant":
+            sinks.write_registry_table(df, f"{root}/{name}/load_id=base")
+        else:
+            df.write.parquet(f"{root}/{name}/load_id=base")
 
     intake_dir = os.path.join(scratch, "intake")
     testdata.intake(spark, SF_SMALL).drop("_input_order").coalesce(2).write.option("header", True).csv(intake_dir)
