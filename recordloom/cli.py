@@ -5,6 +5,7 @@
   run     one table-mode run: documents, quarantine, ledger, run log, reports
   sheet   one sheet-mode run: gate, documents, the sheet's next version
   watch   pick up new applicant files as they arrive and run each batch
+  compact fold the runs' ledger into a new copy of the tables
 
 Tables live as Parquet folders under ``--tables`` (``applicant``,
 ``ministryofhomeaffairs``, ``ib_authority``, ``state``). Loads are written as
@@ -59,7 +60,11 @@ def _current(spark: SparkSession, root: str, out: str | None) -> pipelines.Regis
     fact = t["applicant"]
     if out:
         try:
-            fact = writeback.apply_ledger(fact, spark.read.parquet(f"{out}/ledger"))
+            led = spark.read.parquet(f"{out}/ledger")
+            after = _watermark(spark, root)
+            if after is not None:
+                led = led.filter(F.col("run_id") > F.lit(after))
+            fact = writeback.apply_ledger(fact, led)
         except Exception:  # noqa: BLE001 - no run yet
             pass
     return pipelines.Registry(fact, t["ministryofhomeaffairs"], t["ib_authority"], t["state"])
@@ -88,15 +93,40 @@ def cmd_select(a: argparse.Namespace) -> None:
         listing.show(a.show, truncate=False)
 
 
+def _watermark(spark: SparkSession, root: str) -> str | None:
+    """Last run id folded into the tables under ``root`` by ``compact``."""
+    try:
+        return spark.read.parquet(f"{root}/_compacted").agg(F.max("upto_run")).first()[0]
+    except Exception:  # noqa: BLE001 - never compacted
+        return None
+
+
 def cmd_run(a: argparse.Namespace) -> None:
     spark = _session()
     t = _read_tables(spark, a.tables)
     reg = pipelines.Registry(t["applicant"], t["ministryofhomeaffairs"], t["ib_authority"], t["state"])
     template = open(a.template, encoding="utf-8").read()
-    res = pipelines.close_the_loop(reg, _date(a.run_date), a.run_id, template, a.out, a.batch_size)
+    res = pipelines.close_the_loop(reg, _date(a.run_date), a.run_id, template, a.out, a.batch_size,
+                                   ledger_after=_watermark(spark, a.tables))
     print(res.summary)
 
 
+def cmd_compact(a: argparse.Namespace) -> None:
+    from .schemas import STATUS_CLASS
+    spark = _session()
+    t = _read_tables(spark, a.tables)
+    ledger = spark.read.parquet(f"{a.out}/ledger")
+    after = _watermark(spark, a.tables)
+    if after is not None:
+        ledger = ledger.filter(F.col("run_id") > F.lit(after))
+    upto = a.upto or ledger.agg(F.max("run_id")).first()[0]
+    for name in ("state", "ib_authority", "ministryofhomeaffairs"):
+        t[name].write.mode("overwrite").parquet(f"{a.to}/{name}/load_id=compacted")
+    base = t["applicant"].drop(STATUS_CLASS)
+    sinks.write_registry_table(writeback.compact(base, ledger, upto), f"{a.to}/applicant/load_id=compacted")
+    spark.createDataFrame([(upto,)], "upto_run string").write.mode("overwrite").parquet(f"{a.to}/_compacted")
+
+
 def cmd_sheet(a: argparse.Namespace) -> None:
     spark = _session()
     sheet = tables.normalize_na(tables.normalize_headers(tables.scan_sheet(spark, a.sheet, a.format)))
@@ -168,6 +198,12 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--incoming", required=True)
             s.add_argument("--poll", type=int, default=DEFAULT_POLL_SECONDS)
             s.add_argument("--once", action="store_true", help="process what is there and stop")
+    s = sub.add_parser("compact", help="fold the ledger into a new copy of the tables")
+    s.add_argument("--tables", required=True)
+    s.add_argument("--out", required=True, help="run folder holding the ledger")
+    s.add_argument("--to", required=True, help="root of the compacted tables")
+    s.add_argument("--upto", help="last run id to fold (default: all)")
+    s.set_defaults(fn=cmd_compact)
     return p
 
 

@@ -160,3 +160,14 @@ def apply_ledger(fact: DataFrame, ledger: DataFrame, key: str = "file_number", r
     j = left_join_keys(fact, latest, key)
     return j.select(*[F.when(F.col("__l").isNotNull(), F.col(f"__l.{c}")).otherwise(F.col(c)).alias(c)
                       if c in cols else F.col(c) for c in fact.columns])
+
+
+def compact(base: DataFrame, ledger: DataFrame, upto_run: str | None = None, run_col: str = "run_id") -> DataFrame:
+    """Fold ledger rows (up to ``upto_run``) into the base table.
+
+    Written back partitioned by status class (``sources.sinks.write_registry_table``)
+    the result becomes the new base: printed history moves to the PRINTED
+    folders, and later runs only need ledger rows newer than ``upto_run``.
+    """
+    led = ledger if upto_run is None else ledger.filter(F.col(run_col) <= F.lit(upto_run))
+    return apply_ledger(base, led, run_col=run_col)

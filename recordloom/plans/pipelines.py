@@ -95,7 +95,7 @@ class LoopResult:
 
 
 def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str, out: str,
-                   batch_size: int = DEFAULT_BATCH_SIZE) -> LoopResult:
+                   batch_size: int = DEFAULT_BATCH_SIZE, ledger_after: str | None = None) -> LoopResult:
     """OP-94: one full run, written to shared folders under ``out``.
 
     The registry's current state is the base table overlaid with the ledger
@@ -105,7 +105,8 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     OP-33 run summary appended to the run log -> OP-34..38 reports for the
     new state. Rerunning a run id overwrites its own partitions; a new run
     (OP-81) picks up only what is still unprinted. ``run_id`` must sort in
-    run order (``yyyyMMdd_HHmmss``).
+    run order (``yyyyMMdd_HHmmss``). ``ledger_after`` skips ledger rows
+    already folded into the base table by a compaction.
     """
     from ..operators import reporting, writeback
     from ..sources import sinks
@@ -115,6 +116,8 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     fact = reg.applicant
     try:
         earlier = spark.read.parquet(ledger_path).filter(F.col("run_id") != F.lit(run_id))
+        if ledger_after is not None:
+            earlier = earlier.filter(F.col("run_id") > F.lit(ledger_after))
         fact = writeback.apply_ledger(fact, earlier)
     except Exception:  # noqa: BLE001 - first run: no ledger yet
         pass

@@ -54,3 +54,29 @@ def test_cli_load_select_run_sheet(spark, scratch):
     marked = spark.read.option("header", True).csv(f"{sout}/sheet")
     assert marked.filter(F.upper(F.trim("STATUS")) != "PRINTED").count() == 0
     assert spark.read.parquet(f"{sout}/documents").count() > 0
+
+
+def test_cli_compact_then_run(spark, scratch):
+    from recordloom.sources import sinks
+    root = os.path.join(scratch, "tables")
+    for name, df in testdata.registry(spark, SF_SMALL).items():
+        if name == "applicant":
+            sinks.write_registry_table(df, f"{root}/{name}/load_id=base")
+        else:
+            df.write.parquet(f"{root}/{name}/load_id=base")
+    tpl = os.path.join(scratch, "template.txt")
+    with open(tpl, "w", encoding="utf-8") as f:
+        f.write(catalog.CERTIFICATE_TEMPLATE)
+    out = os.path.join(scratch, "run")
+    cli.main(["run", "--tables", root, "--template", tpl, "--out", out, "--run-id", "20260115_0900",
+              "--run-date", "2026-01-15"])
+    printed_by_run = spark.read.parquet(f"{out}/ledger").count()
+    new_root = os.path.join(scratch, "tables2")
+    cli.main(["compact", "--tables", root, "--out", out, "--to", new_root])
+    app = spark.read.parquet(f"{new_root}/applicant")
+    old_active = spark.read.parquet(f"{root}/applicant").filter("status_class = 'ACTIVE'").count()
+    assert app.filter("status_class = 'ACTIVE'").count() == old_active - printed_by_run
+    # A run on the compacted tables finds nothing new to print.
+    cli.main(["run", "--tables", new_root, "--template", tpl, "--out", out, "--run-id", "20260115_1000",
+              "--run-date", "2026-01-15"])
+    assert spark.read.parquet(f"{out}/ledger").filter("run_id = '20260115_1000'").count() == 0
