@@ -4,7 +4,8 @@ These builders only shape rows into the schemas the jobs expect (see
 FIXTURES.md §2); they do none of the jobs' work. Untidy values (NULLs,
 orphans, padded statuses, missing cells, duplicate keys) are placed by
 arithmetic on the source keys so both Spark and the DuckDB oracle derive
-exactly the same rows. Every builder scales with its source table.
+exactly the same rows. Fact, parent and intake tables scale with their
+source tables; the two small dimensions come from supplier and nation.
 """
 
 from __future__ import annotations
