@@ -178,12 +178,13 @@ def per_record_documents(docs: DataFrame, serial: str | None, order: str, doc: s
     Records sharing a name overwrite each other, so the last one in ``order``
     wins. ``max_by`` is a map-side-combinable aggregate, so a name shared by
     many rows does not pile into one task. Without a serial column the name
-    is ``row{n}`` from the 1-based ``row_pos`` column.
+    is ``row{n}`` where ``n`` is the 1-based data row: the sheet line in
+    ``row_pos`` (header on line 1) minus one.
     """
     if serial is not None:
         name = tx.serial_prefix(serial)
     else:
-        name = F.concat(F.lit("row"), F.col(row_pos).cast("string"))
+        name = F.concat(F.lit("row"), (F.col(row_pos) - F.lit(1)).cast("string"))
     return (docs.withColumn("doc_name", name)
                 .groupBy("doc_name")
                 .agg(F.max_by(F.col(doc), F.col(order)).alias("doc_text")))
