@@ -58,12 +58,18 @@ def first_pairs(df: DataFrame, key: str, value: str, order: str = ORDER_COL) ->
 
 @dataclass(frozen=True)
 class StarLoad:
-    """Rows to append to each table in one load (publish them together)."""
+    """Rows to append to each table in one load (publish them together).
+
+    ``violations`` lists the new fact rows that break a foreign key (against
+    existing plus new parent rows) or a NOT NULL / CHECK / length rule. A
+    load with violations is refused as a whole, as one transaction would be.
+    """
 
     state: DataFrame
     authority: DataFrame
     ministry: DataFrame
     applicant: DataFrame
+    violations: DataFrame
 
 
 def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFrame] | None = None,
@@ -76,7 +82,8 @@ def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFr
     first-wins (OP-49), parent pairs (OP-17/48/49), authority text lookup
     (OP-22), fact first-wins by file number, anti join against existing facts
     (OP-25), identity serials after the existing maximum in intake order
-    (OP-41) and the status default (OP-42).
+    (OP-41), the status default (OP-42), then the foreign-key and constraint
+    checks of the new rows (OP-57, OP-58).
     """
     existing = existing or {}
     intake = tables.normalize_headers(intake)
@@ -117,7 +124,24 @@ def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFr
                        "name_of_father", "name_of_mother", "address_line_1", "address_line_2",
                        "address_line_3", "registration_date", "status", "date_issued",
                        "mha_file_number", "ib_staff_authority_id")
-    return StarLoad(st_new, au_new, mha, fact)
+    violations = _load_violations(fact, existing, st_new, au_new, mha)
+    return StarLoad(st_new, au_new, mha, fact, violations)
+
+
+def _load_violations(fact: DataFrame, existing: dict[str, DataFrame], st_new: DataFrame,
+                     au_new: DataFrame, mha_new: DataFrame) -> DataFrame:
+    from . import dq
+
+    def with_existing(name: str, new: DataFrame, key: str) -> DataFrame:
+        old = existing.get(name)
+        return new.select(key) if old is None else old.select(key).unionByName(new.select(key))
+
+    orphans = dq.dq_orphans(fact, with_existing("state", st_new, "state_code"),
+                            with_existing("ministryofhomeaffairs", mha_new, "mha_file_number"),
+                            with_existing("ib_authority", au_new, "ib_staff_authority_id"))
+    rules = dq.dq_constraints(fact).select(F.lit("constraints").alias("check_name"), "record_key",
+                                           F.col("violations").alias("detail"))
+    return orphans.unionByName(rules)
 
 
 def _dedupe_small(rows: DataFrame, key: str, target: DataFrame | None) -> DataFrame:

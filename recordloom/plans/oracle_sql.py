@@ -106,10 +106,10 @@ def intake(state_codes, authority_texts, na_tokens: bool = False) -> str:
   SELECT
     concat('FN-', CAST(l_orderkey * 10 + l_linenumber AS VARCHAR)) AS File_Number,
     concat('Person ', CAST(l_partkey AS VARCHAR)) AS Name,
-    CASE WHEN l_partkey % 2 = 0 THEN 'M' ELSE 'F' END AS Sex,
+    CASE WHEN l_partkey % 89 = 0 THEN 'U' WHEN l_partkey % 2 = 0 THEN 'M' ELSE 'F' END AS Sex,
     CAST(l_shipdate AS DATE) - 20 AS Birth_Date,
     concat('Town ', CAST(l_suppkey % 50 AS VARCHAR)) AS Place,
-    [{codes}][l_suppkey % {len(state_codes)} + 1] AS State,
+    CASE WHEN l_suppkey % 97 = 0 THEN 'XX' ELSE [{codes}][l_suppkey % {len(state_codes)} + 1] END AS State,
     concat('F ', CAST(l_partkey AS VARCHAR)) AS Name_Of_Father,
     concat('M ', CAST(l_suppkey AS VARCHAR)) AS Name_Of_Mother,
     concat('unit ', CAST(l_linenumber AS VARCHAR)) AS Address_line_1,

@@ -2,6 +2,7 @@
 
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom import cli
@@ -21,8 +22,18 @@ def test_cli_load_select_run_sheet(spark, scratch):
         else:
             df.write.parquet(f"{root}/{name}/load_id=base")
 
+    # A sheet with rule-breaking rows is refused as a whole.
+    bad_dir = os.path.join(scratch, "intake_bad")
+    testdata.intake(spark, SF_SMALL).drop("_input_order").coalesce(2).write.option("header", True).csv(bad_dir)
+    with pytest.raises(SystemExit) as refused:
+        cli.main(["load", "--intake", bad_dir, "--tables", root, "--load-id", "L0"])
+    assert refused.value.code == 3
+    assert not os.path.exists(f"{root}/applicant/load_id=L0")
+
+    # The corrected sheet loads.
     intake_dir = os.path.join(scratch, "intake")
-    testdata.intake(spark, SF_SMALL).drop("_input_order").coalesce(2).write.option("header", True).csv(intake_dir)
+    testdata.intake(spark, SF_SMALL).drop("_input_order").filter("Sex <> 'U' AND State <> 'XX'") \
+        .coalesce(2).write.option("header", True).csv(intake_dir)
     cli.main(["load", "--intake", intake_dir, "--tables", root, "--load-id", "L1"])
     cli.main(["load", "--intake", intake_dir, "--tables", root, "--load-id", "L1"])  # rerun replaces itself
     app = spark.read.parquet(f"{root}/applicant")
