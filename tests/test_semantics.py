@@ -233,3 +233,19 @@ def test_quarantine_splits_rows(spark):
     ok, bad = render.quarantine_failures(df, "{{k}} {{v}}")
     assert [r[0] for r in rows(ok, "k")] == ["A"]
     assert sorted(rows(bad, "k", "reason")) == [("B", "missing: v"), ("C", "missing: v")]
+
+
+def test_null_keys_count_as_duplicates(spark):
+    """N9: two active rows without a file number are duplicates of each other."""
+    df = spark.createDataFrame([(None, "x", None, None, 2), (None, "y", None, None, 3), ("B", "z", None, None, 4)],
+                               SHEET_COLS)
+    got = sorted(r[1] for r in rows(dq.dq_duplicates(df), "File_Number", "Name"))
+    assert got == ["x", "y"]
+    assert dq.dq_gate(df.withColumn("Name", F.lit("n"))).failed_check == 5
+
+
+def test_table_mode_keeps_padded_printed_active(spark):
+    """N3/N4: table mode does not strip, so ' printed ' is still to print there."""
+    reg = _registry(spark, [_fact("F1", 1, status=" printed "), _fact("F2", 2, status="printed"),
+                            _fact("F3", 3, status=None)])
+    assert sorted(r[0] for r in rows(certificate_records(reg, RUN), "File_Number")) == ["F1", "F3"]
