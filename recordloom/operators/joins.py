@@ -88,3 +88,15 @@ def semi_by_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def anti_existing(df: DataFrame, target: DataFrame, key: str) -> DataFrame:
     """OP-25: keep rows whose key is not yet in ``target`` (ON CONFLICT DO NOTHING)."""
     return df.join(target.select(key), key, "left_anti")
+
+
+def anti_existing_small(df: DataFrame, target: DataFrame, key: str) -> DataFrame:
+    """OP-25 when ``df`` is small (a micro-batch) and ``target`` ever-growing.
+
+    The target is first cut down to ``df``'s own keys with a semi join, whose
+    key-set side AQE broadcasts when it is small; the large target is then
+    scanned but never shuffled, and the anti join runs small against small.
+    """
+    keys = df.select(key).distinct()
+    hits = target.select(key).join(keys, key, "left_semi")
+    return df.join(hits, key, "left_anti")

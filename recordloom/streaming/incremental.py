@@ -82,7 +82,7 @@ class IncrementalJob:
         fact = select.active_table(self.to_fact(batch))
         if self.mark:
             done = self.ledger(before_batch=batch_id).select("file_number")
-            fact = joins.anti_existing(fact, done, "file_number")
+            fact = joins.anti_existing_small(fact, done, "file_number")
         reg = Registry(fact, self.ministry, self.authority, self.state)
         # The batch's records feed two sinks (documents, quarantine): keep them
         # for the duration of this micro-batch only.

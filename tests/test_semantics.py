@@ -252,3 +252,12 @@ def test_table_mode_keeps_padded_printed_active(spark):
     reg = _registry(spark, [_fact("F1", 1, status=" printed "), _fact("F2", 2, status="printed"),
                             _fact("F3", 3, status=None)])
     assert sorted(r[0] for r in rows(certificate_records(reg, RUN), "File_Number")) == ["F1", "F3"]
+
+
+def test_anti_existing_small_equals_anti_join(spark):
+    small = spark.createDataFrame([("A", 1), ("B", 2), ("C", 3), (None, 4)], "k string, v int")
+    big = spark.range(1000).select(F.concat(F.lit("K"), F.col("id").cast("string")).alias("k")) \
+        .unionByName(spark.createDataFrame([("B",), ("B",)], "k string"))
+    a = sorted(rows(joins.anti_existing_small(small, big, "k"), "k", "v"), key=str)
+    b = sorted(rows(joins.anti_existing(small, big, "k"), "k", "v"), key=str)
+    assert a == b == sorted([("A", 1), ("C", 3), (None, 4)], key=str)
