@@ -135,12 +135,10 @@ def join_names(flags: Iterable[tuple[str, Column]], sep: str = ", ") -> Column:
     return F.concat_ws(sep, *[F.when(flag, F.lit(name)) for name, flag in flags])
 
 
-def run_literals(run_date) -> dict[str, Column]:
-    """SF-17: run date, year and timestamp as literals (never ``current_date``)."""
-    return {
-        "run_date": F.lit(run_date).cast("date"),
-        "year": F.lit(run_date.year),
-    }
+def run_date(d) -> Column:
+    """SF-17: the run date as a literal. Always a parameter, never
+    ``current_date()``, so a rerun computes the same result."""
+    return F.lit(d).cast("date")
 
 
 def status_norm_table(status: str | Column) -> Column:

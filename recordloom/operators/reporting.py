@@ -67,7 +67,7 @@ AGE_BUCKETS = ((30, "0-30 days"), (90, "31-90 days"), (365, "91-365 days"))
 def report_backlog(fact: DataFrame, run_date: dt.date, date_col: str = "registration_date",
                    status: str = "status") -> DataFrame:
     """OP-35: unprinted records by age bucket at the run date, with the oldest date."""
-    age = F.datediff(F.lit(run_date).cast("date"), F.col(date_col))
+    age = F.datediff(tx.run_date(run_date), F.col(date_col))
     bucket = None
     for limit, label in AGE_BUCKETS:
         cond = age <= F.lit(limit)

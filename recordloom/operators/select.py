@@ -111,11 +111,6 @@ def project_listing(joined: DataFrame) -> DataFrame:
     return joined.select(*LISTING_COLUMNS).orderBy("serial")
 
 
-def project_all_as_context(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
-    """OP-15: every column of the row is template context (names in order)."""
-    return [c for c in df.columns if c not in set(exclude)]
-
-
 def project_pairs(df: DataFrame, key: str = "MHA_FILE_NUMBER", value: str = "MHA_DATE") -> DataFrame:
     """OP-17: narrow to (parent key, parent date)."""
     return df.select(key, value)

@@ -41,7 +41,7 @@ def _apply(df: DataFrame, run_date: dt.date, status: str, issued: str, columns:
         if c == status:
             out.append(F.when(ch, F.lit(STATUS_PRINTED)).otherwise(F.col(c)).alias(c))
         elif c == issued:
-            out.append(F.when(ch, F.lit(run_date).cast("date")).otherwise(F.col(c)).alias(c))
+            out.append(F.when(ch, tx.run_date(run_date)).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     return df.select(*out, ch)

@@ -81,10 +81,6 @@ def certificate_documents(reg: Registry, run_date: dt.date, template: str,
     return render.assemble_batches(docs, batch_size)
 
 
-def records_with_ids(records: DataFrame, key: str = "File_Number") -> DataFrame:
-    return records.select(F.col(key))
-
-
 @dataclass(frozen=True)
 class LoopResult:
     run_id: str

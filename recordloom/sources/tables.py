@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import first_piece, last_piece
-from ..schemas import AUTHORITY_MAP, NA_TOKENS, STATE_MASTER
+from ..schemas import AUTHORITY_MAP, NA_TOKENS, STATE_MASTER, schema_of
 
 
 def scan_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
@@ -46,8 +46,18 @@ def scan_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
 
 def scan_tables(spark: SparkSession, root: str, names: Iterable[str] = (
         "applicant", "ministryofhomeaffairs", "ib_authority", "state")) -> dict[str, DataFrame]:
-    """OP-02: the registry tables stored as Parquet directories under ``root``."""
-    return {n: spark.read.parquet(f"{root.rstrip('/')}/{n}") for n in names}
+    """OP-02: the registry tables stored as Parquet directories under ``root``.
+
+    Read with their declared schemas (no inference); partition columns such
+    as ``status_class`` are discovered from the folder names as usual.
+    """
+    out = {}
+    for n in names:
+        df = spark.read.parquet(f"{root.rstrip('/')}/{n}")
+        declared = schema_of(n)
+        out[n] = df.select(*[F.col(f.name).cast(f.dataType) for f in declared.fields],
+                           *[c for c in df.columns if c not in declared.fieldNames()])
+    return out
 
 
 def scan_jdbc(spark: SparkSession, url: str, table: str, props: dict[str, str],

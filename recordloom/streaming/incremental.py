@@ -23,17 +23,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.errors import StreamingQueryException
 
+from ..functions import text as tx
 from ..operators import joins, numbering, render, select
 from ..plans.pipelines import Registry, certificate_records
-from ..schemas import DEFAULT_BATCH_SIZE, DEFAULT_POLL_SECONDS, STATUS_PRINTED
+from ..schemas import DEFAULT_BATCH_SIZE, DEFAULT_POLL_SECONDS, LEDGER_SCHEMA, STATUS_PRINTED
 
-LEDGER_COLUMNS = T.StructType([
-    T.StructField("file_number", T.StringType()),
-    T.StructField("serial", T.LongType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("date_issued", T.DateType()),
-    T.StructField("run_id", T.StringType()),
-])
+LEDGER_COLUMNS = LEDGER_SCHEMA
 
 
 @dataclass
@@ -103,7 +98,7 @@ class IncrementalJob:
                .write.mode("overwrite").parquet(self.path("documents", batch_id)))
         if self.mark:
             (num.select(F.col("File_Number").alias("file_number"), F.col("serial_no").alias("serial"),
-                        F.lit(STATUS_PRINTED).alias("status"), F.lit(self.run_date).cast("date").alias("date_issued"),
+                        F.lit(STATUS_PRINTED).alias("status"), tx.run_date(self.run_date).alias("date_issued"),
                         F.lit(run_id).alias("run_id"))
                 .write.mode("overwrite").parquet(self.path("ledger", batch_id)))
 

@@ -261,3 +261,26 @@ def test_anti_existing_small_equals_anti_join(spark):
     a = sorted(rows(joins.anti_existing_small(small, big, "k"), "k", "v"), key=str)
     b = sorted(rows(joins.anti_existing(small, big, "k"), "k", "v"), key=str)
     assert a == b == sorted([("A", 1), ("C", 3), (None, 4)], key=str)
+
+
+def test_parent_rename_and_delete_on_parent_side(spark):
+    parent = spark.createDataFrame([("P1", RUN), ("P2", RUN)], "mha_file_number string, mha_date date")
+    m = spark.createDataFrame([("P1", "P1b")], "old_key string, new_key string")
+    assert sorted(r[0] for r in rows(writeback.rename_parent_keys(parent, m, "mha_file_number"), "mha_file_number")) \
+        == ["P1b", "P2"]
+    d = spark.createDataFrame([("P2",)], "key string")
+    assert [r[0] for r in rows(writeback.delete_parents(parent, d, "mha_file_number"), "mha_file_number")] == ["P1"]
+
+
+def test_scan_tables_declared_types(spark, scratch):
+    from recordloom.sources import sinks, testdata
+    root = scratch + "/reg"
+    for name, df in testdata.registry(spark, "/root/testdata/sf0.001").items():
+        if name == "applicant":
+            sinks.write_registry_table(df, f"{root}/{name}")
+        else:
+            df.write.parquet(f"{root}/{name}")
+    t = tables.scan_tables(spark, root)
+    assert t["applicant"].schema["serial"].dataType.simpleString() == "bigint"
+    assert "status_class" in t["applicant"].columns
+    assert t["state"].count() == 25
