@@ -14,16 +14,26 @@ from pyspark.sql import functions as F
 
 # Largest dimension we are willing to ship to every executor.
 BROADCAST_MAX_ROWS = 200_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True when ``df`` has at most ``limit`` rows (reads at most limit+1 rows)."""
-    return df.limit(limit + 1).count() <= limit
+def size_at_most(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes`` of data.
+
+    One bounded job: it reads at most ``max_rows + 1`` rows and sums their
+    text widths (every column as text, plus 8 bytes per value).
+    """
+    width = F.lit(0)
+    for c in df.columns:
+        width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + F.lit(8)
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint only when the row count is proven to be at most ``max_rows``."""
-    if row_count_at_most(df, max_rows):
+def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                    max_bytes: int = BROADCAST_MAX_BYTES) -> tuple[DataFrame, bool]:
+    """Broadcast hint only when rows and bytes are proven within bounds."""
+    if size_at_most(df, max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False
 

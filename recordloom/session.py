@@ -15,6 +15,9 @@ ENGINE_CONF = {
     # Filter the parent table's scan with a bloom filter of the (selective)
     # active fact side before the join shuffles it.
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Remove checkpoint files of the numbering once their data is unreferenced
+    # (a long-running stream checkpoints once per micro-batch).
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

@@ -284,3 +284,11 @@ def test_scan_tables_declared_types(spark, scratch):
     assert t["applicant"].schema["serial"].dataType.simpleString() == "bigint"
     assert "status_class" in t["applicant"].columns
     assert t["state"].count() == 25
+
+
+def test_sized_broadcast_bounds_rows_and_bytes(spark):
+    small = spark.range(10).select(F.col("id").cast("string").alias("k"))
+    assert joins.sized_broadcast(small)[1]
+    assert not joins.sized_broadcast(small, max_rows=5)[1]
+    wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("k"))
+    assert not joins.sized_broadcast(wide, max_bytes=5000)[1]
