@@ -18,6 +18,7 @@ import argparse
 import datetime as dt
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def _read_tables(spark: SparkSession, root: str, required: bool = True,
     for t in TABLES:
         try:
             df = spark.read.parquet(f"{root}/{t}")
-        except Exception:  # noqa: BLE001 - table not created yet
+        except AnalysisException:  # table not created yet
             if required:
                 raise
             continue
@@ -65,7 +66,7 @@ def _current(spark: SparkSession, root: str, out: str | None) -> pipelines.Regis
             if after is not None:
                 led = led.filter(F.col("run_id") > F.lit(after))
             fact = writeback.apply_ledger(fact, led)
-        except Exception:  # noqa: BLE001 - no run yet
+        except AnalysisException:  # no run yet
             pass
     return pipelines.Registry(fact, t["ministryofhomeaffairs"], t["ib_authority"], t["state"])
 
@@ -102,7 +103,7 @@ def _watermark(spark: SparkSession, root: str) -> str | None:
     """Last run id folded into the tables under ``root`` by ``compact``."""
     try:
         return spark.read.parquet(f"{root}/_compacted").agg(F.max("upto_run")).first()[0]
-    except Exception:  # noqa: BLE001 - never compacted
+    except AnalysisException:  # never compacted
         return None
 
 

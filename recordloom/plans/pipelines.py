@@ -6,6 +6,7 @@ import datetime as dt
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
         if ledger_after is not None:
             earlier = earlier.filter(F.col("run_id") > F.lit(ledger_after))
         fact = writeback.apply_ledger(fact, earlier)
-    except Exception:  # noqa: BLE001 - first run: no ledger yet
+    except AnalysisException:  # first run: no ledger yet
         pass
     reg = Registry(fact, reg.ministry, reg.authority, reg.state)
 

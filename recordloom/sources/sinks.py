@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,7 +104,7 @@ def current_version(spark: SparkSession, root: str) -> str | None:
     """Newest published version (reads only the small pointer table)."""
     try:
         p = spark.read.parquet(f"{root}/pointers")
-    except Exception:  # noqa: BLE001 - no pointer written yet
+    except AnalysisException:  # no pointer written yet
         return None
     row = p.agg(F.max(F.col("version").cast("string")).alias("v")).first()
     return row["v"] if row else None

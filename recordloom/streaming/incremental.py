@@ -17,11 +17,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.errors import StreamingQueryException
 
 from ..functions import text as tx
 from ..operators import joins, numbering, render, select
@@ -117,7 +117,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.parquet(path).schema  # noqa: B018 - listing only
         return True
-    except Exception:  # noqa: BLE001
+    except AnalysisException:  # path not there yet
         return False
 
 
