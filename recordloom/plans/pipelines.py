@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import time
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -99,7 +100,8 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     of earlier runs. OP-90 records -> OP-64 quarantine -> OP-40/60/63 batch
     documents (written per run id) -> OP-70 write-back of the rendered
     records only, appended as ledger rows (only changed keys are written) ->
-    OP-33 run summary appended to the run log -> OP-34..38 reports for the
+    OP-33 run summary (with the observed document count and elapsed time)
+    appended to the run log -> OP-34..38 reports for the
     new state. Rerunning a run id overwrites its own partitions; a new run
     (OP-81) picks up only what is still unprinted. ``run_id`` must sort in
     run order (``yyyyMMdd_HHmmss``). ``ledger_after`` skips ledger rows
@@ -108,6 +110,7 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     from ..operators import reporting, writeback
     from ..sources import sinks
 
+    started = time.perf_counter()
     spark = reg.applicant.sparkSession
     ledger_path = f"{out}/ledger"
     fact = reg.applicant
@@ -130,16 +133,22 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
         num = numbering.dense_record_number(ok, ["serial_no", "File_Number"], "rn")
         docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn", "serial_no"])
         docs_path = f"{out}/documents"
-        sinks.batch_doc_sink(render.assemble_batches(docs, batch_size), docs_path, run_id)
+        written = sinks.batch_doc_sink(render.assemble_batches(docs, batch_size), docs_path, run_id)
         bad.write.mode("overwrite").parquet(f"{out}/quarantine/run_id={run_id}")
 
         nxt = writeback.mark_printed_run(fact, num.select(F.col("serial_no").alias("serial")), run_date)
         (writeback.ledger_rows(nxt, run_id).drop("run_id")
                   .write.mode("overwrite").parquet(f"{ledger_path}/run_id={run_id}"))
 
-        summary_df = reporting.run_summary(run_id, fact, flagged)
-        summary_df.write.mode("append").parquet(f"{out}/run_log")
-        summary = summary_df.first().asDict()
+        summary = reporting.run_summary(run_id, fact, flagged).first().asDict()
+        # The document count was observed during the write; it must agree.
+        if written["documents"] != summary["rendered"]:
+            raise RuntimeError(f"documents written {written['documents']} != rendered {summary['rendered']}")
+        summary["batches"] = written["batches"]
+        summary["elapsed_sec"] = round(time.perf_counter() - started, 3)
+        log = spark.createDataFrame([summary], "run_id string, found long, rendered long, quarantined long, "
+                                               "updated long, batches long, elapsed_sec double")
+        log.write.mode("append").parquet(f"{out}/run_log")
     finally:
         flagged.unpersist()
 

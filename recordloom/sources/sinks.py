@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RUN_ID_FORMAT
@@ -49,16 +49,21 @@ def per_record_sink(docs: DataFrame, path: str, buckets: int | None = None) -> N
          .write.mode("overwrite").partitionBy("bucket").parquet(path))
 
 
-def batch_doc_sink(batches: DataFrame, path: str, run_id: str) -> None:
+def batch_doc_sink(batches: DataFrame, path: str, run_id: str) -> dict:
     """OP-08: one row per batch under ``run_id=...``; batch order = ``batch_id``.
 
     Dynamic partition overwrite replaces only this run's partition, so a rerun
-    of the same run id is idempotent.
+    of the same run id is idempotent. Returns the number of batches and
+    documents, observed while writing (OP-30 without an extra pass).
     """
     spark = batches.sparkSession
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    (batches.withColumn("run_id", F.lit(run_id))
+    obs = Observation(f"batches_{run_id}")
+    (batches.observe(obs, F.count(F.lit(1)).alias("batches"),
+                     F.coalesce(F.sum("n_docs"), F.lit(0)).cast("bigint").alias("documents"))
+            .withColumn("run_id", F.lit(run_id))
             .write.mode("overwrite").partitionBy("run_id").parquet(path))
+    return obs.get
 
 
 def read_batches(spark: SparkSession, path: str, run_id: str) -> DataFrame:

@@ -232,7 +232,11 @@ def test_close_the_loop_twice(spark, scratch):
     assert s1["updated"] == s1["rendered"]
     # Rerunning the same run id is idempotent.
     again = close_the_loop(reg, RUN, "20260115_0900", catalog.CERTIFICATE_TEMPLATE, out)
-    assert again.summary == s1
+    def counts(summary):
+        return {k: v for k, v in summary.items() if k != "elapsed_sec"}
+
+    assert counts(again.summary) == counts(s1)
+    assert s1["batches"] >= 1 and s1["elapsed_sec"] > 0
     # A later run sees the ledger: only the quarantined / unmatched stay unprinted.
     second = close_the_loop(reg, RUN, "20260115_1000", catalog.CERTIFICATE_TEMPLATE, out)
     assert second.summary["rendered"] == 0 and second.summary["updated"] == 0
