@@ -18,7 +18,13 @@ RUN = catalog.RUN_DATE
 
 
 def plan_text(df):
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The physical plan as printed by ``explain()`` (public API)."""
+    import io
+    from contextlib import redirect_stdout
+    buf = io.StringIO()
+    with redirect_stdout(buf):
+        df.explain(mode="extended")
+    return buf.getvalue().split("== Physical Plan ==", 1)[1]
 
 
 def test_dense_numbering_equals_global_row_number(spark):
