@@ -335,3 +335,32 @@ def test_status_partitions_prune_printed_history(spark, scratch):
     base = select.active_table(testdata.applicant(spark, SF_SMALL))
     assert sorted(r[0] for r in act.select("file_number").collect()) == \
            sorted(r[0] for r in base.select("file_number").collect())
+
+
+def test_hot_key_groupings_combine_before_the_shuffle(spark):
+    """Grouped operators that may meet a hot key aggregate partially first."""
+    import re
+    from recordloom.operators import dq, ingest, writeback
+    hot = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.col("id").cast("string")).alias("File_Number"),
+        F.lit("x").alias("Name"), F.lit(None).cast("string").alias("STATUS"), F.col("id").alias("_input_order"),
+        (F.col("id") + 2).alias("_row"))
+    led = hot.select(F.col("File_Number").alias("file_number"), F.lit("PRINTED").alias("status"),
+                     F.lit(None).cast("date").alias("date_issued"),
+                     F.col("_input_order").cast("string").alias("run_id"))
+    fact = hot.select(F.col("File_Number").alias("file_number"), F.col("STATUS").alias("status"),
+                      F.lit(None).cast("date").alias("date_issued"))
+    cases = {
+        "gate": (dq.dq_gate_counts(hot), r"partial_count"),
+        "first_wins": (ingest.first_per_key(hot, "File_Number"), r"partial_min_by"),
+        "per_record": (render.per_record_documents(hot.withColumn("doc", F.col("Name")), None, "_row", row_pos="_row"),
+                       r"partial_max_by"),
+        "ledger": (writeback.apply_ledger(fact, led), r"partial_max_by"),
+    }
+    for name, (df, partial) in cases.items():
+        plan = plan_text(df)
+        assert re.search(partial, plan), name
+        # the partial aggregate sits below (after, in the printed tree) the first exchange
+        assert plan.index("Exchange") < [m.start() for m in re.finditer(partial, plan)][-1], name
+    got = dq.dq_gate_counts(hot).first()
+    assert got["n_duplicate_rows"] == 1000 and got["failed_check"] == 5
