@@ -56,13 +56,12 @@ def batch_doc_sink(batches: DataFrame, path: str, run_id: str) -> dict:
     of the same run id is idempotent. Returns the number of batches and
     documents, observed while writing (OP-30 without an extra pass).
     """
-    spark = batches.sparkSession
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     obs = Observation(f"batches_{run_id}")
     (batches.observe(obs, F.count(F.lit(1)).alias("batches"),
                      F.coalesce(F.sum("n_docs"), F.lit(0)).cast("bigint").alias("documents"))
             .withColumn("run_id", F.lit(run_id))
-            .write.mode("overwrite").partitionBy("run_id").parquet(path))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("run_id").parquet(path))
     return obs.get
 
 
