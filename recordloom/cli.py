@@ -140,7 +140,7 @@ def cmd_sheet(a: argparse.Namespace) -> None:
         # Sheet line numbers for the reports: position in the file order.
         sheet = sheet.withColumn("_row", F.col("_input_order.pos") + F.lit(2))
     template = open(a.template, encoding="utf-8").read()
-    run = pipelines.sheet_pipeline(sheet, _date(a.run_date), template, a.batch_size)
+    run = pipelines.sheet_run(sheet, _date(a.run_date), template, a.batch_size)
     print(run.verdict.verdict, run.verdict.counts)
     if not run.verdict.passed:
         sys.exit(2)

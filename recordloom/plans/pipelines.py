@@ -169,7 +169,7 @@ class SheetRun:
     batches: DataFrame       # empty when the gate failed (fail closed)
 
 
-def sheet_pipeline(sheet: DataFrame, run_date: dt.date, template: str, batch_size: int = DEFAULT_BATCH_SIZE,
+def sheet_run(sheet: DataFrame, run_date: dt.date, template: str, batch_size: int = DEFAULT_BATCH_SIZE,
                    key: str = "File_Number", status: str = "STATUS", serial: str = "Serial",
                    row_col: str = "_row", date_columns: tuple[str, ...] = ("Registration_date",),
                    inject_year: bool = True) -> SheetRun:
@@ -195,7 +195,7 @@ def sheet_pipeline(sheet: DataFrame, run_date: dt.date, template: str, batch_siz
     return SheetRun(verdict, render.assemble_batches(docs, batch_size))
 
 
-def per_record_pipeline(sheet: DataFrame, template: str, status: str = "STATUS", serial: str | None = "Serial",
+def per_record_run(sheet: DataFrame, template: str, status: str = "STATUS", serial: str | None = "Serial",
                         row_col: str = "_row", date_columns: tuple[str, ...] = ("Registration_date",)) -> DataFrame:
     """OP-93: active sheet rows, dates formatted, one document per serial prefix.
 

@@ -280,14 +280,14 @@ def test_polling_trigger(spark, scratch):
 
 def test_sheet_pipeline_from_csv_files(spark, scratch):
     """OP-01 -> OP-03/04 -> OP-92: the sheet exported as CSV files runs the same."""
-    from recordloom.plans.pipelines import sheet_pipeline
+    from recordloom.plans.pipelines import sheet_run
     sh = testdata.processing_sheet(spark, SF_SMALL, catalog.YEAR, dirty=False)
     path = os.path.join(scratch, "sheet_csv")
     sh.repartition(3).write.option("header", True).csv(path)
     back = tables.scan_sheet(spark, path, "csv", with_row_order=False)
     back = tables.normalize_na(tables.normalize_headers(back)).withColumn("_row", F.col("_row").cast("bigint"))
-    a = sheet_pipeline(back, RUN, catalog.CERTIFICATE_TEMPLATE, 100)
-    b = sheet_pipeline(sh, RUN, catalog.CERTIFICATE_TEMPLATE, 100)
+    a = sheet_run(back, RUN, catalog.CERTIFICATE_TEMPLATE, 100)
+    b = sheet_run(sh, RUN, catalog.CERTIFICATE_TEMPLATE, 100)
     assert a.verdict.passed and b.verdict.passed
     ta = [r["text"] for r in a.batches.orderBy("batch_id").collect()]
     tb = [r["text"] for r in b.batches.orderBy("batch_id").collect()]
@@ -295,18 +295,18 @@ def test_sheet_pipeline_from_csv_files(spark, scratch):
 
 
 def test_sheet_pipeline_fails_closed(spark):
-    from recordloom.plans.pipelines import sheet_pipeline
+    from recordloom.plans.pipelines import sheet_run
     sh = testdata.processing_sheet(spark, SF_SMALL, catalog.YEAR, dirty=True)
-    run = sheet_pipeline(sh, RUN, catalog.CERTIFICATE_TEMPLATE, 100)
+    run = sheet_run(sh, RUN, catalog.CERTIFICATE_TEMPLATE, 100)
     assert run.verdict.failed_check == 4
     assert run.batches.count() == 0
 
 
 def test_per_record_without_serial_column(spark):
-    from recordloom.plans.pipelines import per_record_pipeline
+    from recordloom.plans.pipelines import per_record_run
     df = spark.createDataFrame([("A", None, 2), ("B", "PRINTED", 3), ("C", "", 4)],
                                "Name string, STATUS string, _row long")
-    got = dict((r[0], r[1]) for r in per_record_pipeline(df, "{{Name}}").collect())
+    got = dict((r[0], r[1]) for r in per_record_run(df, "{{Name}}").collect())
     assert got == {"row1": "A", "row3": "C"}
 
 
