@@ -122,6 +122,15 @@ def dq_gate_counts(df: DataFrame, key: str = "File_Number", status: str = "STATU
     for _, f in flags:
         any_missing = any_missing | f
     act = _active_flag(status)
+    if key not in df.columns:
+        # No key column: nothing can be a duplicate; checks 1-4 in one pass.
+        totals = df.agg(
+            F.count(F.lit(1)).cast("bigint").alias("n_rows"),
+            F.count_if(act).cast("bigint").alias("n_active"),
+            F.count_if(act & any_missing).cast("bigint").alias("n_missing_rows"),
+            F.lit(0).cast("bigint").alias("n_duplicate_rows"),
+        )
+        return totals.withColumn("failed_check", _first_failure()).withColumn("verdict", _verdict_col())
     per_key = (df.select(F.col(key).alias("__k"), act.alias("__a"), (act & any_missing).alias("__m"))
                  .groupBy("__k")
                  .agg(F.count(F.lit(1)).alias("__rows"),
@@ -134,11 +143,15 @@ def dq_gate_counts(df: DataFrame, key: str = "File_Number", status: str = "STATU
         F.coalesce(F.sum(F.when(F.col("__act") > 1, F.col("__act"))), F.lit(0)).cast("bigint")
          .alias("n_duplicate_rows"),
     )
-    failed = (F.when(F.col("n_rows") == 0, F.lit(1))
-               .when(F.col("n_active") == 0, F.lit(3))
-               .when(F.col("n_missing_rows") > 0, F.lit(4))
-               .when(F.col("n_duplicate_rows") > 0, F.lit(5)))
-    return totals.withColumn("failed_check", failed).withColumn("verdict", _verdict_col())
+    return totals.withColumn("failed_check", _first_failure()).withColumn("verdict", _verdict_col())
+
+
+def _first_failure() -> Column:
+    """The first failing check in the fixed order (NULL when all pass)."""
+    return (F.when(F.col("n_rows") == 0, F.lit(1))
+             .when(F.col("n_active") == 0, F.lit(3))
+             .when(F.col("n_missing_rows") > 0, F.lit(4))
+             .when(F.col("n_duplicate_rows") > 0, F.lit(5)))
 
 
 def _verdict_col() -> Column:

@@ -292,3 +292,9 @@ def test_sized_broadcast_bounds_rows_and_bytes(spark):
     assert not joins.sized_broadcast(small, max_rows=5)[1]
     wide = spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("k"))
     assert not joins.sized_broadcast(wide, max_bytes=5000)[1]
+
+
+def test_gate_without_key_column(spark):
+    df = spark.createDataFrame([("x", "IN PROCESS", 2), ("x", None, 3)], "Name string, STATUS string, _row long")
+    res = dq.dq_gate(df)
+    assert res.passed and res.counts["n_duplicate_rows"] == 0 and res.counts["n_active"] == 2
