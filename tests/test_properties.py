@@ -68,3 +68,43 @@ def test_gate_counts_match_python(spark, rows):
     assert got["n_duplicate_rows"] == dup_rows
     expected = (1 if not rows else 3 if not active else 4 if missing else 5 if dup_rows else None)
     assert got["failed_check"] == expected
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 10_000)), min_size=0, max_size=60, unique_by=lambda t: t[1]),
+       st.integers(1, 6))
+def test_dense_numbering_matches_sorted_order(spark, pairs, parts):
+    from recordloom.operators import numbering
+    df = spark.createDataFrame(pairs, "k int, u int") if pairs else spark.createDataFrame([], "k int, u int")
+    got = {r["u"]: r["rn"] for r in numbering.dense_record_number(df, ["k", "u"], num_partitions=parts).collect()}
+    expected = {u: i + 1 for i, (k, u) in enumerate(sorted(pairs))}
+    assert got == expected
+
+
+FIELDS = ["A", "B", "Nope"]
+pieces = st.one_of(st.sampled_from(["x", " ", "-", ":"]), st.sampled_from([f"{{{{{f}}}}}" for f in FIELDS]))
+lines_ = st.lists(st.lists(pieces, max_size=4).map("".join), min_size=1, max_size=4).map("\n".join)
+
+
+def _py_render(template, row, suppress):
+    out = []
+    for line in template.split("\n"):
+        fields = re.findall(r"\{\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*\}\}", line)
+        literal = re.sub(r"\{\{\s*[A-Za-z_][A-Za-z0-9_]*\s*\}\}", "", line)
+        filled = re.sub(r"\{\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*\}\}", lambda m: row.get(m.group(1)) or "", line)
+        if suppress and fields and literal.strip() == "" and all(not (row.get(f) or "") for f in fields):
+            continue
+        out.append(filled)
+    return "\n".join(out)
+
+
+@settings(max_examples=12, deadline=None)
+@given(lines_, st.lists(st.tuples(st.one_of(st.none(), st.sampled_from(["", "a", "bb"])),
+                                  st.one_of(st.none(), st.sampled_from(["", "c"]))), min_size=1, max_size=5),
+       st.booleans())
+def test_render_matches_python(spark, template, values, suppress):
+    from recordloom.operators import render
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(values)], "i int, A string, B string")
+    got = [r["doc"] for r in render.render_documents(df, template, suppress_blank_lines=suppress,
+                                                     keep=["i"]).orderBy("i").collect()]
+    assert got == [_py_render(template, {"A": a, "B": b}, suppress) for a, b in values]
