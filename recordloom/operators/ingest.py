@@ -9,7 +9,8 @@ anti join against the keys already in the target.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,20 +57,25 @@ def first_pairs(df: DataFrame, key: str, value: str, order: str = ORDER_COL) ->
     return first_per_key(df.select(key, value, order), key, order).select(key, value)
 
 
-@dataclass(frozen=True)
+@dataclass
 class StarLoad:
     """Rows to append to each table in one load (publish them together).
 
     ``violations`` lists the new fact rows that break a foreign key (against
     existing plus new parent rows) or a NOT NULL / CHECK / length rule. A
     load with violations is refused as a whole, as one transaction would be.
+    It is built on first use (its dimension size checks are small jobs).
     """
 
     state: DataFrame
     authority: DataFrame
     ministry: DataFrame
     applicant: DataFrame
-    violations: DataFrame
+    existing: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+
+    @cached_property
+    def violations(self) -> DataFrame:
+        return _load_violations(self.applicant, self.existing, self.state, self.authority, self.ministry)
 
 
 def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFrame] | None = None,
@@ -124,8 +130,7 @@ def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFr
                        "name_of_father", "name_of_mother", "address_line_1", "address_line_2",
                        "address_line_3", "registration_date", "status", "date_issued",
                        "mha_file_number", "ib_staff_authority_id")
-    violations = _load_violations(fact, existing, st_new, au_new, mha)
-    return StarLoad(st_new, au_new, mha, fact, violations)
+    return StarLoad(st_new, au_new, mha, fact, existing)
 
 
 def _load_violations(fact: DataFrame, existing: dict[str, DataFrame], st_new: DataFrame,
