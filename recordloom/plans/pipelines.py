@@ -184,9 +184,10 @@ def sheet_run(sheet: DataFrame, run_date: dt.date, template: str, batch_size: in
 
     verdict = dq.dq_gate(sheet, key, status)
     act = select.active_sheet(dq.gated(sheet, verdict), status)
+    types = dict(act.dtypes)
     for c in date_columns:
         if c in act.columns:
-            act = act.withColumn(c, tx.parse_format_date(c))
+            act = act.withColumn(c, tx.parse_format_date(c, types[c]))
     if inject_year:
         act = select.inject_year(act, run_date.year)
     act = select.add_serial_helper(act, serial)
@@ -205,9 +206,10 @@ def per_record_run(sheet: DataFrame, template: str, status: str = "STATUS", seri
     from ..functions import text as tx
 
     act = select.active_sheet(sheet, status)
+    types = dict(act.dtypes)
     for c in date_columns:
         if c in act.columns:
-            act = act.withColumn(c, tx.parse_format_date(c))
+            act = act.withColumn(c, tx.parse_format_date(c, types[c]))
     docs = render.render_documents(act, template)
     use_serial = serial if serial is not None and serial in sheet.columns else None
     return render.per_record_documents(docs, use_serial, row_col, row_pos=row_col)

@@ -298,3 +298,11 @@ def test_gate_without_key_column(spark):
     df = spark.createDataFrame([("x", "IN PROCESS", 2), ("x", None, 3)], "Name string, STATUS string, _row long")
     res = dq.dq_gate(df)
     assert res.passed and res.counts["n_duplicate_rows"] == 0 and res.counts["n_active"] == 2
+
+
+def test_sheet_dates_from_typed_columns(spark):
+    from recordloom.plans.pipelines import per_record_run
+    df = spark.createDataFrame([("1/2026", dt.datetime(2025, 1, 15, 8, 30), 2)],
+                               "Serial string, Registration_date timestamp, _row long").withColumn("STATUS", F.lit(None))
+    got = per_record_run(df, "{{Registration_date}}").collect()
+    assert [(r[0], r[1]) for r in got] == [("1", "15/01/2025")]
