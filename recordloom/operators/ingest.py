@@ -93,6 +93,9 @@ def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFr
     """
     existing = existing or {}
     intake = tables.normalize_headers(intake)
+    if order not in intake.columns:
+        raise ValueError(f"intake has no '{order}' column: first-wins needs the sheet's row order "
+                         "(sources.tables.scan_sheet adds it)")
     st_src = state_rows if state_rows is not None else tables.state_master(spark)
     au_src = authority_rows if authority_rows is not None else tables.authority_master(spark)
     amap = authority_map if authority_map is not None else tables.authority_map(spark)
