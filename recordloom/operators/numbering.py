@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,24 +35,36 @@ def _num_partitions(df: DataFrame, requested: int | None) -> int:
 
 
 def dense_record_number(df: DataFrame, order_cols: Sequence[str | Column], rn: str = "rn",
-                        num_partitions: int | None = None) -> DataFrame:
+                        num_partitions: int | None = None, persist_input: bool = True) -> DataFrame:
     """OP-40: number rows 1..N without gaps in ``order_cols`` order.
 
     ``order_cols`` must be a total order (unique together) for the numbering
     to be deterministic; pass the record key as the last column. The result
     keeps the range partitioning, so a following per-batch aggregation works
     on co-located, ordered rows.
+
+    Range partitioning reads its whole input twice (bound sampling, then the
+    shuffle). The input is usually a join pipeline, so with ``persist_input``
+    it is kept (memory, spilling to disk) only until the checkpoint is
+    written, and the upstream joins run once.
     """
     n = _num_partitions(df, num_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    # Explicit partition count: AQE leaves this shuffle's partitions alone, so
-    # the partition index seen by monotonically_increasing_id is stable.
     ensure_checkpoint_dir(df.sparkSession)
-    tagged = (df.repartitionByRange(n, *cols)
-                .sortWithinPartitions(*cols)
-                .withColumn("__mid", F.monotonically_increasing_id())
-                .checkpoint(eager=True)
-                .withColumn("__part", F.shiftright(F.col("__mid"), _PART_SHIFT)))
+    # Leave a caller's own cache alone: only a cache made here is released here.
+    own_cache = persist_input and not df.is_cached
+    src = df.persist(StorageLevel.MEMORY_AND_DISK) if own_cache else df
+    try:
+        # Explicit partition count: AQE leaves this shuffle's partitions alone, so
+        # the partition index seen by monotonically_increasing_id is stable.
+        tagged = (src.repartitionByRange(n, *cols)
+                     .sortWithinPartitions(*cols)
+                     .withColumn("__mid", F.monotonically_increasing_id())
+                     .checkpoint(eager=True)
+                     .withColumn("__part", F.shiftright(F.col("__mid"), _PART_SHIFT)))
+    finally:
+        if own_cache:
+            src.unpersist()
     counts = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__cnt"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__off"))
