@@ -1,7 +1,7 @@
 """Joins of the registry star (OP-20..25).
 
-Base dimension tables are broadcast only after a bounded row count proves
-they are small. Sides derived inside the query (key sets, key maps) are not
+Base dimension tables are broadcast only after a bounded probe proves their
+row count and size small. Sides derived inside the query (key sets, key maps) are not
 pre-counted (that would compute them twice); AQE measures them at run time
 and turns the join into a broadcast when the shuffled side is small, or keeps
 a sort-merge join and splits skewed partitions otherwise.
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest dimension we are willing to ship to every executor.
+# Largest dimension we are willing to ship to every executor (rows and bytes).
 BROADCAST_MAX_ROWS = 200_000
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
