@@ -364,3 +364,20 @@ def test_hot_key_groupings_combine_before_the_shuffle(spark):
         assert plan.index("Exchange") < [m.start() for m in re.finditer(partial, plan)][-1], name
     got = dq.dq_gate_counts(hot).first()
     assert got["n_duplicate_rows"] == 1000 and got["failed_check"] == 5
+
+
+def test_stream_without_marking_reselects(spark, scratch):
+    """OP-82 with mark=False: nothing is recorded, so later batches render the same records again."""
+    src = os.path.join(scratch, "incoming")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    orders.write.parquet(os.path.join(src, "part1"))
+    job = _job(spark, os.path.join(scratch, "out"), SF_SMALL)
+    job.mark = False
+    ck = os.path.join(scratch, "ck")
+    job.start(stream_source(spark, os.path.join(src, "*"), orders.schema), ck).awaitTermination()
+    orders.write.parquet(os.path.join(src, "part2"))
+    job.start(stream_source(spark, os.path.join(src, "*"), orders.schema), ck).awaitTermination()
+    docs = spark.read.parquet(os.path.join(scratch, "out", "documents"))
+    per_batch = {r["batch_id"]: r["n"] for r in docs.groupBy("batch_id").agg(F.sum("n_docs").alias("n")).collect()}
+    assert len(per_batch) == 2 and len(set(per_batch.values())) == 1
+    assert job.ledger().count() == 0
