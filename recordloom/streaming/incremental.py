@@ -5,7 +5,7 @@ new fact rows. Each micro-batch runs the batch pipeline inside
 ``foreachBatch``: select unprinted rows, drop those the printed ledger already
 holds (OP-82), join, render, number and assemble, then write the batch
 documents, the ledger rows and the quarantine rows to
-``<out>/<table>/batch_id=<id>``. A replayed micro-batch overwrites exactly its
+``<out>/<table>/micro_batch=<id>``. A replayed micro-batch overwrites exactly its
 own folders and ignores its own earlier ledger rows, so a restart from the
 checkpoint gives the same ledger (exactly-once by idempotent writes).
 """
@@ -56,7 +56,9 @@ class IncrementalJob:
     # -- locations ---------------------------------------------------------
     def path(self, table: str, batch_id: int | None = None) -> str:
         base = f"{self.out.rstrip('/')}/{table}"
-        return base if batch_id is None else f"{base}/batch_id={batch_id}"
+        # Folder partition "micro_batch": the documents' own "batch_id" column
+        # (the batch of at most batch_size documents) must not be shadowed.
+        return base if batch_id is None else f"{base}/micro_batch={batch_id}"
 
     def init_ledger(self) -> None:
         """An empty ledger partition so readers always find the table."""
@@ -64,10 +66,10 @@ class IncrementalJob:
         empty.write.mode("overwrite").parquet(self.path("ledger", -1))
 
     def ledger(self, before_batch: int | None = None) -> DataFrame:
-        schema = T.StructType([*LEDGER_COLUMNS.fields, T.StructField("batch_id", T.LongType())])
+        schema = T.StructType([*LEDGER_COLUMNS.fields, T.StructField("micro_batch", T.LongType())])
         led = self.spark.read.schema(schema).parquet(self.path("ledger"))
         if before_batch is not None:
-            led = led.filter(F.col("batch_id") != F.lit(before_batch))
+            led = led.filter(F.col("micro_batch") != F.lit(before_batch))
         return led
 
     # -- one micro-batch -----------------------------------------------------

@@ -378,6 +378,9 @@ def test_stream_without_marking_reselects(spark, scratch):
     orders.write.parquet(os.path.join(src, "part2"))
     job.start(stream_source(spark, os.path.join(src, "*"), orders.schema), ck).awaitTermination()
     docs = spark.read.parquet(os.path.join(scratch, "out", "documents"))
-    per_batch = {r["batch_id"]: r["n"] for r in docs.groupBy("batch_id").agg(F.sum("n_docs").alias("n")).collect()}
+    per_batch = {r["micro_batch"]: r["n"] for r in
+                 docs.groupBy("micro_batch").agg(F.sum("n_docs").alias("n")).collect()}
+    # the documents keep their own batch numbering inside each micro-batch
+    assert docs.filter("batch_id = 0").count() == 2
     assert len(per_batch) == 2 and len(set(per_batch.values())) == 1
     assert job.ledger().count() == 0
