@@ -147,6 +147,21 @@ def ledger_rows(next_state: DataFrame, run_id: str, key: str = "file_number",
     return next_state.filter(F.col("changed")).select(key, *cols, F.lit(run_id).alias("run_id"))
 
 
+def printed_ledger(fact: DataFrame, run_keys: DataFrame, run_date: dt.date, run_id: str,
+                   key: str = "serial", row_key: str = "file_number") -> DataFrame:
+    """OP-70 as ledger rows, reading only what can change.
+
+    The same rows ``mark_printed_run`` would change (the run's keys, still
+    unprinted), found by a semi join of the *active* rows with the run keys,
+    so a fact stored by status class only reads its ACTIVE folders.
+    """
+    from .select import active_table
+    keys = run_keys.select(key).distinct()
+    hit = active_table(fact).join(keys, key, "left_semi")
+    return hit.select(row_key, key, F.lit(STATUS_PRINTED).alias("status"),
+                      tx.run_date(run_date).alias("date_issued"), F.lit(run_id).alias("run_id"))
+
+
 def apply_ledger(fact: DataFrame, ledger: DataFrame, key: str = "file_number", run_col: str = "run_id",
                  cols: Sequence[str] = ("status", "date_issued")) -> DataFrame:
     """Current state = base table overlaid with each key's latest ledger row.

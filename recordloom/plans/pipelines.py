@@ -136,8 +136,8 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
         written = sinks.batch_doc_sink(render.assemble_batches(docs, batch_size), docs_path, run_id)
         bad.write.mode("overwrite").parquet(f"{out}/quarantine/run_id={run_id}")
 
-        nxt = writeback.mark_printed_run(fact, num.select(F.col("serial_no").alias("serial")), run_date)
-        (writeback.ledger_rows(nxt, run_id).drop("run_id")
+        run_keys = num.select(F.col("serial_no").alias("serial"))
+        (writeback.printed_ledger(fact, run_keys, run_date, run_id).drop("run_id")
                   .write.mode("overwrite").parquet(f"{ledger_path}/run_id={run_id}"))
 
         summary = reporting.run_summary(run_id, fact, flagged).first().asDict()

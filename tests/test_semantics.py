@@ -306,3 +306,14 @@ def test_sheet_dates_from_typed_columns(spark):
                                "Serial string, Registration_date timestamp, _row long").withColumn("STATUS", F.lit(None))
     got = per_record_run(df, "{{Registration_date}}").collect()
     assert [(r[0], r[1]) for r in got] == [("1", "15/01/2025")]
+
+
+def test_printed_ledger_equals_changed_rows(spark):
+    fact = spark.createDataFrame([("F1", 1, "IN PROCESS", None), ("F2", 2, "PRINTED", None), ("F3", 3, None, None),
+                                  ("F4", 1, " printed ", None)],
+                                 "file_number string, serial long, status string, date_issued date")
+    keys = spark.createDataFrame([(1,), (2,)], "serial long")
+    a = sorted(rows(writeback.printed_ledger(fact, keys, RUN, "r1"), "file_number", "status", "date_issued"))
+    b = sorted(rows(writeback.ledger_rows(writeback.mark_printed_run(fact, keys, RUN), "r1"),
+                    "file_number", "status", "date_issued"))
+    assert a == b == [("F1", "PRINTED", RUN), ("F4", "PRINTED", RUN)]
