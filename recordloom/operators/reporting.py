@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..schemas import STATUS_PRINTED
 from .joins import join_state, left_join_dimension
+from .select import active_table
 
 
 def count_selected(df: DataFrame) -> DataFrame:
@@ -32,15 +33,17 @@ def run_summary(run_id: str, fact: DataFrame, flagged: DataFrame, status: str =
     """OP-33: found / rendered / quarantined / updated for one run, as one row.
 
     ``flagged`` holds the run's records with the boolean ``flag`` (render
-    failed). One data flow: the fact is left-joined to the flags on its
-    primary key, aggregated per serial (map-side combined, so a repeated
+    failed). One data flow: the fact's unprinted rows are left-joined to the
+    flags on their primary key, aggregated per serial (map-side combined, so a repeated
     serial cannot pile up in one task), then totalled. ``updated`` follows
     the write-back's rule: every still-unprinted row whose serial belongs to
     a rendered record.
     """
     flags = flagged.select(F.col(rec_key).alias(fact_key), F.col(flag).alias("__bad"))
-    active = tx.status_norm_table(status) != F.lit(STATUS_PRINTED)
-    j = fact.select(fact_key, serial, active.alias("__act")).join(flags, fact_key, "left")
+    # Every count concerns rows still to print, so only those are read (a fact
+    # stored by status class reads just its ACTIVE folders).
+    act_rows = active_table(fact, status)
+    j = act_rows.select(fact_key, serial, F.lit(True).alias("__act")).join(flags, fact_key, "left")
     per_serial = j.groupBy(serial).agg(
         F.count_if("__act").alias("n_act"),
         F.count_if(F.col("__bad").isNotNull() & ~F.col("__bad")).alias("n_ok"),
