@@ -153,7 +153,11 @@ def cmd_sheet(a: argparse.Namespace) -> None:
 def cmd_watch(a: argparse.Namespace) -> None:
     from .streaming.incremental import IncrementalJob, run_with_restarts, stream_source
     spark = _session()
-    t = _read_tables(spark, a.tables)
+    # New applicant rows arrive as files; only the dimensions are read here.
+    t = _read_tables(spark, a.tables, required=False)
+    missing = [n for n in ("state", "ib_authority", "ministryofhomeaffairs") if n not in t]
+    if missing:
+        raise SystemExit(f"missing tables under {a.tables}: {', '.join(missing)}")
     template = open(a.template, encoding="utf-8").read()
     job = IncrementalJob(spark=spark, to_fact=lambda b: b, ministry=t["ministryofhomeaffairs"],
                          authority=t["ib_authority"], state=t["state"], template=template,

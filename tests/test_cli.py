@@ -91,3 +91,23 @@ def test_cli_compact_then_run(spark, scratch):
     cli.main(["run", "--tables", new_root, "--template", tpl, "--out", out, "--run-id", "20260115_1000",
               "--run-date", "2026-01-15"])
     assert spark.read.parquet(f"{out}/ledger").filter("run_id = '20260115_1000'").count() == 0
+
+
+def test_cli_watch_once(spark, scratch):
+    from recordloom.schemas import APPLICANT_SCHEMA
+    root = os.path.join(scratch, "tables")
+    for name, df in testdata.registry(spark, SF_SMALL).items():
+        if name != "applicant":
+            df.write.parquet(f"{root}/{name}/load_id=base")
+    incoming = os.path.join(scratch, "incoming")
+    app = testdata.applicant(spark, SF_SMALL)
+    assert app.schema.fieldNames() == APPLICANT_SCHEMA.fieldNames()
+    app.repartition(3).write.parquet(incoming)
+    tpl = os.path.join(scratch, "template.txt")
+    with open(tpl, "w", encoding="utf-8") as f:
+        f.write(catalog.CERTIFICATE_TEMPLATE)
+    out = os.path.join(scratch, "stream")
+    cli.main(["watch", "--incoming", incoming, "--tables", root, "--template", tpl, "--out", out,
+              "--run-date", "2026-01-15", "--once"])
+    got = spark.read.parquet(f"{out}/ledger").select("file_number").distinct().count()
+    assert got == catalog.QUERIES["incremental_ledger"](spark, SF_SMALL).count()
