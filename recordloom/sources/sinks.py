@@ -25,8 +25,13 @@ def run_name(run_ts: dt.datetime, fmt: str = RUN_ID_FORMAT) -> str:
 
 
 def run_id_column(run_ts: dt.datetime, fmt: str = RUN_ID_FORMAT) -> Column:
-    """OP-09 as a column: ``date_format(run timestamp, fmt)``."""
-    return F.date_format(F.lit(run_ts).cast("timestamp"), fmt)
+    """OP-09 as a column: ``date_format(run timestamp, fmt)``.
+
+    The timestamp is a zone-free ``timestamp_ntz``, so the id does not depend
+    on the session time zone.
+    """
+    ts = F.lit(run_ts.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return F.date_format(ts, fmt)
 
 
 def bridge_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
