@@ -140,6 +140,11 @@ def cmd_sheet(a: argparse.Namespace) -> None:
         # Sheet line numbers for the reports: position in the file order.
         sheet = sheet.withColumn("_row", F.col("_input_order.pos") + F.lit(2))
     template = open(a.template, encoding="utf-8").read()
+    if a.per_record:
+        # v1/v2 style: no gate, one document per record named by its serial prefix.
+        docs = pipelines.per_record_run(sheet, template)
+        sinks.per_record_sink(docs, f"{a.out}/per_record/run_id={a.run_id}")
+        return
     run = pipelines.sheet_run(sheet, _date(a.run_date), template, a.batch_size)
     print(run.verdict.verdict, run.verdict.counts)
     if not run.verdict.passed:
@@ -204,6 +209,8 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--sheet", required=True)
             s.add_argument("--format", default="csv", choices=["csv", "parquet"])
             s.add_argument("--mark", action="store_true", help="write the sheet's next version with PRINTED marks")
+            s.add_argument("--per-record", action="store_true",
+                           help="one document per record (named by serial prefix), without the gate")
         if name == "watch":
             s.add_argument("--incoming", required=True)
             s.add_argument("--poll", type=int, default=DEFAULT_POLL_SECONDS)

@@ -62,6 +62,10 @@ def test_cli_load_select_run_sheet(spark, scratch):
     sout = os.path.join(scratch, "sheet_run")
     cli.main(["sheet", "--sheet", sheet_dir, "--template", tpl, "--out", sout, "--run-id", "20260115_1000",
               "--run-date", "2026-01-15", "--mark"])
+    cli.main(["sheet", "--sheet", sheet_dir, "--template", tpl, "--out", sout, "--run-id", "20260115_1100",
+              "--per-record"])
+    per_record = spark.read.parquet(f"{sout}/per_record")
+    assert per_record.count() == per_record.select("doc_name").distinct().count() > 0
     marked = spark.read.option("header", True).csv(f"{sout}/sheet")
     assert marked.filter(F.upper(F.trim("STATUS")) != "PRINTED").count() == 0
     assert spark.read.parquet(f"{sout}/documents").count() > 0
