@@ -108,3 +108,36 @@ def test_render_matches_python(spark, template, values, suppress):
     got = [r["doc"] for r in render.render_documents(df, template, suppress_blank_lines=suppress,
                                                      keep=["i"]).orderBy("i").collect()]
     assert got == [_py_render(template, {"A": a, "B": b}, suppress) for a, b in values]
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["K1", "K2", "K3", None]), st.integers(0, 99)), max_size=40,
+                unique_by=lambda t: t[1]),
+       st.sets(st.sampled_from(["K1", "K2", "K3"])))
+def test_insert_ignore_matches_python(spark, rows_, existing):
+    """OP-49: first row per key in input order, keys already present skipped, NULL keys not insertable."""
+    from recordloom.operators import ingest
+    new = spark.createDataFrame([(k, o, f"v{o}") for k, o in rows_] or [], "k string, _input_order int, v string")
+    target = spark.createDataFrame([(k,) for k in sorted(existing)] or [], "k string")
+    got = sorted(tuple(r) for r in ingest.insert_ignore(new, target, "k").select("k", "v").collect())
+    first = {}
+    for k, o in sorted(rows_, key=lambda t: t[1]):
+        if k is not None and k not in existing and k not in first:
+            first[k] = f"v{o}"
+    assert got == sorted(first.items())
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["F1", "F2", "F3"]), st.sampled_from(["PRINTED", "IN PROCESS"]),
+                          st.integers(0, 50)), max_size=20, unique_by=lambda t: t[2]))
+def test_apply_ledger_matches_python(spark, entries):
+    from recordloom.operators import writeback
+    fact = spark.createDataFrame([("F1", "IN PROCESS", None), ("F2", None, None), ("F3", "x", None), ("F4", "y", None)],
+                                 "file_number string, status string, date_issued date")
+    led = spark.createDataFrame([(f, s, None, f"{r:04d}") for f, s, r in entries] or [],
+                                "file_number string, status string, date_issued date, run_id string")
+    got = {r[0]: r[1] for r in writeback.apply_ledger(fact, led).collect()}
+    expected = {"F1": "IN PROCESS", "F2": None, "F3": "x", "F4": "y"}
+    for f, s, r in sorted(entries, key=lambda t: t[2]):
+        expected[f] = s
+    assert got == expected

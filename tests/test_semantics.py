@@ -317,3 +317,12 @@ def test_printed_ledger_equals_changed_rows(spark):
     b = sorted(rows(writeback.ledger_rows(writeback.mark_printed_run(fact, keys, RUN), "r1"),
                     "file_number", "status", "date_issued"))
     assert a == b == [("F1", "PRINTED", RUN), ("F4", "PRINTED", RUN)]
+
+
+def test_backlog_age_buckets(spark):
+    from recordloom.operators import reporting
+    ages = [0, 30, 31, 90, 91, 365, 366]
+    fact = spark.createDataFrame([(RUN - dt.timedelta(days=a), None) for a in ages],
+                                 "registration_date date, status string")
+    got = {r["age_bucket"]: r["n_backlog"] for r in reporting.report_backlog(fact, RUN).collect()}
+    assert got == {"0-30 days": 2, "31-90 days": 2, "91-365 days": 2, "over 365 days": 1}
