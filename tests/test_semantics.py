@@ -326,3 +326,19 @@ def test_backlog_age_buckets(spark):
                                  "registration_date date, status string")
     got = {r["age_bucket"]: r["n_backlog"] for r in reporting.report_backlog(fact, RUN).collect()}
     assert got == {"0-30 days": 2, "31-90 days": 2, "91-365 days": 2, "over 365 days": 1}
+
+
+def test_cascade_keeps_fact_joinable(spark):
+    """OP-75: after renaming parent keys on both sides, every fact still finds its parent."""
+    reg = _registry(spark, [_fact("F1", 1, mha="M1"), _fact("F2", 2, mha="M1")])
+    m = spark.createDataFrame([("M1", "M1-R")], "old_key string, new_key string")
+    parent = writeback.rename_parent_keys(reg.ministry, m, "mha_file_number")
+    fact = writeback.key_change_cascade(reg.applicant, m, "mha_file_number")
+    assert joins.join_parent_inner(fact, parent).count() == 2
+    assert joins.join_parent_inner(reg.applicant, parent).count() == 0
+
+
+def test_orphans_null_state_is_reported(spark):
+    reg = _registry(spark, [_fact("F1", 1, state=None, ib=None)])
+    got = rows(dq.dq_orphans(reg.applicant, reg.state, reg.ministry, reg.authority), "check_name", "detail")
+    assert got == [("fk_state", "state_code is NULL")]
