@@ -384,3 +384,22 @@ def test_stream_without_marking_reselects(spark, scratch):
     assert docs.filter("batch_id = 0").count() == 2
     assert len(per_batch) == 2 and len(set(per_batch.values())) == 1
     assert job.ledger().count() == 0
+
+
+def test_catalog_is_documented_and_complete():
+    """Every registered query names its SURVEY operator(s) and has an oracle."""
+    import re
+    import __spark_entry__ as E
+    qs, sql = E.queries(), E.oracle_sql()
+    assert set(qs) == set(sql)
+    for k, fn in qs.items():
+        doc = (fn.__doc__ or "").strip()
+        assert re.match(r"^(OP|SF)-\d\d", doc), k
+        assert "pipeline" not in k and not re.match(r"^op\d", k), k
+
+
+def test_entry_schema_is_stable(spark):
+    import __spark_entry__ as E
+    a, b = E.entry(spark), E.entry(spark)
+    assert a.schema == b.schema
+    assert a.columns[:12] == list(__import__("recordloom.schemas", fromlist=["RECORD_FIELDS"]).RECORD_FIELDS)
