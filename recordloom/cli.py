@@ -167,7 +167,7 @@ def cmd_watch(a: argparse.Namespace) -> None:
     job = IncrementalJob(spark=spark, to_fact=lambda b: b, ministry=t["ministryofhomeaffairs"],
                          authority=t["ib_authority"], state=t["state"], template=template,
                          run_date=_date(a.run_date), out=a.out, batch_size=a.batch_size)
-    src = stream_source(spark, a.incoming, APPLICANT_SCHEMA)
+    src = stream_source(spark, a.incoming, APPLICANT_SCHEMA, max_files_per_trigger=a.max_files)
     run_with_restarts(lambda: job.start(src, f"{a.out}/_checkpoint", once=a.once, poll_seconds=a.poll))
 
 
@@ -215,6 +215,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--incoming", required=True)
             s.add_argument("--poll", type=int, default=DEFAULT_POLL_SECONDS)
             s.add_argument("--once", action="store_true", help="process what is there and stop")
+            s.add_argument("--max-files", type=int, help="cap on new files per micro-batch (bounds a backlog)")
     s = sub.add_parser("compact", help="fold the ledger into a new copy of the tables")
     s.add_argument("--tables", required=True)
     s.add_argument("--out", required=True, help="run folder holding the ledger")

@@ -112,6 +112,8 @@ def test_cli_watch_once(spark, scratch):
         f.write(catalog.CERTIFICATE_TEMPLATE)
     out = os.path.join(scratch, "stream")
     cli.main(["watch", "--incoming", incoming, "--tables", root, "--template", tpl, "--out", out,
-              "--run-date", "2026-01-15", "--once"])
-    got = spark.read.parquet(f"{out}/ledger").select("file_number").distinct().count()
+              "--run-date", "2026-01-15", "--once", "--max-files", "1"])
+    led = spark.read.parquet(f"{out}/ledger")
+    assert led.select("micro_batch").distinct().count() >= 3  # one file per micro-batch
+    got = led.select("file_number").distinct().count()
     assert got == catalog.QUERIES["incremental_ledger"](spark, SF_SMALL).count()
