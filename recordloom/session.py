@@ -43,11 +43,15 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    The session's setting always wins. Only when it is unset (local tests) do we
-    pick a fresh scratch folder of our own.
+    The session's setting always wins. Only when it is unset and the master is
+    local (tests) do we pick a fresh scratch folder of our own; a cluster
+    session without the setting is an error, never a machine-local folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a shared folder")
         root = tempfile.mkdtemp(prefix="recordloom-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     try:
