@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..session import ensure_checkpoint_dir
 
 _PART_SHIFT = 33  # monotonically_increasing_id = partition index << 33 | row position
+ROWS_PER_PARTITION = 50_000  # range partition size the numbering aims for
 
 
 def _num_partitions(df: DataFrame, requested: int | None) -> int:
@@ -48,13 +49,21 @@ def dense_record_number(df: DataFrame, order_cols: Sequence[str | Column], rn: s
     it is kept (memory, spilling to disk) only until the checkpoint is
     written, and the upstream joins run once.
     """
-    n = _num_partitions(df, num_partitions)
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ensure_checkpoint_dir(df.sparkSession)
     # Leave a caller's own cache alone: only a cache made here is released here.
     own_cache = persist_input and not df.is_cached
     src = df.persist(StorageLevel.MEMORY_AND_DISK) if own_cache else df
     try:
+        if num_partitions:
+            n = int(num_partitions)
+        else:
+            # Size the range partitions to the data (the count fills the cache
+            # the sampling and the shuffle read anyway), capped by the
+            # session's shuffle partitions.
+            cap = _num_partitions(df, None)
+            rows = src.count() if (own_cache or df.is_cached) else None
+            n = cap if rows is None else max(1, min(cap, -(-rows // ROWS_PER_PARTITION)))
         # Explicit partition count: AQE leaves this shuffle's partitions alone, so
         # the partition index seen by monotonically_increasing_id is stable.
         tagged = (src.repartitionByRange(n, *cols)
