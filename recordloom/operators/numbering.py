@@ -47,7 +47,9 @@ def dense_record_number(df: DataFrame, order_cols: Sequence[str | Column], rn: s
     Range partitioning reads its whole input twice (bound sampling, then the
     shuffle). The input is usually a join pipeline, so with ``persist_input``
     it is kept (memory, spilling to disk) only until the checkpoint is
-    written, and the upstream joins run once.
+    written, and the upstream joins run once. Without ``num_partitions`` the
+    cached input is counted and split into ranges of about
+    ``ROWS_PER_PARTITION`` rows, at most ``spark.sql.shuffle.partitions``.
     """
     cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     ensure_checkpoint_dir(df.sparkSession)
