@@ -37,7 +37,7 @@ END_ID = 2
 WINDOW_TOKENS = 1 << 20
 LINEAR_COST = 1.0
 QUADRATIC_COST = 1.0 / 4096
-CACHE_PIECES = 300_000
+CACHE_ENTRIES = 400_000  # of each of the two caches; BLOCK_CHARS bounds what one text can add
 BLOCK_CHARS = 1 << 18
 
 # Texts of these characters alone take the cached path; lower-casing them is
@@ -60,44 +60,53 @@ class Encoder:
         self.bare = Tokenizer.from_str(json.dumps(spec))
         self.full.encode_special_tokens = True
         self.bare.encode_special_tokens = True
-        self.cache: dict[str, list[int]] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.cache) + len(pieces) > CACHE_PIECES:
-            self.cache.clear()
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        if len(self.pieces) + len(pieces) > CACHE_ENTRIES:
+            self.pieces.clear()
         enc = self.bare.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        found: list[list[int]] = [[] for _ in pieces]
-        for word, token in zip(enc.word_ids, enc.ids):
-            found[word].append(token)
-        self.cache.update(zip(pieces, found))
-
-    def _block(self, text: str) -> list[int]:
+        ids = np.array(enc.ids, dtype="<u4").tobytes()
+        counts = np.bincount(np.array(enc.word_ids, dtype=np.int64), minlength=len(pieces))
+        ends = (np.cumsum(counts) * 4).tolist()
+        self.pieces.update(zip(pieces, (ids[a:b] for a, b in zip([0, *ends], ends))))
+
+    def _learn_words(self, words: set[str]) -> None:
+        split = {w: _PIECES.findall(w) for w in words}
+        for _ in range(2):  # a second time only if the first emptied the cache
+            missing = {p for pieces in split.values() for p in pieces if p not in self.pieces}
+            if missing:
+                self._learn_pieces(list(missing))
+        if len(self.words) + len(words) > CACHE_ENTRIES:
+            self.words.clear()
+        known = self.pieces
+        for word, pieces in split.items():
+            self.words[word] = b"".join([known[p] for p in pieces])
+
+    def block(self, text: str) -> bytes:
+        """Ids of a text that begins and ends at white space, as little-endian 32-bit numbers."""
         if not _PLAIN.fullmatch(text):
-            return self.full.encode(text, add_special_tokens=False).ids
-        pieces = _PIECES.findall(text.lower())
-        cache = self.cache
-        missing = list({p for p in pieces if p not in cache})
+            return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        words = text.lower().split()
+        missing = set(words).difference(self.words)
         if missing:
-            self._learn(missing)
-            if any(p not in cache for p in pieces):  # the cache was emptied
-                self._learn(list({p for p in pieces if p not in cache}))
-            cache = self.cache
-        out: list[int] = []
-        for p in pieces:
-            out += cache[p]
-        return out
+            self._learn_words(set(words) if len(self.words) + len(missing) > CACHE_ENTRIES else missing)
+        known = self.words
+        return b"".join([known[w] for w in words])
 
     def ids(self, text: str) -> np.ndarray:
-        out: list[int] = []
+        """Ids of a whole text and the end id."""
+        out = []
         at = 0
         while at < len(text):
             end = min(len(text), at + BLOCK_CHARS)
             while end < len(text) and text[end] not in " \n":
                 end += 1
-            out += self._block(text[at:end])
+            out.append(self.block(text[at:end]))
             at = end
-        out.append(END_ID)
-        return np.array(out, dtype="<u4")
+        out.append(END_ID.to_bytes(4, "little"))
+        return np.frombuffer(b"".join(out), dtype="<u4")
 
 
 def _capacities(total: int) -> list[int]:
