@@ -63,19 +63,19 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed 64-bit number)."""
+    """doc_id, uid (hash of the text) and fp (the fingerprint as a signed 64-bit number)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("text"))
     keep = rows.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("fp", T.LongType())])
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("uid", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"id": batch["id"], "fp": fps})
+            yield pd.DataFrame({"id": batch["id"], "uid": batch["uid"], "fp": fps})
 
     # Ids travel as strings, so null ids keep their type.
-    out = rows.select(F.col("doc_id").cast("string").alias("id"), "text").mapInPandas(run, schema)
-    return out.select(F.col("id").cast(keep).alias("doc_id"), "fp")
+    out = rows.select(F.col("doc_id").cast("string").alias("id"), F.xxhash64("text").alias("uid"), "text").mapInPandas(run, schema)
+    return out.select(F.col("id").cast(keep).alias("doc_id"), "uid", "fp")
 
 
 def _close(x: np.ndarray, max_bits: int) -> np.ndarray:
@@ -189,7 +189,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bits: int = MAX_BITS
 ) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (least doc_id of all documents it is linked with)."""
+    """One row per document: doc_id, uid (hash of the text), fp, component_id (least doc_id
+    of all documents it is linked with) and root (a fingerprint that names the component)."""
     each = common.materialise(fingerprints(docs, id_col, text_col, shingle), "simhash-fps")
     distinct = common.materialise(each.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
     roots = components(links(distinct.select("fp"), max_bits))
@@ -197,8 +198,23 @@ def near_duplicates(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = common.materialise(rooted.join(ids, "root").select("fp", "component_id"), "simhash-components")
-    return each.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    by_fp = common.materialise(rooted.join(ids, "root").select("fp", "component_id", "root"), "simhash-components")
+    return each.join(by_fp, "fp").select("doc_id", "uid", "fp", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
+    """The rows of ``docs`` of which one stays for each component: the least id, then the least text hash.
+
+    Rows that repeat both id and text count as one.
+    """
+    found = near_duplicates(docs, id_col, text_col, **limits)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("k"))
+    kept = common.materialise(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.uid").alias("kept_uid")), "simhash-kept")
+    uid = F.xxhash64(common.text_of(text_col))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("kept_id"), uid.alias("kept_uid"))
+    same = [F.col("r.kept_uid") == F.col("k.kept_uid"), F.col("r.kept_id").eqNullSafe(F.col("k.kept_id"))]
+    joined = rows.alias("r").join(kept.alias("k"), same, "left_semi")
+    return joined.groupBy("kept_uid", "kept_id").agg(F.first("row").alias("row")).select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
