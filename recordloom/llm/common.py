@@ -29,6 +29,13 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Lower the session's Arrow batch size to ``rows`` if it is larger: texts are long, and a worker holds a batch or two."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def text_of(col: str) -> Column:
     """The text, null as the empty string."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -246,6 +246,7 @@ def identify(
     docs: DataFrame, model: ByteGRU | None, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, lang_pred and score of every document."""
+    common.small_batches(docs.sparkSession)
     keep = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).cast("string").alias("id"), common.text_of(text_col).alias("text"))
     schema = T.StructType([

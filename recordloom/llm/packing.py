@@ -178,6 +178,7 @@ def pack(
     and, if ``with_ids``, the piece's token ids. ``tokenizer_path`` must exist
     on every executor.
     """
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("text"))
     fields = [rows.schema["doc_id"]] + [
         T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

@@ -262,6 +262,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     (of the base spans' list), spans (base and added: kind:start:end, code
     points, end exclusive) and n_added.
     """
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType, True), *SCHEMA_TAIL])
 

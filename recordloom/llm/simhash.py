@@ -64,6 +64,7 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, uid (hash of the text) and fp (the fingerprint as a signed 64-bit number)."""
+    common.small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("text"))
     keep = rows.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("uid", T.LongType()), T.StructField("fp", T.LongType())])

@@ -45,7 +45,7 @@ PREFIX = 100
 SPAN = LENGTH - PREFIX + 1       # places of a window among which its anchor is
 HOT_OCCURRENCES = 1000           # of a prefix; beyond, step 4 takes it
 SEGMENT = 1 << 23                # bytes of a text that are looked at in one go
-RUN_SUFFIXES = 100_000           # suffixes sorted at once by a task
+RUN_SUFFIXES = 50_000            # suffixes sorted at once by a task
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -365,6 +365,7 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for each shuffle partition).
     """
     spark = docs.sparkSession
+    common.small_batches(spark)
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = common.text_of(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("uid"))
