@@ -54,7 +54,11 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ),
         "lines",
     )
-    ids = lines.groupBy("h", "h2").agg(F.min(_place()).alias("rank"), F.max(_place()).alias("last")).where("rank <> last")
+    # Written, here and below, so that the joins read plain tables and Spark can split a hot line's rows.
+    ids = common.materialise(
+        lines.groupBy("h", "h2").agg(F.min(_place()).alias("rank"), F.max(_place()).alias("last")).where("rank <> last").drop("last"),
+        "line-ids",
+    )
     suffixes = common.materialise(
         lines.join(ids, ["h", "h2"]).select("doc_id", "key_a", "key_b", "n", "rank").distinct(), "line-ranks"
     )
@@ -65,15 +69,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = later if found is None else found.unionByName(later)
         ahead = suffixes.select("key_a", "key_b", (F.col("n") - size).alias("n"), F.col("rank").alias("rank2"))
         pairs = suffixes.join(ahead, ["key_a", "key_b", "n"])
-        ranks = pairs.groupBy("rank", "rank2").agg(
-            F.min(_place()).alias("new"), F.max(_place()).alias("last")
-        ).where("new <> last").drop("last")
+        ranks = common.materialise(
+            pairs.groupBy("rank", "rank2").agg(F.min(_place()).alias("new"), F.max(_place()).alias("last"))
+            .where("new <> last").drop("last"),
+            "line-new-ranks",
+        )
+        if ranks.isEmpty():
+            break
         suffixes = common.materialise(
             pairs.join(ranks, ["rank", "rank2"]).select("doc_id", "key_a", "key_b", "n", F.col("new").alias("rank")), "line-ranks"
         )
         size *= 2
-        if suffixes.isEmpty():
-            break
     if found is None:  # min_lines above the longest repeat
         found = suffixes.select("key_a", "key_b", "n", F.lit(size).alias("size"))
     # The longest interval of each line, then maximal runs: islands of overlapping or touching intervals.
