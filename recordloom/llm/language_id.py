@@ -47,12 +47,24 @@ def held_out(doc_id: Column) -> Column:
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, label_ok: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
     """At most ``per_language`` labelled texts of each language, chosen by hash of the text, cut to a stretch of each.
 
-    The limit per language is applied in every task before the shuffle.
+    The languages' counts (one small row each) give a share of hash values that
+    holds about twice the limit, so what is shuffled and ranked stays bounded
+    however many tasks read the table. With more than ``MAX_LANGUAGES``
+    languages the most frequent ones are learned.
     """
     text = common.text_of(text_col)
     rows = docs.where(label_ok & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h")
     ).where(F.length("text") > 0)
+    counts = (
+        docs.where(label_ok & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count()
+        .orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    )
+    # A language of up to twice the limit is taken whole.
+    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("count"))
+    rows = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(
+        F.pmod(F.xxhash64(F.lit("sample"), "h"), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30))
+    )
     first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     at = F.expr(f"cast(pmod(h, greatest(length(text) - {SAMPLE_BYTES // 2}, 1)) AS int) + 1")
     cut = rows.select("lang", "h", F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text"))
