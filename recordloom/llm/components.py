@@ -19,7 +19,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         around = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # Written, so that the join reads plain tables and Spark can split the rows of a node with many neighbours.
+    least = common.materialise(
+        around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least"
+    )
     moved = around.join(least, "u")
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -262,9 +262,11 @@ def removed_spans(rows: DataFrame, parts: int) -> DataFrame:
     """(uid, first, last exclusive): removed stretches of the distinct texts of ``rows`` (uid, text); they may overlap."""
     found = common.materialise(rows.mapInPandas(_anchor_rows, "key long, uid long, packed long"), "suffix-anchors")
     place = F.struct("uid", "packed")
-    repeated = (
+    # Written, here and below, so that the joins read plain tables and Spark can split a hot key's rows.
+    repeated = common.materialise(
         found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
-        .where("a <> b").select("key", (F.col("n") > HOT_OCCURRENCES).alias("hot"))
+        .where("a <> b").select("key", (F.col("n") > HOT_OCCURRENCES).alias("hot")),
+        "suffix-repeated",
     )
     wanted = (
         found.join(repeated, "key").groupBy("uid")
@@ -326,7 +328,9 @@ def removed_spans(rows: DataFrame, parts: int) -> DataFrame:
         joined.where("exists(anchors, x -> x.hot)").mapInPandas(hot_windows, "a long, b long, uid long, first long"), "suffix-hot"
     )
     at = F.struct("uid", "first")
-    twice = windows.groupBy("a", "b").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x <> y").select("a", "b")
+    twice = common.materialise(
+        windows.groupBy("a", "b").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x <> y").select("a", "b"), "suffix-twice"
+    )
     hot = windows.join(twice, ["a", "b"], "left_semi").select("uid", "first", (F.col("first") + LENGTH).alias("last"))
     return cold.unionByName(hot)
 
