@@ -95,8 +95,13 @@ def cmd_select(a: argparse.Namespace) -> None:
     listing = select.project_listing(pipelines.scan_joined(reg, active_only=True))
     if a.write:
         listing.write.mode("overwrite").parquet(a.write)
-    else:
+    elif a.show:
+        print(f"first {a.show} records:")
         listing.show(a.show, truncate=False)
+    else:  # the whole listing, a partition at a time
+        print("\t".join(listing.columns))
+        for row in listing.toLocalIterator():
+            print("\t".join("" if v is None else str(v) for v in row))
 
 
 def _watermark(spark: SparkSession, root: str) -> str | None:
@@ -190,7 +195,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--tables", required=True)
     s.add_argument("--out", help="run folder whose ledger applies")
     s.add_argument("--write", help="write the listing as Parquet instead of showing it")
-    s.add_argument("--show", type=int, default=20)
+    s.add_argument("--show", type=int, help="print a preview of so many records instead of all")
     s.set_defaults(fn=cmd_select)
 
     for name, fn, help_ in (("run", cmd_run, "one table-mode run"), ("sheet", cmd_sheet, "one sheet-mode run"),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schemas import (ALLOWED_SEX, ALLOWED_STATUS, APPLICANT_NOT_NULL, LENGTH_LIMITS,
-                       OPTIONAL_SHEET_COLUMNS, STATUS_PRINTED)
+                       DIMENSION_NOT_NULL, OPTIONAL_SHEET_COLUMNS, SHEET_HELPERS, STATUS_PRINTED)
 from .joins import sized_broadcast
 
 CHECK_NAMES = {
@@ -34,8 +34,8 @@ def _active_flag(status: str) -> Column:
 
 
 def mandatory_columns(df: DataFrame, optional: Sequence[str] = OPTIONAL_SHEET_COLUMNS) -> list[str]:
-    """Every sheet column except the optional ones and our own ``_`` helpers."""
-    return [c for c in df.columns if c not in set(optional) and not c.startswith("_")]
+    """Every sheet column except the optional ones and our own helpers (by name)."""
+    return [c for c in df.columns if c not in {*optional, *SHEET_HELPERS}]
 
 
 def dq_has_rows(df: DataFrame) -> DataFrame:
@@ -123,14 +123,15 @@ def dq_gate_counts(df: DataFrame, key: str = "File_Number", status: str = "STATU
         any_missing = any_missing | f
     act = _active_flag(status)
     if key not in df.columns:
-        # No key column: nothing can be a duplicate; checks 1-4 in one pass.
+        # No key column: check 5 can't be made, so it fails (with no count).
         totals = df.agg(
             F.count(F.lit(1)).cast("bigint").alias("n_rows"),
             F.count_if(act).cast("bigint").alias("n_active"),
             F.count_if(act & any_missing).cast("bigint").alias("n_missing_rows"),
-            F.lit(0).cast("bigint").alias("n_duplicate_rows"),
+            F.lit(None).cast("bigint").alias("n_duplicate_rows"),
         )
-        return totals.withColumn("failed_check", _first_failure()).withColumn("verdict", _verdict_col())
+        return totals.withColumn("failed_check", F.coalesce(_first_failure(), F.lit(5))) \
+            .withColumn("verdict", _verdict_col())
     per_key = (df.select(F.col(key).alias("__k"), act.alias("__a"), (act & any_missing).alias("__m"))
                  .groupBy("__k")
                  .agg(F.count(F.lit(1)).alias("__rows"),
@@ -235,6 +236,17 @@ def dq_constraints(fact: DataFrame, key: str = "file_number") -> DataFrame:
                 .select(F.col(key).alias("record_key"), tx.join_names(flags, "; ").alias("violations")))
 
 
+def dq_dimension_constraints(rows: DataFrame, table: str, key: str) -> DataFrame:
+    """OP-58 for the dimensions: NOT NULL and length rules; one row per bad row."""
+    flags = [(f"{c} not null", F.col(c).isNull()) for c in DIMENSION_NOT_NULL[table]]
+    flags += [(f"{c} length <= {n}", F.length(F.col(c)) > F.lit(n)) for c, n in LENGTH_LIMITS if c == key]
+    any_bad = F.lit(False)
+    for _, flag in flags:
+        any_bad = any_bad | F.coalesce(flag, F.lit(False))
+    return (rows.filter(any_bad)
+                .select(F.col(key).alias("record_key"), tx.join_names(flags, "; ").alias("violations")))
+
+
 def dq_primary_key(df: DataFrame, key: str) -> DataFrame:
     """OP-59: keys that are NULL or occur more than once (map-side-combined count)."""
     return (df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))

@@ -1,9 +1,9 @@
 """Loading a flat intake sheet into the star schema (OP-22, 25, 41, 42, 48..50).
 
 ``ON CONFLICT DO NOTHING`` becomes: first row per key in intake order
-(``min_by`` over the order column: a map-side-combined aggregate, so a key
-repeated on a third of the sheet still spreads over many tasks), then an
-anti join against the keys already in the target.
+(``row_number() = 1``, limited per key before the shuffle, so a key repeated
+on a third of the sheet sends one row per task), then an anti join against
+the keys already in the target.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -29,16 +29,17 @@ def distinct_pairs(df: DataFrame, key: str = "MHA_FILE_NUMBER", value: str = "MH
 
 
 def first_per_key(df: DataFrame, key: str | Sequence[str], order: str | Column = ORDER_COL) -> DataFrame:
-    """First row per key in ``order`` (rows with a NULL key are not insertable)."""
+    """First row per key in ``order`` (rows with a NULL key are not insertable).
+
+    ``row_number() = 1`` plans a group limit below the shuffle: at most one row
+    per key and map task is moved. Loads report the NULL keys as violations.
+    """
     keys = [key] if isinstance(key, str) else list(key)
     ord_col = F.col(order) if isinstance(order, str) else order
-    others = [c for c in df.columns if c not in keys]
-    nonnull = df
     for k in keys:
-        nonnull = nonnull.filter(F.col(k).isNotNull())
-    picked = (nonnull.groupBy(*keys)
-                     .agg(F.min_by(F.struct(*[F.col(c) for c in others]), ord_col).alias("__row")))
-    return picked.select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others]).select(*df.columns)
+        df = df.filter(F.col(k).isNotNull())
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(ord_col.asc_nulls_last()))
+    return df.withColumn("__rank", rank).filter(F.col("__rank") == 1).drop("__rank")
 
 
 def insert_ignore(new_rows: DataFrame, target: DataFrame | None, key: str,
@@ -72,10 +73,12 @@ class StarLoad:
     ministry: DataFrame
     applicant: DataFrame
     existing: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+    unkeyed: DataFrame | None = field(default=None, repr=False)  # intake rows without a file number
 
     @cached_property
     def violations(self) -> DataFrame:
-        return _load_violations(self.applicant, self.existing, self.state, self.authority, self.ministry)
+        found = _load_violations(self.applicant, self.existing, self.state, self.authority, self.ministry)
+        return found if self.unkeyed is None else found.unionByName(self.unkeyed)
 
 
 def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFrame] | None = None,
@@ -133,7 +136,10 @@ def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFr
                        "name_of_father", "name_of_mother", "address_line_1", "address_line_2",
                        "address_line_3", "registration_date", "status", "date_issued",
                        "mha_file_number", "ib_staff_authority_id")
-    return StarLoad(st_new, au_new, mha, fact, existing)
+    unkeyed = intake.filter(F.col("File_Number").isNull()).select(
+        F.lit("constraints").alias("check_name"), F.lit(None).cast("string").alias("record_key"),
+        F.lit("file_number not null").alias("detail"))
+    return StarLoad(st_new, au_new, mha, fact, existing, unkeyed)
 
 
 def _load_violations(fact: DataFrame, existing: dict[str, DataFrame], st_new: DataFrame,
@@ -149,7 +155,13 @@ def _load_violations(fact: DataFrame, existing: dict[str, DataFrame], st_new: Da
                             with_existing("ib_authority", au_new, "ib_staff_authority_id"))
     rules = dq.dq_constraints(fact).select(F.lit("constraints").alias("check_name"), "record_key",
                                            F.col("violations").alias("detail"))
-    return orphans.unionByName(rules)
+    out = orphans.unionByName(rules)
+    for name, rows, key in (("state", st_new, "state_code"), ("ministryofhomeaffairs", mha_new, "mha_file_number"),
+                            ("ib_authority", au_new, "ib_staff_authority_id")):
+        out = out.unionByName(
+            dq.dq_dimension_constraints(rows, name, key)
+            .select(F.lit("constraints").alias("check_name"), "record_key", F.col("violations").alias("detail")))
+    return out
 
 
 def _dedupe_small(rows: DataFrame, key: str, target: DataFrame | None) -> DataFrame:

@@ -20,13 +20,13 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 def size_at_most(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes`` of data.
 
-    One bounded job: it reads at most ``max_rows + 1`` rows and sums their
-    text widths (every column as text, plus 8 bytes per value).
+    One aggregate over the table (a row per task is moved): its rows and text
+    widths (every column as text, plus 8 bytes per value).
     """
     width = F.lit(0)
     for c in df.columns:
         width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + F.lit(8)
-    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 
@@ -72,9 +72,9 @@ def map_lookup(df: DataFrame, text_col: str, mapping: DataFrame, map_key: str =
                value: str = "ib_staff_authority_id", out: str | None = None) -> DataFrame:
     """OP-22: exact-text lookup in a constant map; NULL when absent.
 
-    The map is a fixed literal table (proven small), so it is always broadcast.
+    The map is broadcast when it is proven small.
     """
-    m = F.broadcast(mapping.select(F.col(map_key).alias("__map_key"), F.col(value).alias(out or value)))
+    m, _ = sized_broadcast(mapping.select(F.col(map_key).alias("__map_key"), F.col(value).alias(out or value)))
     return df.join(m, df[text_col] == F.col("__map_key"), "left").drop("__map_key")
 
 

@@ -1,8 +1,8 @@
 """Write-back without UPDATE (OP-70..77).
 
 Parquet tables take no UPDATE, so a write-back produces the table's next
-state as a DataFrame (plus a ``changed`` flag) that is published as a new
-version (``sources.sinks.publish_snapshot``) or as ledger rows. Every
+state as a DataFrame (plus a ``changed`` flag) that is written as a new
+table or as ledger rows. Every
 operator here is a join + ``when``; the key sets are derived inside the
 query, so AQE picks broadcast or sort-merge from their measured size.
 """

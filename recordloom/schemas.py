@@ -149,3 +149,13 @@ def schema_of(table: str) -> T.StructType:
         "applicant": APPLICANT_SCHEMA,
         "ledger": LEDGER_SCHEMA,
     }[table]
+
+# Columns we add to a sheet ourselves; no other name is exempt from the checks.
+SHEET_HELPERS = ("_row", "_input_order")
+
+# Required columns of the dimension tables.
+DIMENSION_NOT_NULL = {
+    "state": ("state_code", "state_name"),
+    "ministryofhomeaffairs": ("mha_file_number", "mha_date"),
+    "ib_authority": ("ib_staff_authority_id", "ib_staff_authority_name", "ib_staff_authority_designation"),
+}

@@ -1,4 +1,4 @@
-"""Sinks: CSV bridge, per-record documents, batch documents, versioned tables (OP-06..09, OP-74).
+"""Sinks: CSV bridge, per-record documents, batch documents, registry tables (OP-06..09).
 
 All writes go to the shared folders the caller names (on a cluster: under
 ``spark.checkpoint.dir`` or a table location), never to a machine-local temp.
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,38 +88,3 @@ def write_registry_table(df: DataFrame, path: str, status: str = "status", mode:
     (df.drop(STATUS_CLASS) if STATUS_CLASS in df.columns else df) \
         .withColumn(STATUS_CLASS, status_class(status)) \
         .write.mode(mode).partitionBy(STATUS_CLASS).parquet(path)
-
-
-def publish_snapshot(df: DataFrame, root: str, version: str) -> str:
-    """OP-74: write the table's next state as a new version, then its pointer.
-
-    The data goes to ``root/data/version=<v>``; only after that write
-    committed is the one-row pointer ``root/pointers/p=<v>`` written.
-    Versions must sort as text (e.g. ``yyyyMMdd_HHmmss`` or zero-padded).
-    Readers take the newest version that has a pointer, so a failed run
-    leaves the previous state current (all-or-nothing per run). Rewriting
-    the same version is idempotent.
-    """
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{root}/data/version={version}")
-    (spark.createDataFrame([(version, dt.datetime.now(dt.UTC).replace(tzinfo=None))],
-                           "version string, published_at timestamp")
-          .coalesce(1).write.mode("overwrite").parquet(f"{root}/pointers/p={version}"))
-    return version
-
-
-def current_version(spark: SparkSession, root: str) -> str | None:
-    """Newest published version (reads only the small pointer table)."""
-    try:
-        p = spark.read.parquet(f"{root}/pointers")
-    except AnalysisException:  # no pointer written yet
-        return None
-    row = p.agg(F.max(F.col("version").cast("string")).alias("v")).first()
-    return row["v"] if row else None
-
-
-def read_current(spark: SparkSession, root: str) -> DataFrame | None:
-    v = current_version(spark, root)
-    if v is None:
-        return None
-    return spark.read.parquet(f"{root}/data/version={v}")

@@ -61,7 +61,7 @@ def scan_tables(spark: SparkSession, root: str, names: Iterable[str] = (
 
 
 def scan_jdbc(spark: SparkSession, url: str, table: str, props: dict[str, str],
-              partition_column: str = "serial", lower: int = 0, upper: int = 1,
+              lower: int, upper: int, partition_column: str = "serial",
               num_partitions: int = 8) -> DataFrame:
     """OP-02 (database variant): parallel JDBC read split on ``partition_column``."""
     return (spark.read.format("jdbc")

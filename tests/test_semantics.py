@@ -297,7 +297,35 @@ def test_sized_broadcast_bounds_rows_and_bytes(spark):
 def test_gate_without_key_column(spark):
     df = spark.createDataFrame([("x", "IN PROCESS", 2), ("x", None, 3)], "Name string, STATUS string, _row long")
     res = dq.dq_gate(df)
-    assert res.passed and res.counts["n_duplicate_rows"] == 0 and res.counts["n_active"] == 2
+    assert not res.passed and res.failed_check == 5 and res.counts["n_active"] == 2
+
+
+def test_gate_checks_underscore_columns(spark):
+    df = spark.createDataFrame([("1", "x", "IN PROCESS", None, 2)],
+                               "File_Number string, Name string, STATUS string, _Parish string, _row long")
+    assert dq.dq_gate(df).failed_check == 4
+
+
+def test_load_reports_blank_keys_and_bad_dimension_rows(spark):
+    from recordloom.operators import ingest
+    cols = ("File_Number", "Name", "Sex", "Birth_Date", "Place", "State", "Name_Of_Father", "Name_Of_Mother",
+            "Address_line_1", "Address_line_2", "Address_line_3", "Registration_Date", "MHA_FILE_NUMBER", "MHA_DATE",
+            "Signing_Authority")
+    row = ["F1", "n", "M", "01/01/1990", "p", "XX", "f", "m", "a", "b", "c", "02/01/2020", "M1", "garbage", None]
+    rows = [(*row, 1), (None, *row[1:], 2)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in cols) + ", _input_order long")
+    load = ingest.load_star(spark, df)
+    details = [r.detail for r in load.violations.collect()]
+    assert "file_number not null" in details and "mha_date not null" in details
+
+
+def test_first_wins_is_limited_before_the_shuffle(spark):
+    from recordloom.operators import ingest
+    df = spark.range(100).selectExpr("id % 7 AS k", "id AS _input_order", "cast(id AS string) AS v")
+    got = ingest.first_per_key(df, "k")
+    assert sorted((r.k, r.v) for r in got.collect()) == [(i, str(i)) for i in range(7)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("WindowGroupLimit") > plan.index("Exchange")
 
 
 def test_sheet_dates_from_typed_columns(spark):
