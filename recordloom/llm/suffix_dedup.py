@@ -43,7 +43,7 @@ from . import common
 LENGTH = 200
 PREFIX = 100
 SPAN = LENGTH - PREFIX + 1       # places of a window among which its anchor is
-HOT_OCCURRENCES = 1000           # of a prefix; beyond, step 4 takes it
+HOT_OCCURRENCES = 50_000         # of a prefix, so a group is at most some 15 MB; beyond, step 4 takes it
 SEGMENT = 1 << 23                # bytes of a text that are looked at in one go
 RUN_SUFFIXES = 50_000            # suffixes sorted at once by a task
 
