@@ -60,17 +60,21 @@ class Encoder:
         self.bare = Tokenizer.from_str(json.dumps(spec))
         self.full.encode_special_tokens = True
         self.bare.encode_special_tokens = True
+        self.model = self.bare.model
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         if len(self.pieces) + len(pieces) > CACHE_ENTRIES:
             self.pieces.clear()
-        enc = self.bare.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(enc.ids, dtype="<u4").tobytes()
-        counts = np.bincount(np.array(enc.word_ids, dtype=np.int64), minlength=len(pieces))
-        ends = (np.cumsum(counts) * 4).tolist()
-        self.pieces.update(zip(pieces, (ids[a:b] for a, b in zip([0, *ends], ends))))
+        known = self.pieces
+        tokenize = self.model.tokenize
+        for piece in pieces:
+            if piece.isascii():  # visible ASCII stands for itself in the byte alphabet, so the merges apply directly
+                known[piece] = b"".join([token.id.to_bytes(4, "little") for token in tokenize(piece)])
+            else:
+                ids = self.bare.encode(piece, add_special_tokens=False).ids
+                known[piece] = b"".join([i.to_bytes(4, "little") for i in ids])
 
     def _learn_words(self, words: set[str]) -> None:
         split = {w: _PIECES.findall(w) for w in words}
