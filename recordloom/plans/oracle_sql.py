@@ -31,7 +31,8 @@ APPLICANT = """applicant AS (
          WHEN o.o_orderkey % 51 = 0 THEN 'MHA-missing'
          ELSE concat('MHA-', CAST(o.o_custkey AS VARCHAR)) END AS mha_file_number,
     CASE WHEN o.o_orderkey % 7 = 0 THEN NULL
-         ELSE concat('IB-', CAST(o.o_orderkey % 12 AS VARCHAR)) END AS ib_staff_authority_id
+         WHEN o.o_orderkey % 6 = 5 THEN 'IB-missing'
+         ELSE concat('IB-', CAST(o.o_custkey // 15 AS VARCHAR)) END AS ib_staff_authority_id
   FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
 )"""
 
@@ -45,7 +46,7 @@ AUTHORITY = """ib_authority AS (
   SELECT concat('IB-', CAST(s_suppkey AS VARCHAR)) AS ib_staff_authority_id,
          s_name AS ib_staff_authority_name,
          concat('Desk ', CAST(s_nationkey AS VARCHAR)) AS ib_staff_authority_designation
-  FROM supplier WHERE s_suppkey < 10
+  FROM supplier
 )"""
 
 STATE = """state AS (
@@ -116,8 +117,8 @@ def intake(state_codes, authority_texts, na_tokens: bool = False) -> str:
     CASE WHEN l_orderkey % 10 = 3 THEN {missing} ELSE l_linestatus END AS Address_line_2,
     concat('street ', CAST(l_suppkey AS VARCHAR)) AS Address_line_3,
     CAST(l_shipdate AS DATE) AS Registration_Date,
-    CASE WHEN l_orderkey % 3 = 0 THEN concat('MHA-N', CAST(l_orderkey % 1000 AS VARCHAR))
-         ELSE concat('MHA-', CAST(l_orderkey % 1000 AS VARCHAR)) END AS MHA_FILE_NUMBER,
+    CASE WHEN l_orderkey % 3 = 0 THEN concat('MHA-N', CAST(l_orderkey AS VARCHAR))
+         ELSE concat('MHA-', CAST(l_orderkey // 10 AS VARCHAR)) END AS MHA_FILE_NUMBER,
     DATE '1995-01-01' + CAST(l_partkey % 3 AS INTEGER) AS MHA_DATE,
     [{auths}, 'UNKNOWN PERSON, CLERK'][l_partkey % {len(authority_texts) + 1} + 1] AS Signing_Authority,
     l_orderkey AS o1, l_linenumber AS o2, l_partkey AS o3, l_suppkey AS o4, l_extendedprice AS o5, l_shipdate AS o6

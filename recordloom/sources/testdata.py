@@ -5,7 +5,7 @@ FIXTURES.md §2); they do none of the jobs' work. Untidy values (NULLs,
 orphans, padded statuses, missing cells, duplicate keys) are placed by
 arithmetic on the source keys so both Spark and the DuckDB oracle derive
 exactly the same rows. Fact, parent and intake tables scale with their
-source tables; the two small dimensions come from supplier and nation.
+source tables, the authorities with supplier and the states with nation.
 """
 
 from __future__ import annotations
@@ -62,7 +62,8 @@ def applicant(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None)
         .when(k % 51 == 0, F.lit("MHA-missing"))
         .otherwise(F.concat(F.lit("MHA-"), _s(F.col("o_custkey")))).alias("mha_file_number"),
         F.when(k % 7 == 0, F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("IB-"), _s(k % 12))).alias("ib_staff_authority_id"),
+        .when(k % 6 == 5, F.lit("IB-missing"))
+        .otherwise(F.concat(F.lit("IB-"), _s(F.expr("o_custkey div 15")))).alias("ib_staff_authority_id"),
     )
 
 
@@ -76,9 +77,9 @@ def ministry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def authority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dimension ``ib_authority`` from the first ten suppliers."""
+    """Dimension ``ib_authority`` from supplier (one authority per supplier)."""
     s = table(spark, sf_dir, "supplier")
-    return s.filter(F.col("s_suppkey") < 10).select(
+    return s.select(
         F.concat(F.lit("IB-"), _s(F.col("s_suppkey"))).alias("ib_staff_authority_id"),
         F.col("s_name").alias("ib_staff_authority_name"),
         F.concat(F.lit("Desk "), _s(F.col("s_nationkey"))).alias("ib_staff_authority_designation"),
@@ -141,8 +142,8 @@ def intake(spark: SparkSession, sf_dir: str, padded_headers: bool = False,
         F.concat(F.lit("street "), _s(sk)).alias("Address_line_3"),
         ship.alias("Registration_Date"),
         # A third of the parent keys are new to the registry (prefix MHA-N).
-        F.when(ok % 3 == 0, F.concat(F.lit("MHA-N"), _s(ok % 1000)))
-        .otherwise(F.concat(F.lit("MHA-"), _s(ok % 1000))).alias("MHA_FILE_NUMBER"),
+        F.when(ok % 3 == 0, F.concat(F.lit("MHA-N"), _s(ok)))
+        .otherwise(F.concat(F.lit("MHA-"), _s(F.expr("l_orderkey div 10")))).alias("MHA_FILE_NUMBER"),
         F.date_add(F.lit("1995-01-01").cast("date"), (pk % 3).cast("int")).alias("MHA_DATE"),
         F.element_at(auths, (pk % (len(AUTHORITY_MAP) + 1) + 1).cast("int")).alias("Signing_Authority"),
         F.struct(*[F.col(c) for c in INTAKE_ORDER]).alias("_input_order"),
