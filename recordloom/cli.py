@@ -18,7 +18,6 @@ import argparse
 import datetime as dt
 import sys
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +42,8 @@ def _read_tables(spark: SparkSession, root: str, required: bool = True,
     (a rerun of that load must not see itself as already loaded)."""
     out = {}
     for t in TABLES:
-        try:
-            df = spark.read.parquet(f"{root}/{t}")
-        except AnalysisException:  # table not created yet
-            if required:
-                raise
+        df = spark.read.parquet(f"{root}/{t}") if required else tables.read_if_exists(spark, f"{root}/{t}")
+        if df is None:  # table not created yet
             continue
         if exclude_load is not None and "load_id" in df.columns:
             df = df.filter(F.col("load_id") != F.lit(exclude_load))
@@ -60,14 +56,12 @@ def _current(spark: SparkSession, root: str, out: str | None) -> pipelines.Regis
     t = _read_tables(spark, root)
     fact = t["applicant"]
     if out:
-        try:
-            led = spark.read.parquet(f"{out}/ledger")
+        led = tables.read_if_exists(spark, f"{out}/ledger")
+        if led is not None:
             after = _watermark(spark, root)
             if after is not None:
                 led = led.filter(F.col("run_id") > F.lit(after))
             fact = writeback.apply_ledger(fact, led)
-        except AnalysisException:  # no run yet
-            pass
     return pipelines.Registry(fact, t["ministryofhomeaffairs"], t["ib_authority"], t["state"])
 
 
@@ -106,10 +100,8 @@ def cmd_select(a: argparse.Namespace) -> None:
 
 def _watermark(spark: SparkSession, root: str) -> str | None:
     """Last run id folded into the tables under ``root`` by ``compact``."""
-    try:
-        return spark.read.parquet(f"{root}/_compacted").agg(F.max("upto_run")).first()[0]
-    except AnalysisException:  # never compacted
-        return None
+    folded = tables.read_if_exists(spark, f"{root}/_compacted")
+    return None if folded is None else folded.agg(F.max("upto_run")).first()[0]
 
 
 def cmd_run(a: argparse.Namespace) -> None:
@@ -140,10 +132,10 @@ def cmd_compact(a: argparse.Namespace) -> None:
 
 def cmd_sheet(a: argparse.Namespace) -> None:
     spark = _session()
-    sheet = tables.normalize_na(tables.normalize_headers(tables.scan_sheet(spark, a.sheet, a.format)))
-    if "_row" not in sheet.columns:
-        # Sheet line numbers for the reports: position in the file order.
-        sheet = sheet.withColumn("_row", F.col("_input_order.pos") + F.lit(2))
+    raw = tables.scan_sheet(spark, a.sheet, a.format)
+    sheet = tables.sheet_lines(tables.normalize_na(tables.normalize_headers(raw)))
+    if len(raw.inputFiles()) == 1:
+        sheet = sheet.drop("_file")  # one file: its lines alone are the order
     template = open(a.template, encoding="utf-8").read()
     if a.per_record:
         # v1/v2 style: no gate, one document per record named by its serial prefix.
@@ -156,8 +148,13 @@ def cmd_sheet(a: argparse.Namespace) -> None:
         sys.exit(2)
     sinks.batch_doc_sink(run.batches, f"{a.out}/documents", a.run_id)
     if a.mark:
-        nxt = writeback.mark_printed_all(sheet.drop("_input_order"), _date(a.run_date)).drop("changed")
-        nxt.write.mode("overwrite").option("header", True).csv(f"{a.out}/sheet/run_id={a.run_id}")
+        # The raw cells and headers stay; only the status and the stamp change.
+        headers = {c.strip(): c for c in raw.columns}
+        nxt = writeback.mark_printed_all(raw.drop("_input_order"), _date(a.run_date), headers.get("STATUS", "STATUS"),
+                                         headers.get("Date_Printed", "Date_Printed")).drop("changed")
+        (nxt.write.mode("overwrite").option("header", True)
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+            .csv(f"{a.out}/sheet/run_id={a.run_id}"))
 
 
 def cmd_watch(a: argparse.Namespace) -> None:
@@ -176,6 +173,17 @@ def cmd_watch(a: argparse.Namespace) -> None:
     run_with_restarts(lambda: job.start(src, f"{a.out}/_checkpoint", once=a.once, poll_seconds=a.poll))
 
 
+def _run_id(s: str) -> str:
+    """A run id that sorts in run order: it begins with the date as yyyymmdd."""
+    try:
+        day = dt.datetime.strptime(s[:8], "%Y%m%d")
+    except ValueError:
+        day = None
+    if day is None or day.year < 1900:
+        raise argparse.ArgumentTypeError(f"{s}: begin the run id with the date as yyyymmdd, so that ids sort in run order")
+    return s
+
+
 def _date(s: str | None) -> dt.date:
     return dt.date.fromisoformat(s) if s else dt.date.today()
 
@@ -207,7 +215,7 @@ def parser() -> argparse.ArgumentParser:
         s.add_argument("--batch-size", type=int, default=DEFAULT_BATCH_SIZE)
         s.set_defaults(fn=fn)
         if name in ("run", "sheet"):
-            s.add_argument("--run-id", required=True, help="sorts in run order, e.g. 20260115_093000")
+            s.add_argument("--run-id", required=True, type=_run_id, help="sorts in run order, e.g. 20260115_093000")
         if name in ("run", "watch"):
             s.add_argument("--tables", required=True)
         if name == "sheet":

@@ -61,15 +61,16 @@ def dq_missing_fields(df: DataFrame, status: str = "STATUS", row_col: str = "_ro
                       optional: Sequence[str] = OPTIONAL_SHEET_COLUMNS) -> DataFrame:
     """OP-54 (check 4): active rows with a missing mandatory field.
 
-    Output: the sheet row (``row_col``) and the missing field names in column
-    order. A narrow pass: no shuffle.
+    Output: the sheet row (``row_col``), its ``file`` if the sheet has
+    ``_file``, and the missing field names in column order. A narrow pass: no
+    shuffle.
     """
     flags = missing_flags(df, mandatory_columns(df, optional))
     any_missing = F.lit(False)
     for _, f in flags:
         any_missing = any_missing | f
     return (df.filter(_active_flag(status) & any_missing)
-              .select(F.col(row_col).alias("row"), tx.join_names(flags).alias("missing_fields")))
+              .select(*[F.col("_file").alias("file")] * ("_file" in df.columns), F.col(row_col).alias("row"), tx.join_names(flags).alias("missing_fields")))
 
 
 def dq_duplicates(df: DataFrame, key: str = "File_Number", status: str = "STATUS",

@@ -172,19 +172,24 @@ def render_single_range(docs: DataFrame, part_size: int, rn: str = "rn", doc: st
 
 
 def per_record_documents(docs: DataFrame, serial: str | None, order: str, doc: str = "doc",
-                         row_pos: str | None = None) -> DataFrame:
+                         row_pos: str | None = None, file: str | None = None) -> DataFrame:
     """OP-07 (row prep): one document per record, named by its serial prefix.
 
     Records sharing a name overwrite each other, so the last one in ``order``
     wins. ``max_by`` is a map-side-combinable aggregate, so a name shared by
     many rows does not pile into one task. Without a serial column the name
     is ``row{n}`` where ``n`` is the 1-based data row: the sheet line in
-    ``row_pos`` (header on line 1) minus one.
+    ``row_pos`` (header on line 1) minus one. For sheets in several files
+    ``file`` names the path column: files follow each other in path order, and
+    names without a serial get the file's MD5 so that none is lost.
     """
     if serial is not None:
         name = tx.serial_prefix(serial)
     else:
         name = F.concat(F.lit("row"), (F.col(row_pos) - F.lit(1)).cast("string"))
+        if file is not None:
+            name = F.concat(name, F.lit("_"), F.md5(F.col(file)))
+    place = F.col(order) if file is None else F.struct(file, order)
     return (docs.withColumn("doc_name", name)
                 .groupBy("doc_name")
-                .agg(F.max_by(F.col(doc), F.col(order)).alias("doc_text")))
+                .agg(F.max_by(F.col(doc), place).alias("doc_text")))

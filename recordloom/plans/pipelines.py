@@ -7,12 +7,12 @@ import time
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import joins, numbering, render, select
 from ..schemas import DEFAULT_BATCH_SIZE
+from ..sources.tables import read_if_exists
 
 
 @dataclass(frozen=True)
@@ -114,13 +114,12 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     spark = reg.applicant.sparkSession
     ledger_path = f"{out}/ledger"
     fact = reg.applicant
-    try:
-        earlier = spark.read.parquet(ledger_path).filter(F.col("run_id") != F.lit(run_id))
+    earlier = read_if_exists(spark, ledger_path)
+    if earlier is not None:
+        earlier = earlier.filter(F.col("run_id") != F.lit(run_id))
         if ledger_after is not None:
             earlier = earlier.filter(F.col("run_id") > F.lit(ledger_after))
         fact = writeback.apply_ledger(fact, earlier)
-    except AnalysisException:  # first run: no ledger yet
-        pass
     reg = Registry(fact, reg.ministry, reg.authority, reg.state)
 
     # The run's records feed the numbering, the quarantine and the summary:
@@ -191,7 +190,8 @@ def sheet_run(sheet: DataFrame, run_date: dt.date, template: str, batch_size: in
     if inject_year:
         act = select.inject_year(act, run_date.year)
     act = select.add_serial_helper(act, serial)
-    num = numbering.dense_record_number(act, [select.SERIAL_HELPER, key, row_col])
+    place = [c for c in ("_file",) if c in sheet.columns] + [row_col]
+    num = numbering.dense_record_number(act, [select.SERIAL_HELPER, key, *place])
     docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn"])
     return SheetRun(verdict, render.assemble_batches(docs, batch_size))
 
@@ -201,7 +201,8 @@ def per_record_run(sheet: DataFrame, template: str, status: str = "STATUS", seri
     """OP-93: active sheet rows, dates formatted, one document per serial prefix.
 
     Rows sharing a prefix overwrite each other (last sheet row wins); without
-    a serial column documents are named ``row<n>``.
+    a serial column documents are named ``row<n>``. A sheet read from several
+    files carries ``_file`` beside the row (``tables.sheet_lines``).
     """
     from ..functions import text as tx
 
@@ -212,4 +213,5 @@ def per_record_run(sheet: DataFrame, template: str, status: str = "STATUS", seri
             act = act.withColumn(c, tx.parse_format_date(c, types[c]))
     docs = render.render_documents(act, template)
     use_serial = serial if serial is not None and serial in sheet.columns else None
-    return render.per_record_documents(docs, use_serial, row_col, row_pos=row_col)
+    return render.per_record_documents(docs, use_serial, row_col, row_pos=row_col,
+                                       file="_file" if "_file" in sheet.columns else None)

@@ -151,7 +151,7 @@ def schema_of(table: str) -> T.StructType:
     }[table]
 
 # Columns we add to a sheet ourselves; no other name is exempt from the checks.
-SHEET_HELPERS = ("_row", "_input_order")
+SHEET_HELPERS = ("_file", "_row", "_input_order")
 
 # Required columns of the dimension tables.
 DIMENSION_NOT_NULL = {

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,14 +13,24 @@ from ..functions.text import first_piece, last_piece
 from ..schemas import AUTHORITY_MAP, NA_TOKENS, STATE_MASTER, schema_of
 
 
+def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``; None if the path is not there. Any other error is raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def scan_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
                schema: T.StructType | None = None, with_row_order: bool = True) -> DataFrame:
     """OP-01: read exported sheet files (CSV with a header row, or Parquet).
 
     Many files are read at once. Every cell is read as text unless a schema is
     given. With ``with_row_order`` the source position of each row is kept as
-    ``_input_order`` (file path + row index where the format provides one), so
-    first-wins rules can follow the sheet's order.
+    ``_input_order`` (file path, 0-based data row in the file), so first-wins
+    rules can follow the sheet's order.
     """
     reader = spark.read
     if schema is not None:
@@ -28,11 +39,15 @@ def scan_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
         # CSV has no row-index column. With ``with_row_order`` files are read
         # whole (multiLine disables splitting), so a monotonic id follows the
         # row order inside each file; parallelism then comes from many files.
+        # A task may read several files one after another: the row in the file
+        # is the id less the file's first one (one row per file to join).
         df = reader.option("header", True).option("multiLine", with_row_order).csv(path)
         if with_row_order:
-            df = df.withColumn("_input_order", F.struct(
-                F.col("_metadata.file_path").alias("file"),
-                F.monotonically_increasing_id().alias("pos")))
+            numbered = df.withColumn("__file", F.col("_metadata.file_path")).withColumn(
+                "__id", F.monotonically_increasing_id())
+            first = numbered.groupBy("__file").agg(F.min("__id").alias("__first"))
+            df = numbered.join(first, "__file").select(*df.columns, F.struct(
+                F.col("__file").alias("file"), (F.col("__id") - F.col("__first")).alias("pos")).alias("_input_order"))
     elif fmt == "parquet":
         df = reader.parquet(*([path] if isinstance(path, str) else path))
         if with_row_order:
@@ -72,6 +87,16 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, props: dict[str, str],
             .options(**props).load())
 
 
+def sheet_lines(sheet: DataFrame) -> DataFrame:
+    """Replace ``_input_order`` by ``_file`` and ``_row``, the line in the file (the header is line 1).
+
+    A ``_row`` column that the sheet itself carries is kept as it is.
+    """
+    row = [] if "_row" in sheet.columns else [(F.col("_input_order.pos") + F.lit(2)).alias("_row")]
+    return sheet.select(*[c for c in sheet.columns if c != "_input_order"],
+                        F.col("_input_order.file").alias("_file"), *row)
+
+
 def normalize_headers(df: DataFrame) -> DataFrame:
     """OP-03: strip blanks around column names."""
     return df.toDF(*[c.strip() for c in df.columns])

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +27,7 @@ from ..functions import text as tx
 from ..operators import joins, numbering, render, select
 from ..plans.pipelines import Registry, certificate_records
 from ..schemas import DEFAULT_BATCH_SIZE, DEFAULT_POLL_SECONDS, LEDGER_SCHEMA, STATUS_PRINTED
+from ..sources.tables import read_if_exists
 
 LEDGER_COLUMNS = LEDGER_SCHEMA
 
@@ -94,7 +95,7 @@ class IncrementalJob:
             rec.unpersist()
         docs = render.render_documents(num, self.template, suppress_blank_lines=self.suppress_blank_lines,
                                        keep=["rn", "File_Number", "serial_no"])
-        run_id = f"{self.run_date.strftime('%Y%m%d')}_b{batch_id}"
+        run_id = f"{self.run_date.strftime('%Y%m%d')}_b{batch_id:012d}"  # padded: ids sort as text
         (render.assemble_batches(docs, self.batch_size)
                .withColumn("run_id", F.lit(run_id))
                .write.mode("overwrite").parquet(self.path("documents", batch_id)))
@@ -116,11 +117,7 @@ class IncrementalJob:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018 - listing only
-        return True
-    except AnalysisException:  # path not there yet
-        return False
+    return read_if_exists(spark, path) is not None
 
 
 def stream_source(spark: SparkSession, directory: str, schema: T.StructType, glob: str | None = None,
