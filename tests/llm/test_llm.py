@@ -209,6 +209,34 @@ def test_passages_find_near_copies_and_leave_the_rest(spark):
     assert near.end_word - near.first_word == 70 and near.identity == round(69 / 70, 6)
 
 
+def test_passages_cover_every_repeated_window_behind_partial_holders(spark):
+    rng = random.Random(21)
+    texts = []
+    for k in range(25):
+        shared = prose(rng, 60, 999).split()
+        for part in (shared[:30], shared, shared, shared[30:]):
+            texts.append(" ".join([prose(rng, 25, 999), *part, prose(rng, 25, 999)]))
+        # the first text may hold a part of the passage earlier as well
+        texts.append(" ".join([prose(rng, 25, 999), *shared[:20], prose(rng, 25, 999), *shared[20:], prose(rng, 25, 999)]))
+    data = list(enumerate(texts))
+    got = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    held, covered = defaultdict(set), defaultdict(list)
+    for i, t in data:
+        w = t.split()
+        for p in range(len(w) - 39):
+            held[tuple(w[p:p + 40])].add((i, p))
+    for r in got:
+        here, there = texts[r.doc_id].split()[r.first_word:r.end_word], texts[r.partner_id].split()[r.partner_first:r.partner_end]
+        same = passages._gap_matches(here, there) / max(len(here), len(there))
+        assert min(len(here), len(there)) >= 40 and 0.8 <= r.identity <= round(same, 6)
+        covered[r.doc_id].append((r.first_word, r.end_word))
+    groups = [at for at in held.values() if len({i for i, _ in at}) > 1]
+    assert len(groups) >= 25 * 21
+    for at in groups:
+        lost = {i for i, p in at if not any(s <= p and p + 40 <= e for s, e in covered[i])}
+        assert len(lost) <= 1  # the first one is a partner only
+
+
 def test_chaining_prefers_the_collinear_matches():
     chain = passages.chains([(0, 100), (10, 110), (20, 5), (20, 120), (30, 130)])[0]
     assert chain == [(0, 100), (10, 110), (20, 120), (30, 130)]
