@@ -1,16 +1,16 @@
-"""Line dedup: repeated runs of lines, by distributed prefix doubling over line ids.
-
-A line's id is its hash. The suffix that starts at a line is ranked by its
-first line, then by its first 2, 4, 8, ... lines: the rank for 2n lines is
-that of the pair (rank of n lines here, rank of n lines n further on). A rank
-is named by the earliest place that has it, so suffixes of one rank are an
-LCP interval of at least that many lines, and each knows its first copy. Only
-suffixes whose rank repeats go on to the next round (the others are settled),
-and doubling ends when no rank repeats.
-
-For every line the longest such interval with an earlier copy is kept; overlapping
-ones in a document join to maximal repeated runs. Runs of at least
-``min_lines`` lines and ``min_words`` words are deleted. Each deleted line still stands
+"""Line dedup: repeated runs of lines, by the least qualifying windows.
+
+A run of lines qualifies with ``min_lines`` lines and ``min_words`` words. For
+every line, the shortest qualifying run that starts there and the shortest one
+that ends there are its windows: two rows a line. Every line of a qualifying
+run lies in a window within that run (in the one from the run's start, or else
+in the one that ends at the line itself), and a window depends on its lines
+only. So the lines of all windows that stand at an earlier place too are
+exactly the lines of all repeated qualifying runs, whatever their length. Windows are
+compared by a 127-bit polynomial hash of their lines' 128-bit hashes.
+
+Lines of windows with an earlier copy are deleted; windows that overlap or touch in a
+document are listed as one run. Each deleted line still stands
 in the earlier copy: the first of all places never has an earlier one.
 
 Defined cases: order is by doc_id (null first), then content, then line; rows
@@ -21,6 +21,9 @@ never a repeat of its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,8 @@ from . import common
 
 MIN_LINES = 2
 MIN_WORDS = 20
+PRIME = (1 << 127) - 1
+BASE = 0x5851F42D4C957F2D14057B7EF767814F
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -42,60 +47,64 @@ def _place() -> Column:
     return F.struct("doc_id", "key_a", "key_b", "n")
 
 
+def windows_of(text: str, min_lines: int, min_words: int, powers: list[int]) -> list[tuple[int, int, int]]:
+    """Shortest qualifying runs from and up to each line: (first line, lines, hash). ``powers`` of ``BASE`` grow as needed."""
+    import xxhash
+
+    lines = text.encode().split(b"\n")
+    n, digest = len(lines), xxhash.xxh3_128_intdigest
+    hashes, words = [0], [0]
+    for line in lines:
+        hashes.append((hashes[-1] * BASE + digest(line)) % PRIME)
+        words.append(words[-1] + len(line.split()))
+    while len(powers) <= n:
+        powers.append(powers[-1] * BASE % PRIME)
+    found = {}
+    s = 0
+    for e in range(1, n + 1):  # s: the least start of which no run up to e is known to qualify
+        while e - s >= min_lines and words[e] - words[s] >= min_words and s < e:
+            found[s, e] = True  # the shortest from s
+            s += 1
+        if s:
+            found[s - 1, e] = True  # the shortest up to e
+    return [(s, e - s, (hashes[e] - hashes[s] * powers[e - s]) % PRIME) for s, e in found]
+
+
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """Maximal repeated runs to delete: key_a, key_b (of doc_id and text), first, last (line numbers from 0), n_words."""
-    lines = common.materialise(
-        _keyed(docs, id_col, text_col)
-        .select("doc_id", "key_a", "key_b", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-        .select(
-            "doc_id", "key_a", "key_b", "n", F.xxhash64("line").alias("h"), F.hash("line").alias("h2"),
-            F.regexp_count("line", F.lit(common.WORD_RE)).alias("w"),
-        ),
-        "lines",
-    )
+    """Runs to delete: key_a, key_b (of doc_id and text), first, last (line numbers from 0)."""
+    common.small_batches(docs.sparkSession)
+    keyed = _keyed(docs, id_col, text_col).withColumn("id", F.col("doc_id").cast("string"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        powers = [1]
+        for batch in batches:
+            out = []
+            for i, a, b, text in zip(batch["id"], batch["key_a"], batch["key_b"], batch["text"]):
+                for n, size, h in windows_of(text, min_lines, min_words, powers):
+                    out.append((i, a, b, n, size, (h >> 64) - (1 << 62), (h & (1 << 64) - 1) - (1 << 63)))
+            yield pd.DataFrame(out, columns=["id", "key_a", "key_b", "n", "size", "h", "h2"])
+
     # Written, here and below, so that the joins read plain tables and Spark can split a hot line's rows.
-    ids = common.materialise(
-        lines.groupBy("h", "h2").agg(F.min(_place()).alias("rank"), F.max(_place()).alias("last")).where("rank <> last").drop("last"),
-        "line-ids",
+    windows = common.materialise(
+        keyed.select("id", "key_a", "key_b", "text")
+        .mapInPandas(run, "id string, key_a long, key_b long, n int, size int, h long, h2 long")
+        .select(F.col("id").cast(keyed.schema["doc_id"].dataType).alias("doc_id"), "key_a", "key_b", "n", "size", "h", "h2"),
+        "line-windows",
     )
-    suffixes = common.materialise(
-        lines.join(ids, ["h", "h2"]).select("doc_id", "key_a", "key_b", "n", "rank").distinct(), "line-ranks"
+    firsts = common.materialise(
+        windows.groupBy("h", "h2").agg(F.min(_place()).alias("rank"), F.count("*").alias("places")).where("places > 1").drop("places"),
+        "line-firsts",
     )
-    size, found = 1, None
-    while True:
-        if size >= min_lines:
-            later = suffixes.where(F.col("rank") != _place()).select("key_a", "key_b", "n", F.lit(size).alias("size"))
-            found = later if found is None else found.unionByName(later)
-        ahead = suffixes.select("key_a", "key_b", (F.col("n") - size).alias("n"), F.col("rank").alias("rank2"))
-        pairs = suffixes.join(ahead, ["key_a", "key_b", "n"])
-        ranks = common.materialise(
-            pairs.groupBy("rank", "rank2").agg(F.min(_place()).alias("new"), F.max(_place()).alias("last"))
-            .where("new <> last").drop("last"),
-            "line-new-ranks",
-        )
-        if ranks.isEmpty():
-            break
-        suffixes = common.materialise(
-            pairs.join(ranks, ["rank", "rank2"]).select("doc_id", "key_a", "key_b", "n", F.col("new").alias("rank")), "line-ranks"
-        )
-        size *= 2
-    if found is None:  # min_lines above the longest repeat
-        found = suffixes.select("key_a", "key_b", "n", F.lit(size).alias("size"))
-    # The longest interval of each line, then maximal runs: islands of overlapping or touching intervals.
-    longest = found.groupBy("key_a", "key_b", "n").agg(F.max("size").alias("size"))
+    later = windows.join(firsts, ["h", "h2"]).where(~F.col("rank").eqNullSafe(_place())).select("key_a", "key_b", "n", "size")
+    longest = later.groupBy("key_a", "key_b", "n").agg(F.max("size").alias("size"))
     by_doc = Window.partitionBy("key_a", "key_b").orderBy("n")
     ends = longest.withColumn("upto", F.max(F.col("n") + F.col("size")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
-    runs = (
+    return (
         ends.withColumn("run", F.sum(F.when(F.col("upto") >= F.col("n"), 0).otherwise(1)).over(by_doc))
         .groupBy("key_a", "key_b", "run")
         .agg(F.min("n").alias("first"), F.max(F.col("n") + F.col("size") - 1).alias("last"))
-    )
-    spread = runs.select("key_a", "key_b", "first", "last", F.explode(F.sequence("first", "last")).alias("n"))
-    counted = spread.join(lines.select("key_a", "key_b", "n", "w").distinct(), ["key_a", "key_b", "n"])
-    return (
-        counted.groupBy("key_a", "key_b", "first", "last").agg(F.sum("w").cast("long").alias("n_words"))
-        .where((F.col("n_words") >= min_words) & (F.col("last") - F.col("first") + 1 >= min_lines))
+        .select("key_a", "key_b", "first", "last")
     )
 
 

@@ -197,6 +197,32 @@ def test_line_runs_delete_later_copies_only(spark):
     assert got[3].text == ""
 
 
+@pytest.mark.parametrize("min_lines", [2, 3])
+def test_line_runs_match_brute_force(spark, min_lines):
+    rng = random.Random(6)
+    pool = [" ".join(f"w{k}x{j}" for j in range(k % 14)) for k in range(28)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    a, b, c, d, e = ("\n".join(" ".join(f"{x}{k}{j}" for j in range(6)) for k in "pq") for x in "abcde")  # two lines of 12 words
+    texts += [a + "\n" + "own line", b + "\n" + "other line", a + "\n" + b]  # adjacent short runs
+    texts += ["\n".join((c, d, e)), c + "\n" + d + "\nend", "x\n" + "\n".join((c, d, e)), "\n".join((c, c, c))]
+    texts += [texts[0] + "\n" + texts[1], None, ""]
+    data = list(enumerate(texts))
+    got = {r.doc_id: r for r in line_runs.dedup_lines(spark.createDataFrame(data, "doc_id long, text string"), min_lines=min_lines).collect()}
+    seen, gone = set(), defaultdict(set)
+    for i, t in data:
+        lines = (t or "").split("\n")
+        for s in range(len(lines)):  # runs by place: all that starts before this line is in seen
+            runs = [tuple(lines[s:e]) for e in range(s + 1, len(lines) + 1)]
+            for r in runs:
+                if r in seen and len(r) >= min_lines and sum(len(x.split()) for x in r) >= 20:
+                    gone[i] |= set(range(s, s + len(r)))
+            seen.update(runs)
+    for i, t in data:
+        lines = (t or "").split("\n")
+        assert got[i].n_removed == len(gone[i]) and got[i].text == "\n".join(x for n, x in enumerate(lines) if n not in gone[i])
+    assert not gone[62] and gone[65] and sum(map(bool, gone.values())) > 2
+
+
 def test_passages_find_near_copies_and_leave_the_rest(spark):
     rng = random.Random(9)
     texts = [prose(rng, 200, 999) for _ in range(6)]
