@@ -33,7 +33,12 @@ BASE_PHRASES = (
 # 2 names alone, 3 hints. The confidence of a priority is the score it gives.
 CONFIDENCE = (1.0, 0.9, 0.7, 0.4)
 
-_V = r"(?: version| v)?"
+# Before a version's number: blank, "version", "v", or a "v" joined to it ("gpl v3", "version 2 0", "license v2 0").
+_V = r"(?: version)?(?: v ?| )"
+_SAID_V = r" (?:version(?: v ?| )|v ?)"
+# After a number that is not the first part of a longer version.
+_ENDS = r"(?! [0-9]{1,2}(?![^ ]))"
+_LATER = r"(?: or(?: \(?at your option\)?)?(?: any)? later(?: version)?| or newer| plus)"
 _LIC = r" (?:license|licence)"
 _PUB = r" public (?:license|licence)"
 
@@ -80,6 +85,9 @@ FAMILIES = (
     ("cc0", "cc0", r"cc0", ("1 0",)),
 )
 
+# Names that are also written in one word with the version: "gplv3", "lgplv2 1", "gpl3".
+FUSED = ("apache", "mpl", "epl", "eupl", "cddl", "ofl", "lppl", "agpl", "lgpl", "gpl", "gfdl", "odbl", "cecill")
+
 # Creative Commons: parts of the license, written as codes or as words.
 CC_PARTS = (
     ("by", "attribution"),
@@ -177,15 +185,26 @@ def rules() -> list[tuple[str, str, int, str]]:
     for keyword, label, name, versions in FAMILIES:
         for version in versions:
             tag = f"{label}-{version.replace(' ', '.')}"
-            out.append((keyword, tag, 1, name + _V + " " + version))
-            out.append((keyword, f"{tag}-or-later", 0, name + _V + " " + version + r"(?: or(?: \(?at your option\)?)?(?: any)? later(?: version)?| or newer| plus)"))
+            major, _, minor = version.partition(" ")
+            alone = minor == "0" and major not in versions  # "v2" means 2.0
+            number = name + _V + version
+            if alone:
+                number = f"(?:{number}|{name}{_SAID_V}{major}{_ENDS})"
+            out.append((keyword, tag, 1, number))
+            out.append((keyword, f"{tag}-or-later", 0, number + _LATER))
+            if keyword in FUSED:
+                for word in (f"{keyword}v{major}", f"{keyword}{major}"):
+                    rest = f" {minor}" if minor else ""
+                    fused = "(?:gnu )?" + word + (f"(?:{rest}|{_ENDS})" if alone else rest)
+                    out.append((word, tag, 1, fused))
+                    out.append((word, f"{tag}-or-later", 0, fused + _LATER))
         out.append((keyword, label, 2, name))
     for code, name in CC_PARTS:
         label = "cc-" + code.replace(" ", "-")
         for version in CC_VERSIONS:
             tag = f"{label}-{version.replace(' ', '.')}"
-            out.append(("cc by", tag, 1, f"cc {code}" + _V + f" {version}"))
-            out.append(("creative commons", tag, 1, f"creative commons {name}(?: international| unported| generic)?" + _V + f" {version}"))
+            out.append(("cc by", tag, 1, f"cc {code}" + _V + version))
+            out.append(("creative commons", tag, 1, f"creative commons {name}(?: international| unported| generic)?" + _V + version))
         out.append(("cc by", label, 2, f"cc {code}"))
         out.append(("creative commons", label, 2, f"creative commons {name}"))
     return out

@@ -157,6 +157,19 @@ def test_license_suppression_and_places(spark):
     assert len(license_scan.rules()) > 200
 
 
+@pytest.mark.parametrize("text, labels", [
+    ("GPL v3", "gpl-3"), ("GPL v 3", "gpl-3"), ("GPL version 3", "gpl-3"), ("GPL 3", "gpl-3"), ("GPL, version v3", "gpl-3"),
+    ("the Apache License v2.0", "apache-2.0"), ("MPL v2", "mpl-2.0"), ("MPL v1.1", "mpl-1.1"),
+    ("LGPL v2.1 or later", "lgpl-2.1-or-later"), ("GPLv3", "gpl-3"), ("GNU GPLv2 or any later version", "gpl-2-or-later"),
+    ("LGPLv2.1", "lgpl-2.1"), ("GPLv2+", "gpl-2"), ("AGPLv3", "agpl-3"), ("GPL3", "gpl-3"), ("MPLv2", "mpl-2.0"),
+    ("Apache", "apache"), ("gplv3x", ""), ("CC BY v4.0", "cc-by,cc-by-4.0"),
+])
+def test_license_versions_as_they_are_written(spark, text, labels):
+    df = spark.createDataFrame([(1, f"see {text} here")], "doc_id long, text string")
+    found = license_scan.scan_licenses(df).first()
+    assert ",".join(sorted({d.label for d in found.detections} | {b.label for b in found.base})) == labels
+
+
 def windows_removed(texts):
     counts = Counter(t[j:j + 200] for t in texts for j in range(len(t) - 199))
     out = []
