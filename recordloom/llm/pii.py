@@ -6,7 +6,8 @@ homoglyphs and full-width forms become ASCII, invisible characters go, spelled
 digits become digits, "(at)", "[dot]" and the like become "@" and ".". The
 same detectors run on the rewritten text, and each new find is mapped back to
 the characters of the source it was made from. Base spans always stay; a find
-that meets a base span of its kind is dropped.
+that lies within base spans of its kind is dropped, one that reaches further
+is added beside them.
 
 Each document is handled on its own, in one pass over Arrow batches; all
 scanners are linear in the text.
@@ -237,10 +238,11 @@ def added_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> dict[str,
         firsts = [s for s, _ in taken]
         for a, b in spans:
             s, e = rewritten.span(a, b)
-            i = bisect_right(firsts, s)
-            if (i and taken[i - 1][1] > s) or (i < len(taken) and taken[i][0] < e):
-                continue
-            out[kind].append((s, e))
+            i, upto = max(0, bisect_right(firsts, s) - 1), s
+            while i < len(taken) and taken[i][0] <= upto < e:
+                upto, i = max(upto, taken[i][1]), i + 1
+            if upto < e:
+                out[kind].append((s, e))
     return out
 
 

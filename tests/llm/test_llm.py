@@ -134,6 +134,20 @@ def test_disguises_are_mapped_back(text, kind, found):
     assert [text[s:e] for s, e in got[kind]] == [found]
 
 
+@pytest.mark.parametrize("text, kind, base, added", [
+    ("паul@example.com", "email", ["ul@example.com"], ["аul@example.com"]),  # the first letter is no homoglyph
+    ("pаul@example.com ok", "email", ["ul@example.com"], ["pаul@example.com"]),
+    ("paul@mail.exаmple.com", "email", ["paul@mail.ex"], ["paul@mail.exаmple.com"]),
+    ("+1 202 555 01 two three now", "phone", ["+1 202 555 01"], ["+1 202 555 01 two three"]),
+    ("paul@example.com and mаx", "email", ["paul@example.com"], []),
+])
+def test_longer_finds_stay_beside_the_base_spans(text, kind, base, added):
+    found = pii.detect(text)
+    got = pii.added_spans(text, found)
+    assert [text[s:e] for s, e in found[kind]] == base
+    assert [text[s:e] for s, e in got[kind]] == added
+
+
 def test_base_identifiers_and_clean_text():
     text = "a@b.co 10.0.0.256 1.2.3.4 4111 1111 1111 1111 +49 (151) 123-4567 x@y"
     base = pii.detect(text)
