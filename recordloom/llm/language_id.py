@@ -4,9 +4,9 @@ The network (numpy only) reads the UTF-8 bytes of a text in stretches of
 ``STRETCH`` bytes, forwards and backwards, labels every position with
 probabilities of the languages, and a document's probabilities are the mean
 over all its positions: whole texts, no prefixes. It is trained by
-backpropagation through time on a sample of at most ``PER_LANGUAGE`` labelled
-documents of each language (``MAX_LANGUAGES`` at most), the documented bounds
-of what comes to the driver. Prediction is a scan with the weights, which are
+backpropagation through time on a sample of at most ``PER_LANGUAGE`` different
+labelled texts of each language and about ``SAMPLE_TEXTS`` of all (at least one of each
+language), the documented bounds of what comes to the driver. Prediction is a scan with the weights, which are
 a few kilobytes, in the function.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0;
@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 
 from . import common
 
-PER_LANGUAGE = 300     # sampled documents of a language
-SAMPLE_BYTES = 2048    # of a sampled document, from a place chosen by hash
-MAX_LANGUAGES = 64
+PER_LANGUAGE = 300     # sampled texts of a language
+SAMPLE_TEXTS = 300 * 64  # sampled texts of all languages
+SAMPLE_BYTES = 2048    # of a sampled text, from a place chosen by hash
 HIDDEN = 8
 EMBEDDING = 8
 STRETCH = 128
@@ -45,30 +45,29 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, label_ok: Column, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """At most ``per_language`` labelled texts of each language, chosen by hash of the text, cut to a stretch of each.
+    """At most ``per_language`` different labelled texts of each language, chosen by hash of the text, cut to a stretch of each.
 
-    The languages' counts (one small row each) give a share of hash values that
+    Copies of a text count and are taken once; null and empty texts don't count. The
+    languages' counts (one small row each) give a share of hash values that
     holds about twice the limit, so what is shuffled and ranked stays bounded
-    however many tasks read the table. With more than ``MAX_LANGUAGES``
-    languages the most frequent ones are learned.
+    however many tasks read the table. A language of up to twice the limit is
+    ranked whole. With very many languages each gives fewer texts.
     """
     text = common.text_of(text_col)
     rows = docs.where(label_ok & F.col(lang_col).isNotNull()).select(
         F.col(lang_col).cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h")
     ).where(F.length("text") > 0)
-    counts = (
-        docs.where(label_ok & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-        .orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    )
-    # A language of up to twice the limit is taken whole.
-    share = F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.col("count"))
+    counts = common.materialise(rows.select("lang", "h").distinct().groupBy("lang").count(), "lang-counts")
+    per_language = min(per_language, max(1, SAMPLE_TEXTS // max(1, counts.count())))
+    # At least 50 texts are expected, so that no language misses its share by chance.
+    share = F.least(F.lit(1.0), F.lit(max(2.0 * per_language, 50.0)) / F.col("count"))
     rows = rows.join(F.broadcast(counts.select("lang", share.alias("share"))), "lang").where(
         F.pmod(F.xxhash64(F.lit("sample"), "h"), F.lit(1 << 30)) < F.col("share") * F.lit(float(1 << 30))
     )
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     at = F.expr(f"cast(pmod(h, greatest(length(text) - {SAMPLE_BYTES // 2}, 1)) AS int) + 1")
-    cut = rows.select("lang", "h", F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text"))
-    return cut.withColumn("n", first).where(F.col("n") <= per_language).drop("n").orderBy("lang", "h", "text")
+    cut = rows.select("lang", "h", F.substring("text", at, F.lit(SAMPLE_BYTES)).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    return cut.withColumn("n", first).where(F.col("n") <= per_language).drop("n").orderBy("lang", "h")
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -201,7 +200,7 @@ class ByteGRU:
 
 def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int = 7) -> ByteGRU:
     """Train on stretches drawn evenly over the languages (Adam); the same input gives the same weights."""
-    languages = sorted(set(labels))[:MAX_LANGUAGES]
+    languages = sorted(set(labels))
     model = ByteGRU.fresh(languages, seed)
     rng = np.random.default_rng(seed)
     by_lang = [
@@ -228,8 +227,9 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, seed: int =
 def predict(model: ByteGRU, texts: list[bytes]) -> np.ndarray:
     """Mean position probabilities (document, language); every byte is labelled once."""
     sums = np.zeros((len(texts), len(model.languages)))
-    x = np.full((1024, STRETCH), 32, np.uint8)
-    owner, length = np.zeros(1024, int), np.zeros(1024, int)
+    width = max(1, 1024 * 64 // max(64, len(model.languages)))  # bounds the probabilities in memory
+    x = np.full((width, STRETCH), 32, np.uint8)
+    owner, length = np.zeros(width, int), np.zeros(width, int)
     used = 0
 
     def flush() -> None:
@@ -285,7 +285,7 @@ def identify(
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, label_ok: Column) -> ByteGRU | None:
     """Train on the bounded sample; None if no labelled document is there."""
-    sample = training_sample(docs, id_col, text_col, lang_col, label_ok).limit(PER_LANGUAGE * MAX_LANGUAGES).collect()
+    sample = training_sample(docs, id_col, text_col, lang_col, label_ok).collect()
     if not sample:
         return None
     return train([r["text"].encode() for r in sample], [r["lang"] for r in sample])

@@ -377,6 +377,28 @@ def test_language_model_learns_held_out_languages(spark):
     assert all(got[i].lang_pred == data[i][2] and 0 <= got[i].score <= 1 for i in range(80))
 
 
+def test_language_sample_takes_texts_not_copies(spark):
+    from pyspark.sql import functions as F
+
+    data = [(f"text {i % 3} of cc", "cc") for i in range(900)] + [(None, "dd")] * 900 + [(f"text {i} of dd", "dd") for i in range(4)]
+    data += [(f"text {i} of ee", "ee") for i in range(500)] + [("copied of ff", "ff")] * 900 + [(f"text {i} of ff", "ff") for i in range(12)]
+    data += [("", "gg"), (None, "hh")] + [(f"word{k}", f"l{k}") for k in range(70)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "doc_id long, text string, lang string").repartition(3)
+    got = defaultdict(list)
+    for r in language_id.training_sample(df, "doc_id", "text", "lang", F.lit(True), per_language=10).collect():
+        got[r.lang].append(r.text)
+    assert sorted(got["cc"]) == [f"text {i} of cc" for i in range(3)] and len(got["dd"]) == 4
+    assert all(len(got[k]) == len(set(got[k])) == 10 for k in ("ee", "ff"))
+    assert set(got) == {"cc", "dd", "ee", "ff"} | {f"l{k}" for k in range(70)}
+
+
+def test_all_languages_are_learned_and_predicted():
+    model = language_id.train([f"text {k}".encode() for k in range(70)], [f"l{k:02}" for k in range(70)], steps=1)
+    assert len(model.languages) == 70
+    p = language_id.predict(model, [b"x" * 200] * 1200)
+    assert p.shape == (1200, 70) and abs(p.sum(axis=1) - 1).max() < 1e-3
+
+
 def test_gradient_of_the_network():
     import numpy as np
 
