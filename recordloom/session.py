@@ -63,7 +63,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return root
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The folder under the shared checkpoint folder that holds this library's written intermediate tables."""
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/recordloom"
+
+
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    return "/".join([root, "recordloom", *parts, uuid.uuid4().hex])
+    return "/".join([scratch_root(spark), *parts, uuid.uuid4().hex])
