@@ -10,8 +10,11 @@ from . import (
     packing,
     passages,
     pii,
+    prefix_trie,
     quality_rules,
+    secret_scan,
     simhash,
+    structure_repair,
     suffix_dedup,
 )
 
@@ -26,9 +29,14 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_language_id": language_id.op10_language_id,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_secret_scan": secret_scan.op12_secret_scan,
+    "op13_structure_repair": structure_repair.op13_structure_repair,
 }
 
 ORACLE = {
     "op1_quality_rules": quality_rules.OP1_SQL,
     "op9_decontamination": decontaminate.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
+    "op12_secret_scan": secret_scan.OP12_SQL,
 }
