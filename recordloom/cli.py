@@ -18,10 +18,10 @@ import argparse
 import datetime as dt
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ingest, writeback
+from .operators import commits, ingest, writeback
 from .plans import pipelines
 from .schemas import APPLICANT_SCHEMA, DEFAULT_BATCH_SIZE, DEFAULT_POLL_SECONDS
 from .session import ensure_checkpoint_dir
@@ -37,17 +37,18 @@ def _session() -> SparkSession:
 
 
 def _read_tables(spark: SparkSession, root: str, required: bool = True,
-                 exclude_load: str | None = None) -> dict[str, DataFrame]:
-    """The tables under ``root``; ``exclude_load`` hides one load's own rows
-    (a rerun of that load must not see itself as already loaded)."""
+                 exclude_load: str | None = None, keep_load: bool = False) -> dict[str, DataFrame]:
+    """The tables under ``root``, committed loads only; ``exclude_load`` hides one load's own
+    rows (a rerun of that load must not see itself as already loaded)."""
     out = {}
     for t in TABLES:
         df = spark.read.parquet(f"{root}/{t}") if required else tables.read_if_exists(spark, f"{root}/{t}")
         if df is None:  # table not created yet
             continue
+        df = commits.committed(df, root, "load_id")
         if exclude_load is not None and "load_id" in df.columns:
             df = df.filter(F.col("load_id") != F.lit(exclude_load))
-        out[t] = df.drop("load_id")
+        out[t] = df if keep_load else df.drop("load_id")
     # status_class stays on the applicant table: the selection prunes on it.
     return out
 
@@ -58,6 +59,7 @@ def _current(spark: SparkSession, root: str, out: str | None) -> pipelines.Regis
     if out:
         led = tables.read_if_exists(spark, f"{out}/ledger")
         if led is not None:
+            led = commits.committed(led, out, "run_id")
             after = _watermark(spark, root)
             if after is not None:
                 led = led.filter(F.col("run_id") > F.lit(after))
@@ -65,21 +67,37 @@ def _current(spark: SparkSession, root: str, out: str | None) -> pipelines.Regis
     return pipelines.Registry(fact, t["ministryofhomeaffairs"], t["ib_authority"], t["state"])
 
 
+def _loads(spark: SparkSession, root: str) -> DataFrame:
+    """Ids of the loads found under ``root``."""
+    found = spark.createDataFrame([], "id string")
+    for t in TABLES:
+        df = tables.read_if_exists(spark, f"{root}/{t}")
+        if df is not None and "load_id" in df.columns:
+            found = found.unionByName(df.select(F.col("load_id").cast("string").alias("id")).distinct())
+    return found
+
+
 def cmd_load(a: argparse.Namespace) -> None:
     spark = _session()
-    intake = tables.scan_sheet(spark, a.intake, a.format)
+    intake = tables.scan_sheet(spark, a.intake, a.format, line_breaks_in_cells=not a.no_line_breaks)
     intake = tables.normalize_na(tables.normalize_headers(intake))
-    existing = _read_tables(spark, a.tables, required=False, exclude_load=a.load_id)
-    load = ingest.load_star(spark, intake, existing)
+    existing = _read_tables(spark, a.tables, required=False, exclude_load=a.load_id, keep_load=True)
+    largest = commits.largest_serial(existing["applicant"], a.tables, exclude=a.load_id) if "applicant" in existing else 0
+    existing = {n: df.drop("load_id") for n, df in existing.items()}
+    load = ingest.load_star(spark, intake, existing, largest_serial=largest)
     bad = load.violations.groupBy("check_name").count().collect()
     if bad:
         # Refuse the whole load, as the one-transaction insert would.
         print("load refused:", {r["check_name"]: r["count"] for r in bad})
         sys.exit(3)
+    commits.begin(spark, a.tables, a.load_id, _loads(spark, a.tables))
     for name, df in (("state", load.state), ("ib_authority", load.authority),
                      ("ministryofhomeaffairs", load.ministry)):
         df.write.mode("overwrite").parquet(f"{a.tables}/{name}/load_id={a.load_id}")
-    sinks.write_registry_table(load.applicant, f"{a.tables}/applicant/load_id={a.load_id}")
+    seen = Observation(f"load_{a.load_id}")
+    sinks.write_registry_table(load.applicant.observe(seen, F.max("serial").alias("largest")),
+                               f"{a.tables}/applicant/load_id={a.load_id}")
+    commits.commit(spark, a.tables, a.load_id, seen.get["largest"] or 0)
 
 
 def cmd_select(a: argparse.Namespace) -> None:
@@ -118,21 +136,23 @@ def cmd_compact(a: argparse.Namespace) -> None:
     from .schemas import STATUS_CLASS
     spark = _session()
     t = _read_tables(spark, a.tables)
-    ledger = spark.read.parquet(f"{a.out}/ledger")
+    ledger = commits.committed(spark.read.parquet(f"{a.out}/ledger"), a.out, "run_id")
     after = _watermark(spark, a.tables)
     if after is not None:
         ledger = ledger.filter(F.col("run_id") > F.lit(after))
     upto = a.upto or ledger.agg(F.max("run_id")).first()[0]
+    commits.begin(spark, a.to, "compacted")
     for name in ("state", "ib_authority", "ministryofhomeaffairs"):
         t[name].write.mode("overwrite").parquet(f"{a.to}/{name}/load_id=compacted")
     base = t["applicant"].drop(STATUS_CLASS)
     sinks.write_registry_table(writeback.compact(base, ledger, upto), f"{a.to}/applicant/load_id=compacted")
     spark.createDataFrame([(upto,)], "upto_run string").write.mode("overwrite").parquet(f"{a.to}/_compacted")
+    commits.commit(spark, a.to, "compacted")
 
 
 def cmd_sheet(a: argparse.Namespace) -> None:
     spark = _session()
-    raw = tables.scan_sheet(spark, a.sheet, a.format)
+    raw = tables.scan_sheet(spark, a.sheet, a.format, line_breaks_in_cells=not a.no_line_breaks)
     sheet = tables.sheet_lines(tables.normalize_na(tables.normalize_headers(raw)))
     if len(raw.inputFiles()) == 1:
         sheet = sheet.drop("_file")  # one file: its lines alone are the order
@@ -160,14 +180,16 @@ def cmd_sheet(a: argparse.Namespace) -> None:
 def cmd_watch(a: argparse.Namespace) -> None:
     from .streaming.incremental import IncrementalJob, run_with_restarts, stream_source
     spark = _session()
-    # New applicant rows arrive as files; only the dimensions are read here.
+    # New applicant rows arrive as files; the dimensions are read anew for every micro-batch.
     t = _read_tables(spark, a.tables, required=False)
     missing = [n for n in ("state", "ib_authority", "ministryofhomeaffairs") if n not in t]
     if missing:
         raise SystemExit(f"missing tables under {a.tables}: {', '.join(missing)}")
     template = open(a.template, encoding="utf-8").read()
-    job = IncrementalJob(spark=spark, to_fact=lambda b: b, ministry=t["ministryofhomeaffairs"],
-                         authority=t["ib_authority"], state=t["state"], template=template,
+    job = IncrementalJob(spark=spark, to_fact=lambda b: b,
+                         ministry=lambda: _read_tables(spark, a.tables, required=False)["ministryofhomeaffairs"],
+                         authority=lambda: _read_tables(spark, a.tables, required=False)["ib_authority"],
+                         state=lambda: _read_tables(spark, a.tables, required=False)["state"], template=template,
                          run_date=_date(a.run_date), out=a.out, batch_size=a.batch_size)
     src = stream_source(spark, a.incoming, APPLICANT_SCHEMA, max_files_per_trigger=a.max_files)
     run_with_restarts(lambda: job.start(src, f"{a.out}/_checkpoint", once=a.once, poll_seconds=a.poll))
@@ -197,6 +219,7 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--format", default="csv", choices=["csv", "parquet"])
     s.add_argument("--tables", required=True)
     s.add_argument("--load-id", required=True)
+    s.add_argument("--no-line-breaks", action="store_true", help="CSV cells hold no line breaks: large files are split")
     s.set_defaults(fn=cmd_load)
 
     s = sub.add_parser("select", help="list the records still to print")
@@ -221,6 +244,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "sheet":
             s.add_argument("--sheet", required=True)
             s.add_argument("--format", default="csv", choices=["csv", "parquet"])
+            s.add_argument("--no-line-breaks", action="store_true", help="CSV cells hold no line breaks: large files are split")
             s.add_argument("--mark", action="store_true", help="write the sheet's next version with PRINTED marks")
             s.add_argument("--per-record", action="store_true",
                            help="one document per record (named by serial prefix), without the gate")

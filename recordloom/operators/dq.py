@@ -181,33 +181,34 @@ def gated(df: DataFrame, result: GateResult) -> DataFrame:
 # Table-mode checks (schema constraints)
 # ---------------------------------------------------------------------------
 
-def _violations(fact: DataFrame, dim: DataFrame, fk: str, check: str, key: str,
-                allow_null: bool, small_dim: bool = True) -> DataFrame:
-    d = sized_broadcast(dim.select(fk))[0] if small_dim else dim.select(fk)
-    nonnull = fact.filter(F.col(fk).isNotNull())
-    orphans = nonnull.join(d, fk, "left_anti").select(
-        F.lit(check).alias("check_name"), F.col(key).alias("record_key"),
-        F.concat(F.lit(f"{fk}="), F.col(fk)).alias("detail"))
-    if allow_null:
-        return orphans
-    nulls = fact.filter(F.col(fk).isNull()).select(
-        F.lit(check).alias("check_name"), F.col(key).alias("record_key"), F.lit(f"{fk} is NULL").alias("detail"))
-    return orphans.unionByName(nulls)
-
-
 def dq_orphans(fact: DataFrame, state: DataFrame, ministry: DataFrame, authority: DataFrame,
                key: str = "file_number") -> DataFrame:
     """OP-57: foreign-key violations (state mandatory; parent and authority when not NULL).
 
-    Output ``check_name, record_key, detail``. State and authority are
-    broadcast after a size check; the parent table grows with the fact, so
-    its anti join is planned by AQE.
+    Output ``check_name, record_key, detail``. The fact is read once: three
+    left joins to the distinct keys set an existence flag each, and a row's
+    violations are one array, exploded. State and authority are broadcast
+    after a size check; the parent table grows with the fact, so its join is
+    planned by AQE. Only rows with a violation leave the last join.
     """
-    return (_violations(fact, state, "state_code", "fk_state", key, allow_null=False)
-            .unionByName(_violations(fact, ministry, "mha_file_number", "fk_mha", key, allow_null=True,
-                                     small_dim=False))
-            .unionByName(_violations(fact, authority, "ib_staff_authority_id", "fk_ib_authority", key,
-                                     allow_null=True)))
+    keys = {"state_code": state, "mha_file_number": ministry, "ib_staff_authority_id": authority}
+    j = fact.select(F.col(key).alias("record_key"), *keys)
+    for fk, dim in keys.items():
+        d = dim.select(fk).filter(F.col(fk).isNotNull()).distinct()
+        if dim is not ministry:
+            d = sized_broadcast(d)[0]
+        j = j.join(d.withColumn(f"__has_{fk}", F.lit(True)), fk, "left")
+
+    def missing(fk: str, check: str, allow_null: bool = True) -> Column:
+        hit = F.struct(F.lit(check).alias("check_name"), F.concat(F.lit(f"{fk}="), F.col(fk)).alias("detail"))
+        none = F.struct(F.lit(check).alias("check_name"), F.lit(f"{fk} is NULL").alias("detail"))
+        out = F.when(F.col(fk).isNotNull() & F.col(f"__has_{fk}").isNull(), hit)
+        return out if allow_null else out.when(F.col(fk).isNull(), none)
+
+    found = F.array_compact(F.array(missing("state_code", "fk_state", allow_null=False),
+                                    missing("mha_file_number", "fk_mha"), missing("ib_staff_authority_id", "fk_ib_authority")))
+    return (j.select("record_key", F.explode(found).alias("v"))
+             .select("v.check_name", "record_key", "v.detail"))
 
 
 def constraint_flags(fact: DataFrame) -> list[tuple[str, Column]]:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schemas import STATUS_IN_PROCESS
+from ..session import staged
 from ..sources import tables
 from . import joins, numbering
 
@@ -84,7 +85,7 @@ class StarLoad:
 def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFrame] | None = None,
               state_rows: DataFrame | None = None, authority_rows: DataFrame | None = None,
               authority_map: DataFrame | None = None, order: str = ORDER_COL,
-              num_partitions: int | None = None) -> StarLoad:
+              largest_serial: int | None = None) -> StarLoad:
     """OP-50: one intake sheet -> new rows for state, authority, parent and fact.
 
     Steps: header strip (OP-03), constant dimensions (OP-05) upserted
@@ -129,7 +130,8 @@ def load_star(spark: SparkSession, intake: DataFrame, existing: dict[str, DataFr
         F.col(order),
     )
     fact = insert_ignore(fact, existing.get("applicant"), "file_number", order)
-    fact = numbering.identity_serial(fact, existing.get("applicant"), [order], "serial", num_partitions)
+    fact = staged(fact, "load-rows")  # counted, then numbered
+    fact = numbering.identity_serial(fact, existing.get("applicant"), [order], "serial", largest_serial)
     fact = numbering.column_defaults(fact, {"status": STATUS_IN_PROCESS})
     fact = fact.withColumn("date_issued", F.lit(None).cast("date"))
     fact = fact.select("file_number", "serial", "name", "sex", "birth_date", "place", "state_code",

@@ -20,13 +20,13 @@ BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 def size_at_most(df: DataFrame, max_rows: int, max_bytes: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows and about ``max_bytes`` of data.
 
-    One aggregate over the table (a row per task is moved): its rows and text
-    widths (every column as text, plus 8 bytes per value).
+    A bounded probe: at most ``max_rows`` + 1 rows are read, and their text
+    widths added up (every column as text, plus 8 bytes per value).
     """
     width = F.lit(0)
     for c in df.columns:
         width = width + F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + F.lit(8)
-    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
+    row = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("b")).first()
     return row["n"] <= max_rows and (row["b"] or 0) <= max_bytes
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schemas import PAGE_BREAK
-from .numbering import with_batch_id
+from .numbering import BUCKET, with_batch_id
 
 _FIELD_RE = re.compile(r"\{\{\s*([A-Za-z_][A-Za-z0-9_]*)\s*\}\}")
 
@@ -148,14 +148,23 @@ def assemble_batches(docs: DataFrame, batch_size: int, rn: str = "rn", doc: str
     Output: ``batch_id, first_record, last_record, n_docs, text``. Batches in
     ``batch_id`` order form the whole run; each group is bounded by
     ``batch_size``, so no task ever holds the whole output.
+
+    Documents that still carry the numbering's ``BUCKET`` columns lie bucket
+    by bucket in partitions. Batches that fit into one bucket are then
+    assembled in place; only the documents of the two batches at a bucket's
+    ends are shuffled.
     """
     b = with_batch_id(docs, batch_size, rn)
-    return b.groupBy("batch_id").agg(
-        F.min(rn).alias("first_record"),
-        F.max(rn).alias("last_record"),
-        F.count(F.lit(1)).alias("n_docs"),
-        F.expr(f"listagg(`{doc}`, chr(12)) WITHIN GROUP (ORDER BY `{rn}`)").alias("text"),
-    )
+    joined = (F.min(rn).alias("first_record"), F.max(rn).alias("last_record"), F.count(F.lit(1)).alias("n_docs"),
+              F.expr(f"listagg(`{doc}`, chr(12)) WITHIN GROUP (ORDER BY `{rn}`)").alias("text"))
+    if not set(BUCKET) <= set(docs.columns):
+        return b.groupBy("batch_id").agg(*joined)
+    bucket, first, last, total = (F.col(c) for c in BUCKET)
+    whole = (F.col("batch_id") * batch_size + 1 >= first) & (
+        F.least((F.col("batch_id") + 1) * batch_size, total) <= last)
+    inside = b.filter(whole).groupBy(bucket, "batch_id").agg(*joined).drop(BUCKET[0])
+    edges = b.filter(~whole).groupBy("batch_id").agg(*joined)
+    return inside.unionByName(edges)
 
 
 def render_single_range(docs: DataFrame, part_size: int, rn: str = "rn", doc: str = "doc") -> DataFrame:

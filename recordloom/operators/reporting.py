@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -58,26 +58,81 @@ def run_summary(run_id: str, fact: DataFrame, flagged: DataFrame, status: str =
     ).select(F.lit(run_id).alias("run_id"), "found", "rendered", "quarantined", "updated")
 
 
+AGE_BUCKETS = ((30, "0-30 days"), (90, "31-90 days"), (365, "91-365 days"))
+
+
+def age_bucket(run_date: dt.date, date_col: str = "registration_date") -> Column:
+    """Age bucket of a date at the run date (a null date counts as oldest)."""
+    age = F.datediff(tx.run_date(run_date), F.col(date_col))
+    bucket = None
+    for limit, label in AGE_BUCKETS:
+        cond = age <= F.lit(limit)
+        bucket = F.when(cond, F.lit(label)) if bucket is None else bucket.when(cond, F.lit(label))
+    return bucket.otherwise(F.lit("over 365 days"))
+
+
+# Group columns of the five reports, in the order of their grouping sets.
+REPORTS = {"volume_trend": "month", "backlog": "age_bucket", "gender": "sex",
+           "authority_load": "ib_staff_authority_id", "state": "state_code"}
+
+
+def counted_in_one_pass(fact: DataFrame, run_date: dt.date, status: str = "status",
+                        date_col: str = "registration_date") -> DataFrame:
+    """OP-34..38 counted in one scan of the fact: ``report`` and its group value (of one of the five columns of
+    ``REPORTS``), n, n_active, oldest_active.
+
+    One aggregate with a grouping set per report; the partial aggregate
+    leaves a row per group and task. :func:`reports_of` shapes the five reports.
+    """
+    rows = fact.select(
+        F.date_format(F.col(date_col), "yyyy-MM").alias("month"), age_bucket(run_date, date_col).alias("age_bucket"),
+        "sex", "ib_staff_authority_id", "state_code", F.col(date_col).alias("__date"),
+        (tx.status_norm_table(status) != F.lit(STATUS_PRINTED)).alias("__active"))
+    columns = list(REPORTS.values())
+    # grouping_id has a bit per column, the first one highest; a column's bit is 0 in its own set.
+    ids = {(1 << len(columns)) - 1 - (1 << len(columns) - 1 - i): name for i, name in enumerate(REPORTS)}
+    which = F.create_map(*[F.lit(x) for pair in ids.items() for x in pair])
+    return (rows.groupingSets([[F.col(c)] for c in columns], *columns)
+                .agg(F.grouping_id().alias("__set"), F.count(F.lit(1)).cast("bigint").alias("n"),
+                     F.count_if("__active").cast("bigint").alias("n_active"),
+                     F.min(F.when(F.col("__active"), F.col("__date"))).alias("oldest_active"))
+                .select(which[F.col("__set").cast("int")].alias("report"), *columns, "n", "n_active", "oldest_active"))
+
+
+def reports_of(counted: DataFrame, authority: DataFrame, state: DataFrame) -> dict[str, DataFrame]:
+    """The five reports from :func:`counted_in_one_pass` (write it first: each report reads it)."""
+    part = {name: counted.filter(F.col("report") == F.lit(name)) for name in REPORTS}
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
+    key = "ib_staff_authority_id"
+    by_authority = left_join_dimension(part["authority_load"].select(key, "n", "n_active"),
+                                       authority.select(key, "ib_staff_authority_name"), key)
+    by_state = join_state(part["state"].select("state_code", "n", "n_active"), state)
+    return {
+        "volume_trend": part["volume_trend"].select("month", F.col("n").alias("n_registrations")),
+        "backlog": part["backlog"].filter("n_active > 0").select(
+            "age_bucket", F.col("n_active").alias("n_backlog"), F.col("oldest_active").alias("oldest_registration")),
+        "gender": part["gender"].withColumn("__t", total).select(
+            "sex", "n", F.expr("(n * 10000) div __t").cast("bigint").alias("share_bp")),
+        "authority_load": by_authority.select(key, F.col("ib_staff_authority_name").alias("authority_name"),
+                                              F.col("n").alias("n_records"), "n_active"),
+        # Codes that share a state name (or have none) are one row.
+        "state": by_state.groupBy("state_name").agg(
+            F.sum("n").cast("bigint").alias("n_records"), F.sum(F.col("n") - F.col("n_active")).cast("bigint").alias("n_printed"),
+            F.sum("n_active").cast("bigint").alias("n_active")),
+    }
+
+
 def report_volume_trend(fact: DataFrame, date_col: str = "registration_date") -> DataFrame:
     """OP-34: registrations per month."""
     return (fact.groupBy(F.date_format(F.col(date_col), "yyyy-MM").alias("month"))
                 .agg(F.count(F.lit(1)).cast("bigint").alias("n_registrations")))
 
 
-AGE_BUCKETS = ((30, "0-30 days"), (90, "31-90 days"), (365, "91-365 days"))
-
-
 def report_backlog(fact: DataFrame, run_date: dt.date, date_col: str = "registration_date",
                    status: str = "status") -> DataFrame:
     """OP-35: unprinted records by age bucket at the run date, with the oldest date."""
-    age = F.datediff(tx.run_date(run_date), F.col(date_col))
-    bucket = None
-    for limit, label in AGE_BUCKETS:
-        cond = age <= F.lit(limit)
-        bucket = F.when(cond, F.lit(label)) if bucket is None else bucket.when(cond, F.lit(label))
-    bucket = bucket.otherwise(F.lit("over 365 days"))
     active = fact.filter(tx.status_norm_table(status) != F.lit(STATUS_PRINTED))
-    return (active.groupBy(bucket.alias("age_bucket"))
+    return (active.groupBy(age_bucket(run_date, date_col).alias("age_bucket"))
                   .agg(F.count(F.lit(1)).cast("bigint").alias("n_backlog"),
                        F.min(date_col).alias("oldest_registration")))
 

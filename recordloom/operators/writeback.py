@@ -94,8 +94,12 @@ def idempotent_rerun(fact: DataFrame, run_keys: DataFrame, run_date: dt.date, ke
 
 def key_change_cascade(fact: DataFrame, key_map: DataFrame, fk: str, old: str = "old_key",
                        new: str = "new_key") -> DataFrame:
-    """OP-75 (ON UPDATE CASCADE): renamed parent keys follow into the fact."""
-    m = key_map.select(F.col(old).alias(fk), F.col(new).alias("__new"))
+    """OP-75 (ON UPDATE CASCADE): renamed parent keys follow into the fact.
+
+    A parent key changes to one new key: of several map rows for an old key
+    the least new key counts, so no fact row is ever multiplied.
+    """
+    m = key_map.groupBy(F.col(old).alias(fk)).agg(F.min(new).alias("__new"))
     j = left_join_keys(fact, m, fk)
     return j.select(*[F.coalesce(F.col("__new"), F.col(c)).alias(c) if c == fk else F.col(c)
                       for c in fact.columns])

@@ -6,7 +6,6 @@ import datetime as dt
 import time
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,24 +61,23 @@ def certificate_records(reg: Registry, run_date: dt.date, ordered: bool = True)
     return select.order_by_serial(rec, "serial_no", "File_Number") if ordered else rec
 
 
-def numbered_records(reg: Registry, run_date: dt.date, num_partitions: int | None = None) -> DataFrame:
+def numbered_records(reg: Registry, run_date: dt.date, keep_bucket: bool = False) -> DataFrame:
     """OP-90 -> OP-40: records with their position 1..N in serial order."""
     rec = certificate_records(reg, run_date, ordered=False)
-    return numbering.dense_record_number(rec, ["serial_no", "File_Number"], "rn", num_partitions)
+    return numbering.dense_record_number(rec, ["serial_no", "File_Number"], "rn", keep_bucket=keep_bucket)
 
 
 def certificate_documents(reg: Registry, run_date: dt.date, template: str,
-                          batch_size: int = DEFAULT_BATCH_SIZE, suppress_blank_lines: bool = True,
-                          num_partitions: int | None = None) -> DataFrame:
+                          batch_size: int = DEFAULT_BATCH_SIZE, suppress_blank_lines: bool = True) -> DataFrame:
     """OP-91: OP-90 -> OP-40 -> OP-60 -> OP-43 -> OP-63.
 
     One row per batch: its record range and the batch text, documents joined
     by page breaks in serial order. Each group holds at most ``batch_size``
-    documents.
+    documents, assembled where the numbering left them.
     """
-    numbered = numbered_records(reg, run_date, num_partitions)
+    numbered = numbered_records(reg, run_date, keep_bucket=True)
     docs = render.render_documents(numbered, template, suppress_blank_lines=suppress_blank_lines,
-                                   keep=("rn", "File_Number"))
+                                   keep=("rn", "File_Number", *numbering.BUCKET))
     return render.assemble_batches(docs, batch_size)
 
 
@@ -97,17 +95,20 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     """OP-94: one full run, written to shared folders under ``out``.
 
     The registry's current state is the base table overlaid with the ledger
-    of earlier runs. OP-90 records -> OP-64 quarantine -> OP-40/60/63 batch
-    documents (written per run id) -> OP-70 write-back of the rendered
+    of earlier committed runs. OP-90 records -> OP-64 quarantine -> OP-40/60/63
+    batch documents (written per run id) -> OP-70 write-back of the rendered
     records only, appended as ledger rows (only changed keys are written) ->
     OP-33 run summary (with the observed document count and elapsed time)
-    appended to the run log -> OP-34..38 reports for the
-    new state. Rerunning a run id overwrites its own partitions; a new run
-    (OP-81) picks up only what is still unprinted. ``run_id`` must sort in
-    run order (``yyyyMMdd_HHmmss``). ``ledger_after`` skips ledger rows
-    already folded into the base table by a compaction.
+    appended to the run log -> OP-34..38 reports for the new state, in one
+    pass -> the run's commit row. Readers skip runs without one, so a crash
+    anywhere before leaves the earlier state current. Rerunning a run id
+    overwrites its own partitions; a new run (OP-81) picks up only what is
+    still unprinted. ``run_id`` must sort in run order (``yyyyMMdd_HHmmss``).
+    ``ledger_after`` skips ledger rows already folded into the base table by a
+    compaction.
     """
-    from ..operators import reporting, writeback
+    from ..operators import commits, reporting, writeback
+    from ..session import staged
     from ..sources import sinks
 
     started = time.perf_counter()
@@ -115,50 +116,45 @@ def close_the_loop(reg: Registry, run_date: dt.date, run_id: str, template: str,
     ledger_path = f"{out}/ledger"
     fact = reg.applicant
     earlier = read_if_exists(spark, ledger_path)
+    commits.begin(spark, out, run_id, earlier and earlier.select(F.col("run_id").alias("id")))
     if earlier is not None:
-        earlier = earlier.filter(F.col("run_id") != F.lit(run_id))
+        earlier = commits.committed(earlier, out, "run_id")
         if ledger_after is not None:
             earlier = earlier.filter(F.col("run_id") > F.lit(ledger_after))
         fact = writeback.apply_ledger(fact, earlier)
     reg = Registry(fact, reg.ministry, reg.authority, reg.state)
 
-    # The run's records feed the numbering, the quarantine and the summary:
-    # keep them for this run only.
-    flagged = render.failure_flags(certificate_records(reg, run_date, ordered=False), template)
-    flagged = flagged.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        ok = flagged.filter(~F.col("render_failed")).drop("render_failed", "reason")
-        bad = flagged.filter(F.col("render_failed")).drop("render_failed")
-        num = numbering.dense_record_number(ok, ["serial_no", "File_Number"], "rn")
-        docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn", "serial_no"])
-        docs_path = f"{out}/documents"
-        written = sinks.batch_doc_sink(render.assemble_batches(docs, batch_size), docs_path, run_id)
-        bad.write.mode("overwrite").parquet(f"{out}/quarantine/run_id={run_id}")
-
-        run_keys = num.select(F.col("serial_no").alias("serial"))
-        (writeback.printed_ledger(fact, run_keys, run_date, run_id).drop("run_id")
-                  .write.mode("overwrite").parquet(f"{ledger_path}/run_id={run_id}"))
-
-        summary = reporting.run_summary(run_id, fact, flagged).first().asDict()
-        # The document count was observed during the write; it must agree.
-        if written["documents"] != summary["rendered"]:
-            raise RuntimeError(f"documents written {written['documents']} != rendered {summary['rendered']}")
-        summary["batches"] = written["batches"]
-        summary["elapsed_sec"] = round(time.perf_counter() - started, 3)
-        log = spark.createDataFrame([summary], "run_id string, found long, rendered long, quarantined long, "
-                                               "updated long, batches long, elapsed_sec double")
-        log.write.mode("append").parquet(f"{out}/run_log")
-    finally:
-        flagged.unpersist()
+    # The run's records feed the numbering, the quarantine and the summary.
+    flagged = staged(render.failure_flags(certificate_records(reg, run_date, ordered=False), template), "run-records")
+    ok = flagged.filter(~F.col("render_failed")).drop("render_failed", "reason")
+    bad = flagged.filter(F.col("render_failed")).drop("render_failed")
+    num = numbering.dense_record_number(ok, ["serial_no", "File_Number"], "rn", keep_bucket=True)
+    docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn", *numbering.BUCKET])
+    docs_path = f"{out}/documents"
+    written = sinks.batch_doc_sink(render.assemble_batches(docs, batch_size), docs_path, run_id)
+    bad.write.mode("overwrite").parquet(f"{out}/quarantine/run_id={run_id}")
+
+    run_keys = ok.select(F.col("serial_no").alias("serial"))
+    (writeback.printed_ledger(fact, run_keys, run_date, run_id).drop("run_id")
+              .write.mode("overwrite").parquet(f"{ledger_path}/run_id={run_id}"))
+
+    summary = reporting.run_summary(run_id, fact, flagged).first().asDict()
+    # The document count was observed during the write; it must agree.
+    if written["documents"] != summary["rendered"]:
+        raise RuntimeError(f"documents written {written['documents']} != rendered {summary['rendered']}")
+    summary["batches"] = written["batches"]
+    summary["elapsed_sec"] = round(time.perf_counter() - started, 3)
+    log = spark.createDataFrame([summary], "run_id string, found long, rendered long, quarantined long, "
+                                           "updated long, batches long, elapsed_sec double")
+    log.write.mode("append").parquet(f"{out}/run_log")
 
     state_now = writeback.apply_ledger(
         fact, spark.read.parquet(ledger_path).filter(F.col("run_id") == F.lit(run_id)))
     rep = f"{out}/reports/run_id={run_id}"
-    reporting.report_volume_trend(state_now).write.mode("overwrite").parquet(f"{rep}/volume_trend")
-    reporting.report_backlog(state_now, run_date).write.mode("overwrite").parquet(f"{rep}/backlog")
-    reporting.report_gender(state_now).write.mode("overwrite").parquet(f"{rep}/gender")
-    reporting.report_authority_load(state_now, reg.authority).write.mode("overwrite").parquet(f"{rep}/authority_load")
-    reporting.report_state(state_now, reg.state).write.mode("overwrite").parquet(f"{rep}/state")
+    counted = staged(reporting.counted_in_one_pass(state_now, run_date), "run-reports")
+    for name, report in reporting.reports_of(counted, reg.authority, reg.state).items():
+        report.write.mode("overwrite").parquet(f"{rep}/{name}")
+    commits.commit(spark, out, run_id)
     return LoopResult(run_id, summary, docs_path, ledger_path, rep)
 
 
@@ -191,8 +187,8 @@ def sheet_run(sheet: DataFrame, run_date: dt.date, template: str, batch_size: in
         act = select.inject_year(act, run_date.year)
     act = select.add_serial_helper(act, serial)
     place = [c for c in ("_file",) if c in sheet.columns] + [row_col]
-    num = numbering.dense_record_number(act, [select.SERIAL_HELPER, key, *place])
-    docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn"])
+    num = numbering.dense_record_number(act, [select.SERIAL_HELPER, key, *place], keep_bucket=True)
+    docs = render.render_documents(num, template, suppress_blank_lines=True, keep=["rn", *numbering.BUCKET])
     return SheetRun(verdict, render.assemble_batches(docs, batch_size))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on; applied to sessions we build ourselves.
 ENGINE_CONF = {
@@ -71,3 +71,15 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh, unique path under the shared checkpoint folder."""
     return "/".join([scratch_root(spark), *parts, uuid.uuid4().hex])
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back.
+
+    For a frame with several readers: computed once, and a lost executor
+    costs no recomputation.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -73,10 +73,6 @@ def read_batches(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("run_id") == run_id).orderBy("batch_id")
 
 
-# ---------------------------------------------------------------------------
-# OP-74 publish_atomic: immutable versions + append-only pointers
-# ---------------------------------------------------------------------------
-
 def write_registry_table(df: DataFrame, path: str, status: str = "status", mode: str = "overwrite") -> None:
     """Store a registry fact table partitioned by ``status_class`` (PRINTED / ACTIVE).
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,30 +24,27 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def scan_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
-               schema: T.StructType | None = None, with_row_order: bool = True) -> DataFrame:
+               schema: T.StructType | None = None, with_row_order: bool = True,
+               line_breaks_in_cells: bool = True) -> DataFrame:
     """OP-01: read exported sheet files (CSV with a header row, or Parquet).
 
     Many files are read at once. Every cell is read as text unless a schema is
     given. With ``with_row_order`` the source position of each row is kept as
     ``_input_order`` (file path, 0-based data row in the file), so first-wins
     rules can follow the sheet's order.
+
+    A CSV cell may hold line breaks, so a file is one task. Sheets known to
+    have none (``line_breaks_in_cells=False``) are split like any text file,
+    however large a file is (see :func:`_number_splits`).
     """
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        # CSV has no row-index column. With ``with_row_order`` files are read
-        # whole (multiLine disables splitting), so a monotonic id follows the
-        # row order inside each file; parallelism then comes from many files.
-        # A task may read several files one after another: the row in the file
-        # is the id less the file's first one (one row per file to join).
-        df = reader.option("header", True).option("multiLine", with_row_order).csv(path)
+        whole = with_row_order and line_breaks_in_cells
+        df = reader.option("header", True).option("multiLine", whole).csv(path)
         if with_row_order:
-            numbered = df.withColumn("__file", F.col("_metadata.file_path")).withColumn(
-                "__id", F.monotonically_increasing_id())
-            first = numbered.groupBy("__file").agg(F.min("__id").alias("__first"))
-            df = numbered.join(first, "__file").select(*df.columns, F.struct(
-                F.col("__file").alias("file"), (F.col("__id") - F.col("__first")).alias("pos")).alias("_input_order"))
+            df = _number_splits(df)
     elif fmt == "parquet":
         df = reader.parquet(*([path] if isinstance(path, str) else path))
         if with_row_order:
@@ -59,6 +56,24 @@ def scan_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
     return df
 
 
+def _number_splits(df: DataFrame) -> DataFrame:
+    """Add ``_input_order`` to a scan without row numbers, in two passes.
+
+    The first pass counts the rows of every split (file and block start) and
+    finds its first id: a task reads its splits one after another, so ids
+    follow the rows inside a split. A running sum over a file's splits (a row
+    per split) is the position of each split's first row; the second pass adds
+    the row's place in its split.
+    """
+    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__start")]
+    numbered = df.select("*", *split, F.monotonically_increasing_id().alias("__id"))
+    counted = numbered.groupBy("__file", "__start").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy("__file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.select("__file", "__start", "__first", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    return numbered.join(placed, ["__file", "__start"]).select(*df.columns, F.struct(
+        F.col("__file").alias("file"), (F.col("__before") + F.col("__id") - F.col("__first")).alias("pos")).alias("_input_order"))
+
+
 def scan_tables(spark: SparkSession, root: str, names: Iterable[str] = (
         "applicant", "ministryofhomeaffairs", "ib_authority", "state")) -> dict[str, DataFrame]:
     """OP-02: the registry tables stored as Parquet directories under ``root``.

@@ -3,6 +3,8 @@
 import datetime as dt
 import os
 
+import pytest
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def plan_text(df):
 def test_dense_numbering_equals_global_row_number(spark):
     df = spark.read.parquet(f"{SF_MID}/orders.parquet").select("o_orderkey", "o_custkey")
     ref = df.select("o_orderkey", F.row_number().over(Window.orderBy("o_custkey", "o_orderkey")).alias("rn"))
-    for parts in (1, 3, 17):
-        got = numbering.dense_record_number(df, ["o_custkey", "o_orderkey"], num_partitions=parts)
+    for rows in (1_000_000, 4_000, 700, 50):
+        got = numbering.dense_record_number(df, ["o_custkey", "o_orderkey"], rows_per_bucket=rows)
         assert got.select("o_orderkey", "rn").exceptAll(ref).count() == 0
         assert got.count() == df.count()
 
@@ -40,23 +42,45 @@ def test_dense_numbering_hot_leading_key_spreads(spark):
     # A third of the rows share one leading value; the full key still splits them.
     df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
                                    F.col("id"))
-    got = numbering.dense_record_number(df, ["k", "id"], num_partitions=8)
-    sizes = got.groupBy(F.spark_partition_id().alias("p")).count().collect()
-    assert max(r["count"] for r in sizes) < 30000 * 0.3
+    got = numbering.dense_record_number(df, ["k", "id"], rows_per_bucket=1000, keep_bucket=True)
+    sizes = got.groupBy("__bucket").count().collect()
+    assert max(r["count"] for r in sizes) <= 1000
     assert got.agg(F.min("rn"), F.max("rn"), F.countDistinct("rn")).first() == (1, 30000, 30000)
 
 
-def test_numbering_has_no_single_partition_exchange(spark):
-    """Only the per-partition count table (one row per partition) is gathered
-    into one partition; the fact rows never are."""
+def test_numbering_counts_buckets_without_sampling_or_checkpoint(spark, monkeypatch):
+    """Rows are shuffled once, by bucket: no range sampling, no single task, no checkpoint, no cache."""
+    from pyspark.sql import DataFrame
+    for name in ("checkpoint", "persist", "cache"):
+        monkeypatch.setattr(DataFrame, name, lambda *a, **k: pytest.fail("not needed"))
+    monkeypatch.setattr(numbering, "ROWS_PER_BUCKET", 100)
     reg = catalog.registry(spark, SF_SMALL)
-    plan = plan_text(numbered_records(reg, RUN))
-    lines = plan.splitlines()
-    singles = [i for i, ln in enumerate(lines) if "Exchange SinglePartition" in ln]
-    assert singles
-    for i in singles:
-        below = lines[i + 1]
-        assert "HashAggregate(keys=[__part" in below, below
+    rec = catalog.certificate_records(reg, RUN, ordered=False)
+    plan = plan_text(numbering.dense_record_number(rec, ["serial_no", "File_Number"], rows_per_bucket=100))
+    assert "SinglePartition" not in plan and "rangepartitioning" not in plan
+    assert plan.count("hashpartitioning(__bucket") == 1
+
+
+@pytest.mark.parametrize("rows", [5, 40])
+def test_numbering_splits_hot_values_and_texts(spark, rows):
+    import datetime as dt
+    data = [(None if i % 7 == 0 else 0, f"FN-{i % 300:05}" if i % 11 else None, i) for i in range(600)]       # one hot value, nulls
+    data += [(2**40 + i, "x" * (i % 5) + "é", i) for i in range(600, 640)] + [(-5, "", i) for i in range(640, 700)]
+    df = spark.createDataFrame(data, "k long, f string, u int").repartition(5)
+    got = numbering.dense_record_number(df, ["k", "f", "u"], rows_per_bucket=rows, keep_bucket=True).collect()
+    want = sorted(data, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode(), r[2]))
+    assert [(r["k"], r["f"], r["u"]) for r in sorted(got, key=lambda r: r["rn"])] == want
+    assert [r["rn"] for r in sorted(got, key=lambda r: r["rn"])] == list(range(1, 701))
+    sizes = {}
+    for r in got:
+        sizes[r["__bucket"]] = sizes.get(r["__bucket"], 0) + 1
+        assert r["__first"] <= r["rn"] <= r["__last"] and r["__total"] == 700
+    assert max(sizes.values()) <= rows
+    days = spark.createDataFrame([((dt.date(2020, 1, 1 + i % 9), i / 3), i) for i in range(90)], "o struct<d:date,x:double>, u int")
+    got = numbering.dense_record_number(days, ["o", "u"], rows_per_bucket=7).collect()
+    assert [r["u"] for r in sorted(got, key=lambda r: r["rn"])] == sorted(range(90), key=lambda i: (i % 9, i / 3))
+    same = spark.createDataFrame([(1,)] * 30, "k int")  # no total order: the rows stay together
+    assert sorted(r["rn"] for r in numbering.dense_record_number(same, ["k"], rows_per_bucket=7).collect()) == list(range(1, 31))
 
 
 def test_batch_size_does_not_change_document_sequence(spark):
@@ -253,17 +277,111 @@ def test_apply_ledger_latest_wins(spark):
 
 
 def test_polling_trigger(spark, scratch):
+    import time
     src = os.path.join(scratch, "incoming")
     orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
     orders.write.parquet(src)
     job = _job(spark, os.path.join(scratch, "out"), SF_SMALL)
+    expected = catalog.QUERIES["incremental_ledger"](spark, SF_SMALL).count()
     q = job.start(stream_source(spark, src, orders.schema), os.path.join(scratch, "ck"), once=False, poll_seconds=1)
     try:
-        q.processAllAvailable()
+        until = time.time() + 90
+        # Every poll is a micro-batch, with new files or without.
+        while time.time() < until and not (q.lastProgress and q.lastProgress["batchId"] >= 2):
+            time.sleep(0.5)
     finally:
         q.stop()
-    expected = catalog.QUERIES["incremental_ledger"](spark, SF_SMALL).count()
-    assert job.ledger().count() == expected
+    assert q.exception() is None and len(set(job.batches_seen)) >= 3
+    led = job.ledger()
+    assert led.count() == expected and led.select("micro_batch").distinct().count() == 1
+
+
+def _parts(spark, src, orders, job, ck):
+    """Run what is in ``src`` as one more poll."""
+    job.start(stream_source(spark, os.path.join(src, "*"), orders.schema), ck).awaitTermination()
+
+
+def test_stream_retries_until_the_parent_arrives(spark, scratch):
+    """A record without its parent, and one that can't be rendered yet, are printed once, two polls later."""
+    src, out, ck = (os.path.join(scratch, x) for x in ("incoming", "out", "ck"))
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").orderBy("o_orderkey")
+    parents = testdata.ministry(spark, SF_SMALL)
+    known = {"share": 3}
+    job = _job(spark, out, SF_SMALL)
+    job.ministry = lambda: parents.filter(F.abs(F.xxhash64("mha_file_number")) % 3 < 3 - known["share"])
+    want, old = {}, set()
+    for poll, share in enumerate((2, 1, 0, 0)):
+        known["share"] = share
+        orders.filter(F.col("o_orderkey") % 4 == poll).write.parquet(f"{src}/p{poll}")
+        _parts(spark, src, orders, job, ck)
+        done = {r[0] for r in job.ledger().select("file_number").collect()}
+        want[poll] = done - old
+        old = done
+        left = {r[0]: r[1] for r in job.pending().select("file_number", "reason").collect()}
+        assert not set(left) & done
+        seen = {f"FN-{r[0]}" for r in orders.filter(F.col("o_orderkey") % 4 <= poll).select("o_orderkey").collect()}
+        active = {r[0] for r in catalog.select.active_table(testdata.applicant(spark, SF_SMALL)).select("file_number").collect()}
+        assert set(left) | done == seen & active
+    assert all(want.values())
+    expected = catalog.QUERIES["incremental_ledger"](spark, SF_SMALL)
+    assert sorted(r[0] for r in job.ledger().select("file_number").collect()) == sorted(r[0] for r in expected.select("file_number").collect())
+    docs = spark.read.parquet(f"{out}/documents").agg(F.sum("n_docs")).first()[0]
+    assert docs == expected.count()
+    # Reported once, not at every poll.
+    quarantined = spark.read.parquet(f"{out}/quarantine")
+    assert quarantined.groupBy("File_Number").count().filter("count > 1").count() == 0
+
+
+def test_ledger_lookup_reads_few_folders(spark, scratch):
+    from recordloom.streaming import incremental
+    job = _job(spark, os.path.join(scratch, "out"), SF_SMALL)
+    src = os.path.join(scratch, "incoming")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    orders.write.parquet(f"{src}/a")
+    _parts(spark, src, orders, job, os.path.join(scratch, "ck"))
+    keys = job.ledger().select("file_number").limit(2)
+    led = job.ledger_of(keys)
+    import re
+    assert re.search(r"PartitionFilters: \[[^\]]*key_bucket", plan_text(led)), plan_text(led)
+    assert led.join(keys, "file_number", "left_semi").count() == 2
+    assert led.count() * 10 < job.ledger().count() and len(led.inputFiles()) <= len(job.ledger().inputFiles())
+    buckets = led.select("key_bucket").distinct().count()
+    assert buckets <= 2 and incremental.LEDGER_BUCKETS > 50
+
+
+def test_a_poisoned_file_does_not_end_the_watch(spark, scratch):
+    src, out = os.path.join(scratch, "incoming"), os.path.join(scratch, "out")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    orders.filter("o_orderkey % 2 = 0").coalesce(1).write.parquet(f"{src}/a")
+    os.makedirs(f"{src}/b")
+    with open(f"{src}/b/part-bad.parquet", "wb") as f:
+        f.write(b"PAR1 this is no parquet file PAR1")
+    orders.filter("o_orderkey % 2 = 1").coalesce(1).write.parquet(f"{src}/c")
+    for folder, age in (("a", 300), ("b", 200), ("c", 100)):  # in this order
+        for name in os.listdir(f"{src}/{folder}"):
+            t = os.path.getmtime(f"{src}/{folder}/{name}") - age
+            os.utime(f"{src}/{folder}/{name}", (t, t))
+    job = _job(spark, out, SF_SMALL)
+    source = lambda: stream_source(spark, os.path.join(src, "*"), orders.schema, max_files_per_trigger=1)
+    assert run_with_restarts(lambda: job.start(source(), os.path.join(scratch, "ck")), max_restarts=1) == 1
+    assert job.ledger().count() == catalog.QUERIES["incremental_ledger"](spark, SF_SMALL).count()
+    dead = spark.read.parquet(f"{out}/dead_letter").collect()
+    assert len(dead) == 1 and "part-bad.parquet" in dead[0]["error"]
+
+
+def test_restarts_end_only_without_progress(spark, scratch):
+    class Broken(IncrementalJob):
+        def guarded(self, batch, batch_id):
+            self.batches_seen.append(batch_id)
+            raise RuntimeError("storage gone")
+
+    src = os.path.join(scratch, "incoming")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    orders.write.parquet(src)
+    job = Broken(**{k: v for k, v in vars(_job(spark, os.path.join(scratch, "out"), SF_SMALL)).items()})
+    with pytest.raises(Exception, match="storage gone"):
+        run_with_restarts(lambda: job.start(stream_source(spark, src, orders.schema), os.path.join(scratch, "ck")), max_restarts=2)
+    assert len(job.batches_seen) == 3
 
 
 def test_sheet_pipeline_from_csv_files(spark, scratch):
@@ -306,7 +424,7 @@ def test_reorder_input_does_not_change_results(spark):
     shuffled = ingest.first_per_key(i.repartition(7, "Name"), "File_Number")
     assert base.exceptAll(shuffled).count() == 0 and shuffled.exceptAll(base).count() == 0
     n1 = numbering.dense_record_number(base, ["_input_order"]).select("File_Number", "rn")
-    n2 = numbering.dense_record_number(shuffled.repartition(5), ["_input_order"], num_partitions=3).select(
+    n2 = numbering.dense_record_number(shuffled.repartition(5), ["_input_order"], rows_per_bucket=300).select(
         "File_Number", "rn")
     assert n1.exceptAll(n2).count() == 0
 

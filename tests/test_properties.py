@@ -76,7 +76,7 @@ def test_gate_counts_match_python(spark, rows):
 def test_dense_numbering_matches_sorted_order(spark, pairs, parts):
     from recordloom.operators import numbering
     df = spark.createDataFrame(pairs, "k int, u int") if pairs else spark.createDataFrame([], "k int, u int")
-    got = {r["u"]: r["rn"] for r in numbering.dense_record_number(df, ["k", "u"], num_partitions=parts).collect()}
+    got = {r["u"]: r["rn"] for r in numbering.dense_record_number(df, ["k", "u"], rows_per_bucket=parts).collect()}
     expected = {u: i + 1 for i, (k, u) in enumerate(sorted(pairs))}
     assert got == expected
 
