@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +79,13 @@ def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def small(batches: Iterator[pd.DataFrame], rows: int = 1000) -> Iterator[pd.DataFrame]:
+    """The batches in pieces of ``rows`` rows: texts are long, and what is made of a piece is held at once."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.iloc[at:at + rows]
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Lower the session's Arrow batch size to ``rows`` if it is larger: texts are long, and a worker holds a batch or two."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

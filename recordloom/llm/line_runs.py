@@ -1,17 +1,24 @@
-"""Line dedup: repeated runs of lines, by the least qualifying windows.
-
-A run of lines qualifies with ``min_lines`` lines and ``min_words`` words. For
-every line, the shortest qualifying run that starts there and the shortest one
-that ends there are its windows: two rows a line. Every line of a qualifying
-run lies in a window within that run (in the one from the run's start, or else
-in the one that ends at the line itself), and a window depends on its lines
-only. So the lines of all windows that stand at an earlier place too are
-exactly the lines of all repeated qualifying runs, whatever their length. Windows are
-compared by a 127-bit polynomial hash of their lines' 128-bit hashes.
-
-Lines of windows with an earlier copy are deleted; windows that overlap or touch in a
-document are listed as one run. Each deleted line still stands
-in the earlier copy: the first of all places never has an earlier one.
+"""Line dedup: repeated runs of lines, by distributed prefix doubling over line ids.
+
+A line's id is its 128-bit hash. The suffix of a document that starts at a
+line is ranked by its first line, then by its first 2, 4, 8, ... lines: its
+rank for 2n lines is named by the pair (rank of n lines here, rank of n lines n
+further on). Ranks are counted over all documents, and only suffixes whose
+rank repeats go on (a run that holds another line can't repeat), so the tables
+shrink from round to round; doubling ends when no run is left that needs it.
+
+A run qualifies with ``min_lines`` lines and ``min_words`` words. For every
+line, the shortest qualifying run that starts there and the shortest one that
+ends there are looked at; every line of a longer qualifying run lies in such
+a run within it, and their lengths depend on their lines only. Two suffixes
+share their first m lines exactly if they share the rank of their first 2^j
+lines and that of the 2^j lines that end at line m (2^j <= m < 2^(j+1)). So the
+suffixes with the same m and pair of ranks are the interval whose common
+prefix has m lines or more, of exactly that length and not only of a power of
+two. All its members but the first place are repeats. Their lines are
+deleted; those that overlap or touch in a document make up its maximal
+repeated runs. Short runs that only touch are never added up. Each deleted
+line still stands in the earlier copy: the first of all places has none.
 
 Defined cases: order is by doc_id (null first), then content, then line; rows
 of equal doc_id and text are one document (all keep or lose the same lines);
@@ -21,8 +28,10 @@ never a repeat of its own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,9 +40,6 @@ from . import common
 
 MIN_LINES = 2
 MIN_WORDS = 20
-PRIME = (1 << 127) - 1
-BASE = 0x5851F42D4C957F2D14057B7EF767814F
-
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     text = common.text_of(text_col)
@@ -47,57 +53,96 @@ def _place() -> Column:
     return F.struct("doc_id", "key_a", "key_b", "n")
 
 
-def windows_of(text: str, min_lines: int, min_words: int, powers: list[int]) -> list[tuple[int, int, int]]:
-    """Shortest qualifying runs from and up to each line: (first line, lines, hash). ``powers`` of ``BASE`` grow as needed."""
-    import xxhash
-
-    lines = text.encode().split(b"\n")
-    n, digest = len(lines), xxhash.xxh3_128_intdigest
-    hashes, words = [0], [0]
-    for line in lines:
-        hashes.append((hashes[-1] * BASE + digest(line)) % PRIME)
-        words.append(words[-1] + len(line.split()))
-    while len(powers) <= n:
-        powers.append(powers[-1] * BASE % PRIME)
-    found = {}
+def shortest_runs(words: list[int], min_lines: int, min_words: int) -> dict[int, set[int]]:
+    """Lengths of the shortest qualifying runs from and up to each line, by their first line."""
+    total = [0]
+    for w in words:
+        total.append(total[-1] + w)
+    found: dict[int, set[int]] = {}
     s = 0
-    for e in range(1, n + 1):  # s: the least start of which no run up to e is known to qualify
-        while e - s >= min_lines and words[e] - words[s] >= min_words and s < e:
-            found[s, e] = True  # the shortest from s
+    for e in range(1, len(words) + 1):  # s: the least start of which no run up to e is known to qualify
+        while e - s >= min_lines and total[e] - total[s] >= min_words and s < e:
+            found.setdefault(s, set()).add(e - s)  # the shortest from s
             s += 1
         if s:
-            found[s - 1, e] = True  # the shortest up to e
-    return [(s, e - s, (hashes[e] - hashes[s] * powers[e - s]) % PRIME) for s, e in found]
+            found.setdefault(s - 1, set()).add(e - s + 1)  # the shortest up to e
+    return found
+
+
+def _line_rows(batches: Iterator[pd.DataFrame], min_lines: int, min_words: int) -> Iterator[pd.DataFrame]:
+    """Per line: its id (h, h2) and the lengths of the runs to look at that start there (as text)."""
+    import xxhash
+
+    digest = xxhash.xxh3_128_digest
+    for batch in batches:
+        counts, ids, sizes = [], [], []
+        for text in batch["text"]:
+            lines = text.encode().split(b"\n")
+            runs = shortest_runs([len(x.split()) for x in lines], min_lines, min_words)
+            counts.append(len(lines))
+            ids += map(digest, lines)
+            sizes += [",".join(map(str, sorted(runs[n]))) if n in runs else "" for n in range(len(lines))]
+        hashes = np.frombuffer(b"".join(ids), dtype=">i8").astype(np.int64).reshape(-1, 2)
+        each = np.array(counts, dtype=np.int64)
+        starts = np.repeat(np.cumsum(each) - each, each)
+        yield pd.DataFrame({
+            "id": np.repeat(batch["id"].to_numpy(), each), "key_a": np.repeat(batch["key_a"].to_numpy(), each),
+            "key_b": np.repeat(batch["key_b"].to_numpy(), each), "n": (np.arange(len(starts)) - starts).astype(np.int32),
+            "h": hashes[:, 0], "h2": hashes[:, 1], "sizes": sizes,
+        })
+
+
+def _repeated(ranks: DataFrame, name: str) -> DataFrame:
+    """The suffixes whose rank (h, h2) another one has too. Both sides are written, so Spark can split a hot rank's rows."""
+    again = common.materialise(ranks.groupBy("h", "h2").agg(F.count("*").alias("places")).where("places > 1").drop("places"), f"{name}-again")
+    return ranks.join(again, ["h", "h2"], "left_semi")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
     """Runs to delete: key_a, key_b (of doc_id and text), first, last (line numbers from 0)."""
-    common.small_batches(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col).withColumn("id", F.col("doc_id").cast("string"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = [1]
-        for batch in batches:
-            out = []
-            for i, a, b, text in zip(batch["id"], batch["key_a"], batch["key_b"], batch["text"]):
-                for n, size, h in windows_of(text, min_lines, min_words, powers):
-                    out.append((i, a, b, n, size, (h >> 64) - (1 << 62), (h & (1 << 64) - 1) - (1 << 63)))
-            yield pd.DataFrame(out, columns=["id", "key_a", "key_b", "n", "size", "h", "h2"])
-
-    # Written, here and below, so that the joins read plain tables and Spark can split a hot line's rows.
-    windows = common.materialise(
-        keyed.select("id", "key_a", "key_b", "text")
-        .mapInPandas(run, "id string, key_a long, key_b long, n int, size int, h long, h2 long")
-        .select(F.col("id").cast(keyed.schema["doc_id"].dataType).alias("doc_id"), "key_a", "key_b", "n", "size", "h", "h2"),
-        "line-windows",
+    lines = common.materialise(
+        keyed.select("id", "key_a", "key_b", "text").mapInPandas(
+            lambda batches: _line_rows(common.small(batches), min_lines, min_words),
+            "id string, key_a long, key_b long, n int, h long, h2 long, sizes string",
+        ),
+        "lines",
     )
+    at = ["key_a", "key_b", "n"]
+    ranks = common.materialise(_repeated(lines, "lines").dropDuplicates(at), "line-ranks")
+    common.drop_written(lines)
+    size, named = 1, []
+    wanted = F.transform(F.split("sizes", ","), lambda x: x.cast("int"))
+    while True:
+        # Runs of size to 2 * size - 1 lines: the rank here and that of the lines up to the run's end.
+        runs = ranks.where("sizes <> ''").select("id", *at, "h", "h2", F.explode(wanted).alias("size"))
+        here = runs.where((F.col("size") >= size) & (F.col("size") < 2 * size))
+        there = ranks.select("key_a", "key_b", F.col("n").alias("end"), F.col("h").alias("g"), F.col("h2").alias("g2"))
+        met = here.withColumn("end", F.col("n") + F.col("size") - size).join(there, ["key_a", "key_b", "end"])
+        named.append(common.materialise(met.select("id", *at, "size", "h", "h2", "g", "g2"), "line-runs-named"))
+        if runs.where(F.col("size") >= 2 * size).isEmpty():
+            break
+        ahead = ranks.select("key_a", "key_b", (F.col("n") - size).alias("n"), F.col("h").alias("g"), F.col("h2").alias("g2"))
+        pair = ["h", "h2", "g", "g2"]
+        doubled = common.materialise(
+            ranks.join(ahead, at).select(
+                "id", *at, F.xxhash64(*pair).alias("h"), F.xxhash64(F.lit("second"), *pair).alias("h2"), "sizes"
+            ),
+            "line-pairs",
+        )
+        before, ranks = ranks, common.materialise(_repeated(doubled, "line-pairs"), "line-ranks")
+        common.drop_written(before, doubled)
+        size *= 2
+    keep = keyed.schema["doc_id"].dataType
+    windows = functools.reduce(DataFrame.unionByName, named).withColumn("doc_id", F.col("id").cast(keep)).drop("id")
+    interval = ["size", "h", "h2", "g", "g2"]
     firsts = common.materialise(
-        windows.groupBy("h", "h2").agg(F.min(_place()).alias("rank"), F.count("*").alias("places")).where("places > 1").drop("places"),
+        windows.groupBy(*interval).agg(F.min(_place()).alias("rank"), F.count("*").alias("places")).where("places > 1").drop("places"),
         "line-firsts",
     )
-    later = windows.join(firsts, ["h", "h2"]).where(~F.col("rank").eqNullSafe(_place())).select("key_a", "key_b", "n", "size")
-    longest = later.groupBy("key_a", "key_b", "n").agg(F.max("size").alias("size"))
+    later = windows.join(firsts, interval).where(~F.col("rank").eqNullSafe(_place())).select(*at, "size")
+    longest = later.groupBy(*at).agg(F.max("size").alias("size"))
     by_doc = Window.partitionBy("key_a", "key_b").orderBy("n")
     ends = longest.withColumn("upto", F.max(F.col("n") + F.col("size")).over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
     return (
@@ -120,7 +165,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("key_a", "key_b").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs")),
         "line-runs",
     )
-    out = _keyed(docs, id_col, text_col, carry).join(runs, ["key_a", "key_b"], "left")
+    out = common.attach(_keyed(docs, id_col, text_col, carry), runs, ["key_a", "key_b"])
     out = out.withColumn("parts", F.split("text", "\n", -1))
     gone = F.expr("flatten(transform(runs, r -> sequence(r.first, r.last)))")
     out = out.withColumn("gone", F.when(F.col("runs").isNotNull(), gone))

@@ -179,8 +179,8 @@ def clean_documents(
 ) -> DataFrame:
     """The documents that pass, without their boilerplate lines: doc_id, carry_*, text.
 
-    Only contents with a decision (rejected, or lines to remove) go into the
-    join; Spark broadcasts them if their written table is small enough.
+    Only documents that may have a decision (rejected, or lines to remove)
+    are shuffled to it; all others stay where they are.
     """
     decisions = common.materialise(
         verdicts(docs, id_col, text_col, host_col, **limits)
@@ -189,7 +189,7 @@ def clean_documents(
         .dropDuplicates(["key_a", "key_b"]),
         "quality-decisions",
     )
-    out = _keyed(docs, id_col, text_col, host_col, carry).join(decisions, ["key_a", "key_b"], "left")
+    out = common.attach(_keyed(docs, id_col, text_col, host_col, carry), decisions, ["key_a", "key_b"])
     out = out.where("kept IS NULL OR kept").withColumn(
         "parts", F.when(F.col("gone").isNotNull(), F.split("text", "\n", -1))
     )

@@ -206,16 +206,30 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits: int) -> DataFrame:
     """The rows of ``docs`` of which one stays for each component: the least id, then the least text hash.
 
-    Rows that repeat both id and text count as one.
+    Rows that repeat both id and text count as one. Only rows that go, and
+    rows repeated as a whole, are shuffled (rows that may be among them, that is).
     """
-    found = near_duplicates(docs, id_col, text_col, **limits)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("k"))
-    kept = common.materialise(kept.select(F.col("k.doc_id").alias("kept_id"), F.col("k.uid").alias("kept_uid")), "simhash-kept")
+    found = common.materialise(near_duplicates(docs, id_col, text_col, **limits), "simhash-found")
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")
+    kept = common.materialise(found.groupBy("root").agg(F.min(least).alias("k"), F.count("*").alias("rows")).where("rows > 1"), "simhash-kept")
+    # One row per (id, text) that goes or comes more than once; most documents are neither.
+    decided = (
+        found.join(kept, "root").groupBy("uid", "doc_id")
+        .agg(F.first(F.col("k.uid") == F.col("uid")).alias("same"), F.first(F.col("k.doc_id").eqNullSafe(F.col("doc_id"))).alias("own"), F.count("*").alias("n"))
+        .select("uid", F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("id_hash"), "doc_id", (F.col("same") & F.col("own")).alias("stays"), "n")
+        .where("NOT stays OR n > 1")
+    )
+    decided = common.materialise(decided.select(F.xxhash64("uid", "id_hash").alias("key"), "uid", F.col("doc_id").alias("met_id"), "stays"), "simhash-decided")
     uid = F.xxhash64(common.text_of(text_col))
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("kept_id"), uid.alias("kept_uid"))
-    same = [F.col("r.kept_uid") == F.col("k.kept_uid"), F.col("r.kept_id").eqNullSafe(F.col("k.kept_id"))]
-    joined = rows.alias("r").join(kept.alias("k"), same, "left_semi")
-    return joined.groupBy("kept_uid", "kept_id").agg(F.first("row").alias("row")).select("row.*")
+    id_hash = F.xxhash64(F.col(id_col), F.col(id_col).isNull())
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("row_id"), uid.alias("row_uid"), F.xxhash64(uid, id_hash).alias("key"))
+    tested = common.may_hold(rows, decided, "key")
+    plain = tested.where("NOT may_hold").select("row.*")
+    same = [F.col("r.key") == F.col("d.key"), F.col("r.row_uid") == F.col("d.uid"), F.col("r.row_id").eqNullSafe(F.col("d.met_id"))]
+    met = tested.where("may_hold").alias("r").join(decided.alias("d"), same, "left").select("r.row", "r.row_uid", "r.row_id", "d.stays")
+    alone = met.where("stays IS NULL").select("row.*")
+    repeated = met.where("stays").groupBy("row_uid", "row_id").agg(F.first("row").alias("row")).select("row.*")
+    return plain.unionByName(alone).unionByName(repeated)
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
