@@ -104,15 +104,15 @@ SINGLE_RULES = (
     ("permission is hereby granted", "mit", 0, r"permission is hereby granted free of charge to any person obtaining a copy"),
     ("permission to use", "isc", 0, r"permission to use copy modify and (?:or )?distribute this software for any purpose"),
     ("redistribution and use", "bsd", 0, r"redistribution and use in source and binary forms with or without modification"),
-    ("neither the name", "bsd-3", 0, r"neither the names? of .{1,120}? may be used to endorse or promote products"),
+    ("neither the name", "bsd-3", 0, r"neither the names? of .+? may be used to endorse or promote products"),
     ("advertising materials", "bsd-4", 0, r"all advertising materials mentioning features or use of this software"),
     ("without any express", "zlib", 0, r"this software is provided as is without any express or implied warranty"),
     ("unencumbered software", "unlicense", 0, r"this is free and unencumbered software released into the public domain"),
     ("you just do what", "wtfpl", 0, r"you just do what the fuck you want to"),
     ("free software foundation", "gpl", 1, r"as published by the free software foundation"),
     ("any later version", "gpl-or-later", 1, r"(?:or )?(?:at your option )?any later version"),
-    ("licensed under the apache", "apache-2 0", 0, r"licensed under the apache license version 2 0"),
-    ("spdx", "spdx", 0, r"spdx license identifier(?: [a-z0-9]+){1,4}"),
+    ("licensed under the apache", "apache-2.0", 0, r"licensed under the apache license version 2 0"),
+    ("spdx", "spdx", 3, r"spdx license identifier"),
     ("mit license", "mit", 2, r"(?:the )?mit" + _LIC),
     ("mit licence", "mit", 2, r"(?:the )?mit licence"),
     ("mit licensed", "mit", 2, r"mit licensed"),
@@ -178,10 +178,30 @@ SINGLE_RULES = (
     ("crown copyright", "crown", 2, r"crown copyright"),
 )
 
+# Identifiers of the public license list, as words behind "SPDX-License-Identifier:", and our labels.
+SPDX = (
+    ("mit", "mit"), ("mit 0", "mit-0"), ("isc", "isc"), ("zlib", "zlib"), ("x11", "x11"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"),
+    ("0bsd", "bsd-0"), ("bsd 1 clause", "bsd-1"), ("bsd 2 clause", "bsd-2"), ("bsd 3 clause", "bsd-3"), ("bsd 4 clause", "bsd-4"),
+    ("apache 1 0", "apache-1.0"), ("apache 1 1", "apache-1.1"), ("apache 2 0", "apache-2.0"),
+    ("gpl 1 0 only", "gpl-1.0"), ("gpl 1 0 or later", "gpl-1.0-or-later"), ("gpl 2 0", "gpl-2.0"), ("gpl 2 0 only", "gpl-2.0"),
+    ("gpl 2 0 or later", "gpl-2.0-or-later"), ("gpl 3 0", "gpl-3.0"), ("gpl 3 0 only", "gpl-3.0"), ("gpl 3 0 or later", "gpl-3.0-or-later"),
+    ("lgpl 2 0 only", "lgpl-2.0"), ("lgpl 2 0 or later", "lgpl-2.0-or-later"), ("lgpl 2 1", "lgpl-2.1"), ("lgpl 2 1 only", "lgpl-2.1"),
+    ("lgpl 2 1 or later", "lgpl-2.1-or-later"), ("lgpl 3 0", "lgpl-3.0"), ("lgpl 3 0 only", "lgpl-3.0"), ("lgpl 3 0 or later", "lgpl-3.0-or-later"),
+    ("agpl 3 0", "agpl-3.0"), ("agpl 3 0 only", "agpl-3.0"), ("agpl 3 0 or later", "agpl-3.0-or-later"),
+    ("mpl 1 1", "mpl-1.1"), ("mpl 2 0", "mpl-2.0"), ("epl 1 0", "epl-1.0"), ("epl 2 0", "epl-2.0"), ("eupl 1 1", "eupl-1.1"), ("eupl 1 2", "eupl-1.2"),
+    ("cddl 1 0", "cddl-1.0"), ("cddl 1 1", "cddl-1.1"), ("bsl 1 0", "bsl-1.0"), ("ofl 1 1", "ofl-1.1"), ("artistic 2 0", "artistic-2.0"),
+    ("afl 3 0", "afl-3.0"), ("osl 3 0", "osl-3.0"), ("ms pl", "ms-pl"), ("upl 1 0", "upl"), ("ncsa", "ncsa"), ("postgresql", "postgresql"),
+    ("openssl", "openssl"), ("ruby", "ruby"), ("php 3 01", "php-3.01"), ("python 2 0", "psf-2.0"), ("vim", "vim"), ("odbl 1 0", "odbl-1.0"),
+    ("busl 1 1", "busl-1.1"), ("sspl 1 0", "sspl-1.0"), ("elastic 2 0", "elastic-2.0"), ("blueoak 1 0 0", "blueoak"), ("mulanpsl 2 0", "mulan"),
+    ("cc0 1 0", "cc0-1.0"), ("cc by 3 0", "cc-by-3.0"), ("cc by 4 0", "cc-by-4.0"), ("cc by sa 3 0", "cc-by-sa-3.0"), ("cc by sa 4 0", "cc-by-sa-4.0"),
+    ("cc by nc 4 0", "cc-by-nc-4.0"), ("cc by nd 4 0", "cc-by-nd-4.0"), ("cc by nc sa 4 0", "cc-by-nc-sa-4.0"), ("cc by nc nd 4 0", "cc-by-nc-nd-4.0"),
+)
+
 
 def rules() -> list[tuple[str, str, int, str]]:
     """All rules in order: keyword, label, priority, pattern (several hundred)."""
     out = list(SINGLE_RULES)
+    out += [("spdx", label, 0, f"spdx license identifier {words}") for words, label in SPDX]
     for keyword, label, name, versions in FAMILIES:
         for version in versions:
             tag = f"{label}-{version.replace(' ', '.')}"

@@ -58,7 +58,6 @@ class Encoder:
         spec["normalizer"] = None
         spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         self.bare = Tokenizer.from_str(json.dumps(spec))
-        self.full.encode_special_tokens = True
         self.bare.encode_special_tokens = True
         self.model = self.bare.model
         self.pieces: dict[str, bytes] = {}
@@ -90,7 +89,8 @@ class Encoder:
 
     def block(self, text: str) -> bytes:
         """Ids of a text that begins and ends at white space, as little-endian 32-bit numbers."""
-        if not _PLAIN.fullmatch(text):
+        # A literal special token ("<|endoftext|>") is what the tokenizer makes of it; blocks end at white space, so none is cut.
+        if "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = text.lower().split()
         missing = set(words).difference(self.words)
@@ -183,20 +183,17 @@ def pack(
     on every executor.
     """
     common.small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("text"))
+    # Ids travel as strings, so null ids don't make floats of the others.
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), common.text_of(text_col).alias("text"))
     fields = [rows.schema["doc_id"]] + [
         T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     ]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.IntegerType())))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
-    id_is_int = isinstance(rows.schema["doc_id"].dataType, (T.LongType, T.IntegerType))
 
     def frame(out: list[tuple]) -> pd.DataFrame:
-        pdf = pd.DataFrame(out, columns=[f.name for f in schema])
-        if id_is_int:
-            pdf["doc_id"] = pd.array(pdf["doc_id"].tolist(), dtype="Int64")
-        return pdf
+        return pd.DataFrame(out, columns=[f.name for f in schema])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if tokenizer_path not in _ENCODERS:
@@ -207,9 +204,9 @@ def pack(
         pieces: list[tuple] = []
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].astype(object), batch["text"]):
+            for doc_id, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
                 ids = encoder.ids(text)
-                pieces.append((None if doc_id is pd.NA or doc_id != doc_id else doc_id, 0, ids, len(ids)))
+                pieces.append((doc_id, 0, ids, len(ids)))
                 held += len(ids)
                 if held < WINDOW_TOKENS:
                     continue
@@ -229,7 +226,8 @@ def pack(
         if pieces:
             yield frame(_window_rows(pieces, base, with_ids)[0])
 
-    return rows.mapInPandas(run, schema)
+    out = rows.mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.select(id_col).schema[0].dataType))
 
 
 def default_tokenizer() -> str:

@@ -68,17 +68,19 @@ _ONE_DIGIT = re.compile(_DIGIT_WORD, re.I)
 _PLUS = re.compile(r"(?<![A-Za-z])plus[ \-]{1,2}(?=[0-9(])", re.I)
 _AT = r"(?:[ ]?[(\[{<][ ]?(?:at|@)[ ]?[)\]}>][ ]?|&#64;|&commat;|[ ]at[ ]|[ ]?@[ ]?)"
 _DOT = r"(?:[ ]?[(\[{<][ ]?(?:dot|punkt|point|punto|\.)[ ]?[)\]}>][ ]?|&#46;|&period;|[ ]dot[ ]|\.)"
-_LABEL = r"[A-Za-z0-9-]{1,63}"
+_LABEL = r"[A-Za-z0-9-]{1,63}"  # the lengths that mail and domain names may have, 64 and 63; up to nine dotted parts
 _DISGUISED = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,3}}(?P<at>{_AT}){_LABEL}(?:{_DOT}{_LABEL}){{0,3}}{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])",
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]{{1,64}}(?:{_DOT}[A-Za-z0-9_%+-]{{1,64}}){{0,8}}(?P<at>{_AT}){_LABEL}(?:{_DOT}{_LABEL}){{0,8}}{_DOT}[A-Za-z]{{2,24}}(?![A-Za-z0-9])",
     re.I,
 )
-_DOTTED = re.compile(rf"[0-9]{{1,3}}(?:{_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_SPACED_DOT = rf"(?:{_DOT}|[ ]\.[ ]?|\.[ ])"
+_DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:{_SPACED_DOT}[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
 _ANY_DOT = re.compile(_DOT, re.I)
+_ANY_SPACED_DOT = re.compile(_SPACED_DOT, re.I)
 _ANY_AT = re.compile(_AT, re.I)
 # Only texts with one of these can hold a disguise.
 _HINT = re.compile(
-    r"[(\[{<] ?(?:at|@|dot|punkt|point|punto|\.) ?[)\]}>]|&#64;|&commat;|&#46;|&period;| dot | at [^ ]{1,63}(?:\.| dot )| @|@ |"
+    r"[(\[{<] ?(?:at|@|dot|punkt|point|punto|\.) ?[)\]}>]|&#64;|&commat;|&#46;|&period;| dot | @|@ |[0-9] \.|\. [0-9]|"
     rf"(?<![a-z]){_DIGIT_WORD}[ \-,]{{1,2}}{_DIGIT_WORD}[ \-,]",
     re.I,
 )
@@ -211,12 +213,14 @@ def deobfuscate(text: str) -> Rewritten | None:
             base = m.start()
             if pattern is _DISGUISED:
                 a, b = m.span("at")
+                if m["at"].strip().isalpha() and all(d[0] == "." for d in _ANY_DOT.finditer(m[0][b - base:])):
+                    continue  # a bare "at" before a plain host name is prose: the dot must be disguised too
                 edits += [(base + d.start(), base + d.end(), ".") for d in _ANY_DOT.finditer(m[0][: a - base]) if d[0] != "."]
                 if m["at"] != "@":
                     edits.append((a, b, "@"))
                 edits += [(b + d.start(), b + d.end(), ".") for d in _ANY_DOT.finditer(m[0][b - base:]) if d[0] != "."]
             else:
-                edits += [(base + d.start(), base + d.end(), ".") for d in _ANY_DOT.finditer(m[0]) if d[0] != "."]
+                edits += [(base + d.start(), base + d.end(), ".") for d in _ANY_SPACED_DOT.finditer(m[0]) if d[0] != "."]
     edits.sort()
     clean, upto = [], 0
     for e in edits:
@@ -265,8 +269,9 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     points, end exclusive) and n_added.
     """
     common.small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), common.text_of(text_col).alias("text"))
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType, True), *SCHEMA_TAIL])
+    # Ids travel as strings, so null ids don't make floats of the others.
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), common.text_of(text_col).alias("text"))
+    schema = T.StructType([T.StructField("doc_id", T.StringType(), True), *SCHEMA_TAIL])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -280,10 +285,10 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                     hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(both), sum(map(len, more.values())),
                 ))
             out = pd.DataFrame(found, columns=[f.name for f in SCHEMA_TAIL])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy() if batch["doc_id"].dtype != float else batch["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
+            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             yield out
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(docs.select(id_col).schema[0].dataType))
 
 
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,7 @@ SPAN = LENGTH - PREFIX + 1       # places of a window among which its anchor is
 HOT_OCCURRENCES = 50_000         # of a prefix, so a group is at most some 15 MB; beyond, step 4 takes it
 SEGMENT = 1 << 23                # bytes of a text that are looked at in one go
 RUN_SUFFIXES = 50_000            # suffixes sorted at once by a task
+PART_SUFFIXES = 20_000           # suffixes of a merge task, some 6 MB (a prefix's occurrences stay together)
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,27 +77,29 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(prefix hash, uid, place, first, last) of all anchors; the last three in one number."""
+    """(prefix hash, the text's keys, place, first, last) of all anchors; the last three in one number."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
-    for batch in batches:
-        keys, uids, packed = [], [], []
-        for uid, text in zip(batch["uid"], batch["text"]):
+    for batch in common.small(batches):
+        keys, counts, packed = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+        for text in batch["text"]:
             data = text.encode()
             a, first, last = anchors(data)
+            counts.append(len(a))
             if len(a):
                 keys.append(np.array([digest(data[i:i + PREFIX]) for i in a.tolist()], dtype=np.uint64).view(np.int64))
-                uids.append(np.full(len(a), uid, np.int64))
                 packed.append((a << 16) | ((a - first) << 8) | (last - first))
-        if keys:
-            yield pd.DataFrame({"key": np.concatenate(keys), "uid": np.concatenate(uids), "packed": np.concatenate(packed)})
+        yield pd.DataFrame({
+            "key": np.concatenate(keys), "key_a": np.repeat(batch["key_a"].to_numpy(), counts),
+            "key_b": np.repeat(batch["key_b"].to_numpy(), counts), "packed": np.concatenate(packed),
+        })
 
 
 # ---- front-coded sorted runs -------------------------------------------------
 
 _HEAD = struct.Struct("<HHI")
-_OCCURRENCE = struct.Struct("<qI")
+_OCCURRENCE = struct.Struct("<qqI")  # the text's two keys, the first window
 
 
 def common_prefix(a: bytes, b: bytes, at: int) -> int:
@@ -118,8 +121,8 @@ def common_prefix(a: bytes, b: bytes, at: int) -> int:
     return low
 
 
-def encode_run(items: dict[bytes, set[tuple[int, int]]]) -> bytes:
-    """A sorted run: per suffix its common prefix with the one before, the rest, and its occurrences (uid, first window)."""
+def encode_run(items: dict[bytes, set[tuple[int, int, int]]]) -> bytes:
+    """A sorted run: per suffix its common prefix with the one before, the rest, and its occurrences (text keys, first window)."""
     parts, before = [], b""
     for item in sorted(items):
         shared = common_prefix(before, item, 0)
@@ -220,8 +223,8 @@ def _spans_of(flags: list[bool]) -> list[tuple[int, int]]:
     return out
 
 
-def _group_rows(group: list[tuple[bytes, set[tuple[int, int]]]]) -> Iterator[tuple[int, int, int]]:
-    """Removed stretches (uid, start, end) of suffixes that share their prefix."""
+def _group_rows(group: list[tuple[bytes, set[tuple[int, int, int]]]]) -> Iterator[tuple[int, int, int, int]]:
+    """Removed stretches (text keys, start, end) of suffixes that share their prefix."""
     seen: dict[bytes, int] = {}
     if len(group) > 1:
         for item, found in group:
@@ -234,14 +237,17 @@ def _group_rows(group: list[tuple[bytes, set[tuple[int, int]]]]) -> Iterator[tup
             spans = _spans_of([seen[w] > 1 for w in _windows(item)])
         else:
             continue
-        for uid, first in found:
+        for key_a, key_b, first in found:
             for a, b in spans:
-                yield uid, first + a, first + b
+                yield key_a, key_b, first + a, first + b
+
+
+_STRETCHES = ["key_a", "key_b", "first", "last"]
 
 
 def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    out: list[tuple[int, int, int]] = []
-    group: list[tuple[bytes, set[tuple[int, int]]]] = []
+    out: list[tuple[int, int, int, int]] = []
+    group: list[tuple[bytes, set[tuple[int, int, int]]]] = []
     for shared, item, packed in merge_runs(list(pdf["run"])):
         found = set(_OCCURRENCE.iter_unpack(packed))
         if group and shared >= len(item) and group[-1][0] == item:
@@ -252,48 +258,63 @@ def _merge_part(pdf: pd.DataFrame) -> pd.DataFrame:
             group = []
         group.append((item, found))
     out.extend(_group_rows(group))
-    return pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 3), columns=["uid", "first", "last"])
+    return pd.DataFrame(np.array(out, dtype=np.int64).reshape(-1, 4), columns=_STRETCHES)
 
 
 # ---- the job -----------------------------------------------------------------
 
 
-def removed_spans(rows: DataFrame, parts: int) -> DataFrame:
-    """(uid, first, last exclusive): removed stretches of the distinct texts of ``rows`` (uid, text); they may overlap."""
-    found = common.materialise(rows.mapInPandas(_anchor_rows, "key long, uid long, packed long"), "suffix-anchors")
-    place = F.struct("uid", "packed")
+def removed_spans(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """(key_a, key_b, first, last exclusive): removed stretches of the distinct texts of ``rows`` (key_a, key_b, text); they may overlap.
+
+    ``parts`` is the number of merge tasks; by default it follows the number of suffixes to sort.
+    """
+    spark = rows.sparkSession
+    text_keys = ["key_a", "key_b"]
+    found = common.materialise(rows.mapInPandas(_anchor_rows, "key long, key_a long, key_b long, packed long"), "suffix-anchors")
+    place = F.struct("key_a", "key_b", "packed")
     # Written, here and below, so that the joins read plain tables and Spark can split a hot key's rows.
     repeated = common.materialise(
         found.groupBy("key").agg(F.min(place).alias("a"), F.max(place).alias("b"), F.count("*").alias("n"))
-        .where("a <> b").select("key", (F.col("n") > HOT_OCCURRENCES).alias("hot")),
+        .where("a <> b").select("key", "n", (F.col("n") > HOT_OCCURRENCES).alias("hot")),
         "suffix-repeated",
     )
-    wanted = (
-        found.join(repeated, "key").groupBy("uid")
-        .agg(F.collect_set(F.struct("packed", "key", "hot")).alias("anchors"))
+    if parts is None:
+        sorted_ones = repeated.where("NOT hot").agg(F.sum("n")).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sorted_ones // PART_SUFFIXES))
+    mark = F.struct("packed", "key", "hot")
+    wanted = common.materialise(
+        found.join(repeated.drop("n"), "key").groupBy(*text_keys).agg(F.collect_set(mark).alias("m"))
+        .select(*text_keys, *[F.expr(f"transform(m, x -> x.{c})").alias(c) for c in ("packed", "key", "hot")]),
+        "suffix-wanted",
     )
-    # Compressed for the shuffle.
-    texts = rows.mapInPandas(_packed_rows, "uid long, z binary")
-    joined = common.materialise(texts.join(wanted, "uid").select("uid", "z", "anchors"), "suffix-texts")
+    common.drop_written(found, repeated)
+    # Compressed for the shuffle; texts without a repeated prefix stay behind.
+    texts = common.may_hold(rows, wanted, "key_a").where("may_hold").select(*text_keys, "text").mapInPandas(
+        _packed_rows, "key_a long, key_b long, z binary"
+    )
+    once = texts.groupBy(*text_keys).agg(F.first("z").alias("z"))
+    joined = common.materialise(once.join(wanted, text_keys), "suffix-texts")
+    common.drop_written(wanted)
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zlib
 
-        held: list[dict[bytes, set[tuple[int, int]]]] = [{} for _ in range(parts)]
+        held: list[dict[bytes, set[tuple[int, int, int]]]] = [{} for _ in range(parts)]
         size = 0
 
         def rows_of() -> pd.DataFrame:
             full = [p for p in range(parts) if held[p]]
             return pd.DataFrame({"part": full, "run": [encode_run(held[p]) for p in full]})
 
-        for batch in batches:
-            for uid, z, marks in zip(batch["uid"], batch["z"], batch["anchors"]):
+        for batch in common.small(batches, 200):
+            for key_a, key_b, z, packed, keys, hot in zip(*(batch[c] for c in ("key_a", "key_b", "z", "packed", "key", "hot"))):
                 data = zlib.decompress(z)
-                for m in marks:
-                    if m["hot"]:
+                for place, key, skip in zip(packed.tolist(), keys.tolist(), hot.tolist()):
+                    if skip:
                         continue
-                    a, first, last = _unpack(m["packed"])
-                    held[m["key"] % parts].setdefault(suffix_item(data, a, first, last), set()).add((uid, first))
+                    a, first, last = _unpack(place)
+                    held[key % parts].setdefault(suffix_item(data, a, first, last), set()).add((key_a, key_b, first))
                     size += 1
                 if size >= RUN_SUFFIXES:
                     yield rows_of()
@@ -305,33 +326,36 @@ def removed_spans(rows: DataFrame, parts: int) -> DataFrame:
         import xxhash
         import zlib
 
-        for batch in batches:
-            a_key, b_key, uids, places = [], [], [], []
-            for uid, z, marks in zip(batch["uid"], batch["z"], batch["anchors"]):
-                data = zlib.decompress(z)
-                for m in marks:
-                    if m["hot"]:
-                        _, first, last = _unpack(m["packed"])
-                        for i in range(first, last + 1):
-                            x = xxhash.xxh128_intdigest(data[i:i + LENGTH])
-                            a_key.append((x >> 64) - (1 << 63))
-                            b_key.append((x & (1 << 64) - 1) - (1 << 63))
-                            uids.append(uid)
-                            places.append(i)
-            yield pd.DataFrame({"a": a_key, "b": b_key, "uid": uids, "first": places})
-
+        for batch in common.small(batches, 50):
+            digests, counts, places = [], [], [np.zeros(0, np.int64)]
+            for z, packed, hot in zip(batch["z"], batch["packed"], batch["hot"]):
+                data, n = zlib.decompress(z), 0
+                for place, on in zip(packed.tolist(), hot.tolist()):
+                    if on:
+                        _, first, last = _unpack(place)
+                        digests += [xxhash.xxh128_digest(data[i:i + LENGTH]) for i in range(first, last + 1)]
+                        places.append(np.arange(first, last + 1))
+                        n += last + 1 - first
+                counts.append(n)
+            both = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            yield pd.DataFrame({
+                "a": both[:, 0], "b": both[:, 1], "key_a": np.repeat(batch["key_a"].to_numpy(), counts),
+                "key_b": np.repeat(batch["key_b"].to_numpy(), counts), "first": np.concatenate(places),
+            })
+
+    stretches = "key_a long, key_b long, first long, last long"
     cold = (
-        joined.where("exists(anchors, x -> NOT x.hot)").mapInPandas(runs, "part int, run binary")
-        .groupBy("part").applyInPandas(_merge_part, "uid long, first long, last long")
+        joined.where("exists(hot, x -> NOT x)").mapInPandas(runs, "part int, run binary")
+        .groupBy("part").applyInPandas(_merge_part, stretches)
     )
     windows = common.materialise(
-        joined.where("exists(anchors, x -> x.hot)").mapInPandas(hot_windows, "a long, b long, uid long, first long"), "suffix-hot"
+        joined.where("exists(hot, x -> x)").mapInPandas(hot_windows, "a long, b long, key_a long, key_b long, first long"), "suffix-hot"
     )
-    at = F.struct("uid", "first")
+    at = F.struct("key_a", "key_b", "first")
     twice = common.materialise(
         windows.groupBy("a", "b").agg(F.min(at).alias("x"), F.max(at).alias("y")).where("x <> y").select("a", "b"), "suffix-twice"
     )
-    hot = windows.join(twice, ["a", "b"], "left_semi").select("uid", "first", (F.col("first") + LENGTH).alias("last"))
+    hot = windows.join(twice, ["a", "b"], "left_semi").select(*text_keys, "first", (F.col("first") + LENGTH).alias("last"))
     return cold.unionByName(hot)
 
 
@@ -344,8 +368,10 @@ def _unpack(packed: int) -> tuple[int, int, int]:
 def _packed_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import zlib
 
-    for batch in batches:
-        yield pd.DataFrame({"uid": batch["uid"], "z": [zlib.compress(t.encode(), 1) for t in batch["text"]]})
+    for batch in common.small(batches):
+        yield pd.DataFrame({
+            "key_a": batch["key_a"], "key_b": batch["key_b"], "z": [zlib.compress(t.encode(), 1) for t in batch["text"]],
+        })
 
 
 def cut_spans(data: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -365,19 +391,20 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Every document with what is left of it.
 
     Returns doc_id, kept (binary: the remaining UTF-8 bytes), n_bytes,
-    n_removed, n_spans. ``parts`` is the number of merge tasks (default: four
-    for each shuffle partition).
+    n_removed, n_spans. ``parts`` is the number of merge tasks (default: it
+    follows the number of suffixes).
     """
-    spark = docs.sparkSession
-    common.small_batches(spark)
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = common.text_of(text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("uid"))
-    copies = rows.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1").select("uid", F.lit(True).alias("copied"))
-    spans = removed_spans(rows.select("uid", "text"), parts).groupBy("uid").agg(
-        F.collect_set(F.struct("first", "last")).alias("spans")
+    text_keys = ["key_a", "key_b"]
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *common.content_key(text))
+    copies = (
+        rows.where(F.octet_length("text") >= LENGTH).groupBy(*text_keys).agg(F.count("*").alias("n"))
+        .where("n > 1").select(*text_keys, F.lit(True).alias("copied"))
     )
-    decisions = common.materialise(spans.join(copies, "uid", "full_outer"), "suffix-spans")
+    # A text's stretches as "first-last,...": compact on the way to the cutting.
+    joined_spans = F.expr("array_join(transform(array_sort(collect_set(struct(first, last))), x -> concat(x.first, '-', x.last)), ',')")
+    spans = removed_spans(rows.select(*text_keys, "text"), parts).groupBy(*text_keys).agg(joined_spans.alias("spans"))
+    decisions = common.materialise(spans.join(copies, text_keys, "full_outer"), "suffix-spans")
     keep = rows.schema["doc_id"].dataType
     schema = T.StructType([
         T.StructField("id", T.StringType()), T.StructField("kept", T.BinaryType()),
@@ -385,19 +412,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in common.small(batches, 500):
             out = []
             for i, t, found, copied in zip(batch["id"], batch["text"], batch["spans"], batch["copied"]):
                 data = t.encode()
-                todo = [(s["first"], s["last"]) for s in found] if found is not None else []
-                if copied and len(data) >= LENGTH:
+                todo = [tuple(map(int, x.split("-"))) for x in found.split(",")] if found else []
+                if copied:
                     todo = [(0, len(data))]
                 out.append((i, *(lambda k, r, n: (k, len(data), r, n))(*cut_spans(data, todo))))
             yield pd.DataFrame(out, columns=[f.name for f in schema])
 
-    joined = rows.select(F.col("doc_id").cast("string").alias("id"), "text", "uid").join(decisions, "uid", "left")
-    done = joined.select("id", "text", "spans", F.coalesce("copied", F.lit(False)).alias("copied")).mapInPandas(cut, schema)
-    return done.select(F.col("id").cast(keep).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
+    joined = common.attach(rows.select(F.col("doc_id").cast("string").alias("id"), "text", *text_keys), decisions, text_keys)
+    done = joined.select("id", "text", F.coalesce("spans", F.lit("")).alias("spans"), F.coalesce("copied", F.lit(False)).alias("copied"))
+    return done.mapInPandas(cut, schema).select(F.col("id").cast(keep).alias("doc_id"), "kept", "n_bytes", "n_removed", "n_spans")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,11 +111,19 @@ def test_encoder_equals_the_tokenizer_on_odd_texts():
 
     full = Tokenizer.from_file(packing.default_tokenizer())
     enc = packing.Encoder(packing.default_tokenizer())
-    for t in ("It's  A\ttest's don't we'LL 12345 (x)!?", "Éa Über ß ÿ À ñandú", "Σας ΟΔΟΣ ½ ² naïve x", "日本 語", "é x", "", "a" * 5000, "<|endoftext|> x"):
-        full.encode_special_tokens = True
+    for t in ("It's  A\ttest's don't we'LL 12345 (x)!?", "Éa Über ß ÿ À ñandú", "Σας ΟΔΟΣ ½ ² naïve x", "日本 語", "é x", "", "a" * 5000, "<|endoftext|> x",
+              "hello <|endoftext|> world <|startoftext|>", "a<|endoftext|>b <|ENDOFTEXT|> <| x", "word <|endoftext|> é " * 30_000, "x y " * 100_000 + "ñ"):
         assert enc.ids(t).tolist() == full.encode(t, add_special_tokens=False).ids + [2]
 
 
+@pytest.mark.parametrize("run", [
+    lambda df: packing.pack(df, packing.default_tokenizer()).select("doc_id"), lambda df: pii.find_personal_data(df).select("doc_id"),
+])
+def test_large_ids_beside_null_ids(spark, run):
+    df = spark.createDataFrame([(2**53 + 1, "a b"), (None, "c"), (-7, None)], "doc_id long, text string").coalesce(1)
+    assert {r.doc_id for r in run(df).collect()} == {2**53 + 1, None, -7}
+
+
 def test_assign_prefers_the_cheapest_sequence():
     places = packing.assign([3000, 3000, 1000, 500], [4096, 4096])
     assert places[0][3] != places[1][3] and {p[0] for p in places} == {0, 1, 2, 3}
@@ -148,6 +156,58 @@ def test_longer_finds_stay_beside_the_base_spans(text, kind, base, added):
     assert [text[s:e] for s, e in got[kind]] == added
 
 
+@pytest.mark.parametrize("text", [
+    "visit us at example.com today", "Find more at www.example.org now", "She works at Acme.Inc as a clerk", "We start at 10.Both of us came",
+    "the house at 12.5 percent. And dot com", "look at page one. two dots", "version 1 . 2 . 3 is out", "meet at noon dot",
+])
+def test_prose_is_left_alone(text):
+    assert not any(pii.added_spans(text, pii.detect(text)).values())
+
+
+@pytest.mark.parametrize("text, kind, found", [
+    ("mail jane at example dot com ok", "email", "jane at example dot com"),
+    ("see 192 . 168 . 1 . 1 there", "ip", "192 . 168 . 1 . 1"),
+    ("a.b.c.d.e.f.g (at) mail.of.the.firm.example (dot) org!", "email", "a.b.c.d.e.f.g (at) mail.of.the.firm.example (dot) org"),
+])
+def test_longer_disguises(text, kind, found):
+    assert [text[s:e] for s, e in pii.added_spans(text, pii.detect(text))[kind]] == [found]
+
+
+def test_base_spans_match_the_contract_on_random_strings():
+    import re
+
+    def brute(t):
+        out = {"email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]}
+        out["ip"] = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+        out["card"], out["phone"] = [], []
+        for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+            d = [int(c) for c in m[0] if c.isdigit()]
+            if 16 <= len(d) <= 19 and sum(x if i % 2 == 0 else sum(divmod(2 * x, 10)) for i, x in enumerate(d[::-1])) % 10 == 0:
+                out["card"].append(m.span())
+        for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t):
+            if 8 <= sum(c.isdigit() for c in m[0]) <= 15:
+                out["phone"].append(m.span())
+        return out
+
+    rng = random.Random(12)
+    found = Counter()
+    for alphabet in ("a@.b-", "0123.", "12 -4", "+1 ().-2", "a@.1+ -é", "0123456789 -"):
+        for _ in range(3000):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40)))
+            want = brute(t)
+            assert pii.detect(t) == want, t
+            found.update({k: len(v) for k, v in want.items()})
+    assert all(found[k] > 5 for k in pii.KINDS), found
+
+
+def test_registered_query_adds_spans(spark, tmp_path):
+    data = [(1, "write to john (at) example [dot] com or a@b.co"), (2, "clean text"), (None, None)]
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in pii.op3_personal_data(spark, str(tmp_path)).collect()}
+    assert got[1].n_email == 1 and got[1].spans == "email:9:36,email:40:46" and got[1].n_added == 1
+    assert got[1].base_sha256 == hashlib.sha256(b"email:40:46").hexdigest() and got[2].spans == got[None].spans == ""
+
+
 def test_base_identifiers_and_clean_text():
     text = "a@b.co 10.0.0.256 1.2.3.4 4111 1111 1111 1111 +49 (151) 123-4567 x@y"
     base = pii.detect(text)
@@ -165,7 +225,7 @@ def test_license_suppression_and_places(spark):
         (3, "x GNU General Public License v3 cc by cc by"),
     ], "doc_id long, text string")
     got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
-    assert [(d.s, d.e, d.label) for d in got[1].detections] == [(0, 8, "apache-2 0"), (8, 10, "cc-by"), (10, 14, "cc-by-4.0")]
+    assert [(d.s, d.e, d.label) for d in got[1].detections] == [(0, 8, "apache-2.0"), (8, 10, "cc-by"), (10, 14, "cc-by-4.0")]
     assert sorted((b.s, b.label) for b in got[3].base) == [(2, "gpl"), (6, "cc-by"), (8, "cc-by")]
     assert got[2].n_words == 0 and got[None].detections == []
     assert len(license_scan.rules()) > 200
@@ -177,6 +237,9 @@ def test_license_suppression_and_places(spark):
     ("LGPL v2.1 or later", "lgpl-2.1-or-later"), ("GPLv3", "gpl-3"), ("GNU GPLv2 or any later version", "gpl-2-or-later"),
     ("LGPLv2.1", "lgpl-2.1"), ("GPLv2+", "gpl-2"), ("AGPLv3", "agpl-3"), ("GPL3", "gpl-3"), ("MPLv2", "mpl-2.0"),
     ("Apache", "apache"), ("gplv3x", ""), ("CC BY v4.0", "cc-by,cc-by-4.0"),
+    ("SPDX-License-Identifier: MIT", "mit"), ("SPDX-License-Identifier: GPL-2.0-or-later", "gpl-2.0-or-later"),
+    ("SPDX-License-Identifier: Apache-2.0", "apache-2.0"), ("SPDX-License-Identifier: LicenseRef-own", "spdx"),
+    ("Neither the name of " + "the holder of a very long name " * 9 + "may be used to endorse or promote products", "bsd-3"),
 ])
 def test_license_versions_as_they_are_written(spark, text, labels):
     df = spark.createDataFrame([(1, f"see {text} here")], "doc_id long, text string")
@@ -207,7 +270,7 @@ def test_suffix_dedup_matches_brute_force(docs, monkeypatch, hot):
 
 def test_loser_tree_merges_runs():
     rng = random.Random(5)
-    runs = [{("ab"[rng.randint(0, 1)] * rng.randint(0, 9) + rng.choice("abc")).encode(): {(k, i)} for i in range(40)} for k in range(5)]
+    runs = [{("ab"[rng.randint(0, 1)] * rng.randint(0, 9) + rng.choice("abc")).encode(): {(k, 0, i)} for i in range(40)} for k in range(5)]
     merged = list(suffix_dedup.merge_runs([suffix_dedup.encode_run(r) for r in runs]))
     assert [m[1] for m in merged] == sorted(x for r in runs for x in r)
     for before, now in zip(merged, merged[1:]):
