@@ -114,11 +114,13 @@ def containment_matches(
         .select(F.col("key_a").alias("item_a"), F.col("key_b").alias("item_b"), F.expr(_strings("text")).alias("item_set"))
         .where("size(item_set) > 0")
     )
-    wanted = candidates.join(item_sets, ["item_a", "item_b"])
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.lower(common.text_of(text_col)).alias("text")).select(
         "doc_id", "text", *common.content_key(F.col("text"))
     )
-    pairs = keyed.join(wanted, ["key_a", "key_b"])
+    # Documents meet their candidates' keys first; an item's strings come last, from a table of the items' size.
+    # Only documents that may be among the candidates are shuffled.
+    met = common.may_hold(keyed, candidates, "key_a").where("may_hold").drop("may_hold").join(candidates, ["key_a", "key_b"])
+    pairs = met.join(item_sets, ["item_a", "item_b"])
     checked = pairs.select(
         "doc_id", "key_a", "key_b", "item_a", "item_b",
         F.size("item_set").cast("long").alias("n_item"),

@@ -37,7 +37,7 @@ END_ID = 2
 WINDOW_TOKENS = 1 << 20
 LINEAR_COST = 1.0
 QUADRATIC_COST = 1.0 / 4096
-CACHE_ENTRIES = 400_000  # of each of the two caches; BLOCK_CHARS bounds what one text can add
+CACHE_ENTRIES = 300_000  # words and pieces; BLOCK_CHARS bounds what one text can add
 BLOCK_CHARS = 1 << 18
 
 # Texts of these characters alone take the cached path; lower-casing them is
@@ -60,32 +60,22 @@ class Encoder:
         self.bare = Tokenizer.from_str(json.dumps(spec))
         self.bare.encode_special_tokens = True
         self.model = self.bare.model
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _learn_pieces(self, pieces: list[str]) -> None:
-        if len(self.pieces) + len(pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        known = self.pieces
-        tokenize = self.model.tokenize
-        for piece in pieces:
-            if piece.isascii():  # visible ASCII stands for itself in the byte alphabet, so the merges apply directly
-                known[piece] = b"".join([token.id.to_bytes(4, "little") for token in tokenize(piece)])
-            else:
-                ids = self.bare.encode(piece, add_special_tokens=False).ids
-                known[piece] = b"".join([i.to_bytes(4, "little") for i in ids])
-
-    def _learn_words(self, words: set[str]) -> None:
-        split = {w: _PIECES.findall(w) for w in words}
-        for _ in range(2):  # a second time only if the first emptied the cache
-            missing = {p for pieces in split.values() for p in pieces if p not in self.pieces}
-            if missing:
-                self._learn_pieces(list(missing))
-        if len(self.words) + len(words) > CACHE_ENTRIES:
-            self.words.clear()
-        known = self.pieces
-        for word, pieces in split.items():
-            self.words[word] = b"".join([known[p] for p in pieces])
+        self.known: dict[str, bytes] = {}  # words and the pieces they are made of
+
+    def _learn(self, words: set[str]) -> None:
+        known, tokenize = self.known, self.model.tokenize
+        for word in words:
+            pieces = _PIECES.findall(word)
+            for piece in pieces:
+                if piece in known:
+                    continue
+                if piece.isascii():  # visible ASCII stands for itself in the byte alphabet, so the merges apply directly
+                    known[piece] = b"".join([token.id.to_bytes(4, "little") for token in tokenize(piece)])
+                else:
+                    ids = self.bare.encode(piece, add_special_tokens=False).ids
+                    known[piece] = b"".join([i.to_bytes(4, "little") for i in ids])
+            if len(pieces) != 1:
+                known[word] = b"".join([known[p] for p in pieces])
 
     def block(self, text: str) -> bytes:
         """Ids of a text that begins and ends at white space, as little-endian 32-bit numbers."""
@@ -93,10 +83,13 @@ class Encoder:
         if "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         words = text.lower().split()
-        missing = set(words).difference(self.words)
+        missing = set(words).difference(self.known)
         if missing:
-            self._learn_words(set(words) if len(self.words) + len(missing) > CACHE_ENTRIES else missing)
-        known = self.words
+            if len(self.known) + len(missing) > CACHE_ENTRIES:
+                self.known.clear()
+                missing = set(words)
+            self._learn(missing)
+        known = self.known
         return b"".join([known[w] for w in words])
 
     def ids(self, text: str) -> np.ndarray:
@@ -161,7 +154,7 @@ def _window_rows(pieces: list[tuple], base: int, with_ids: bool) -> tuple[list[t
         doc_id, first, ids, doc_tokens = pieces[piece]
         part = ids[start:start + n]
         row = (doc_id, first + start, n, zlib.crc32(part.tobytes()), doc_tokens, base + seq, offsets[seq])
-        rows.append(row + ((part.astype("int32").tolist(),) if with_ids else ()))
+        rows.append(row + ((part.astype("int32"),) if with_ids else ()))
         offsets[seq] += n
     return rows, base + len(caps)
 

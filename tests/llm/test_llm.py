@@ -353,6 +353,28 @@ def test_passages_cover_every_repeated_window_behind_partial_holders(spark):
         assert len(lost) <= 1  # the first one is a partner only
 
 
+def test_recall_of_changed_passages(spark):
+    """Pairs of texts that share 60 or 120 words, every n-th of them changed in one; figures as in the README."""
+    rng = random.Random(17)
+    data, kinds = [], {}
+    for size in (60, 120):
+        for every in (30, 20, 15, 12):
+            for _ in range(40):
+                shared = prose(rng, size, 999).split()
+                changed = [f"changed{rng.random()}" if k % every == every // 2 else w for k, w in enumerate(shared)]
+                kinds[len(data) + 1] = (size, every)
+                for part in (shared, changed):
+                    data.append((len(data), " ".join([prose(rng, 50, 999), *part, prose(rng, 50, 999)])))
+    got = passages.repeated_passages(spark.createDataFrame(data, "doc_id long, text string").repartition(4)).collect()
+    pairs = {tuple(sorted((r.doc_id, r.partner_id))) for r in got}
+    assert all(a % 2 == 0 and b == a + 1 for a, b in pairs)  # nothing else is found
+    found = Counter(kinds[b] for _, b in pairs)
+    recall = {k: found[k] / 40 for k in set(kinds.values())}
+    print(sorted(recall.items()))
+    assert all(recall[size, 30] >= 0.9 for size in (60, 120)) and recall[120, 20] >= 0.9 and recall[120, 15] >= 0.9
+    assert recall[60, 20] >= 0.7 and recall[120, 12] >= 0.7
+
+
 def test_chaining_prefers_the_collinear_matches():
     chain = passages.chains([(0, 100), (10, 110), (20, 5), (20, 120), (30, 130)])[0]
     assert chain == [(0, 100), (10, 110), (20, 120), (30, 130)]
