@@ -6,12 +6,15 @@ word shingles. Two fingerprints link at ``max_bits`` or fewer differing bits.
 The 64 bits are sixteen segments of four around a ring. If at most three bits
 differ, then from some segment on every chain of l consecutive segments holds
 at most l * 3 / 16 of the differences (pigeonring principle): none in the first
-five segments, at most one in ten, two in fifteen. So fingerprints meet by the
-20 bits of five segments in a row, from each of the sixteen starts, and the
-chain sums prune a pair before the full Hamming check. A meeting place with
-too many fingerprints is cut into chunks, and each pair of chunks is a task of
-its own. A task returns no pairs but one link per fingerprint to the first of
-its local component, so dense groups stay linear.
+five segments, at most one in ten, two in fifteen. The one difference that the
+sixth to tenth segment may hold lies in one third of their 20 bits, so the other
+two thirds agree. Fingerprints meet, from each of the sixteen starts, by the
+first five segments and two of the three thirds behind them: 33 or 34 bits, so
+strangers hardly ever meet, even among billions of fingerprints. The chain sums
+prune a pair before the full Hamming check. A meeting place with too many
+fingerprints is cut into chunks, and each pair of chunks is a task of its own.
+A task returns no pairs but one link per fingerprint to the first of its local
+component, so dense groups stay linear.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any
 other; a text shorter than a shingle is one shingle; repeated rows share a
@@ -36,7 +39,8 @@ SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 16, 4
-KEY_BITS = 20        # five segments: the longest chain that may hold no difference
+CHAIN_BITS = 40      # ten segments: none of the differences in the first five, at most one in the others
+THIRDS = (0b1111111 << 13, 0b1111111 << 6, 0b111111)  # of the last five segments' bits
 CHUNK = 2048         # fingerprints of one meeting place that are compared in one go
 
 
@@ -130,9 +134,13 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """Edges (u, v) that connect all fingerprints within ``max_bits``; ``fps`` has one distinct column fp."""
     if not 0 <= max_bits < SEGMENTS // 5 + 1:
         raise ValueError("five segments without a difference need max_bits of at most 3")
-    places = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("t")).select(
+    turned = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))).alias("t")).select(
         "t", F.expr(f"shiftleft(fp, {SEGMENT_BITS} * t) | IF(t = 0, 0L, shiftrightunsigned(fp, 64 - {SEGMENT_BITS} * t))").alias("rot")
-    ).select(F.expr(f"shiftleft(cast(t AS bigint), {KEY_BITS}) | shiftrightunsigned(rot, {64 - KEY_BITS})").alias("key"), "rot")
+    )
+    # The number of the start and of the third left out, then the chain without that third.
+    chain = f"shiftrightunsigned(rot, {64 - CHAIN_BITS})"
+    keys = [f"shiftleft(t * {len(THIRDS)}L + {i}, {CHAIN_BITS}) | ({chain} & ~{third}L)" for i, third in enumerate(THIRDS)]
+    places = turned.select(F.explode(F.expr(f"array({', '.join(keys)})")).alias("key"), "rot")
     hot = common.materialise(
         places.groupBy("key").count().where(F.col("count") > CHUNK)
         .select("key", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks")),
@@ -166,7 +174,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
                 u.append(pairs[:, 0] + starts[g])
                 v.append(pairs[:, 1] + starts[g])
             u, v = np.concatenate(u), np.concatenate(v)
-            turn = (key >> KEY_BITS).astype(np.uint64) * np.uint64(SEGMENT_BITS)
+            turn = ((key >> CHAIN_BITS) // len(THIRDS)).astype(np.uint64) * np.uint64(SEGMENT_BITS)
             back = np.where(turn == 0, values, (values >> turn) | (values << ((np.uint64(64) - turn) % np.uint64(64))))
             back = back.view(np.int64)
             return pd.DataFrame({"u": back[u], "v": back[v]})

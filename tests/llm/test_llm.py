@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 pytest.importorskip("recordloom.llm")
@@ -423,6 +425,35 @@ def test_links_of_dense_groups_in_chunks(spark, monkeypatch):
     assert len({r.v for r in edges}) == 1 and len(group) == 300
 
 
+def test_every_difference_of_three_bits_has_a_meeting_place():
+    diffs = [sum(1 << b for b in bits) for n in range(1, 4) for bits in itertools.combinations(range(64), n)]
+    x = np.array(diffs, dtype=np.uint64)
+    met = np.zeros(len(x), dtype=bool)
+    for t in range(0, 64, simhash.SEGMENT_BITS):
+        rot = (x << np.uint64(t)) | (x >> np.uint64(64 - t)) if t else x
+        chain = rot >> np.uint64(64 - simhash.CHAIN_BITS)
+        same = np.zeros(len(x), dtype=bool)
+        for third in simhash.THIRDS:
+            same |= (chain & ~np.uint64(third)) == 0
+        met |= same & simhash._close(rot, 3)
+    assert met.all()
+
+
+@pytest.mark.parametrize("max_bits", [0, 1, 3])
+def test_links_are_those_of_brute_force(spark, max_bits):
+    rng = random.Random(max_bits)
+    fps = []
+    for _ in range(400):  # pairs at 1 to 5 bits, spread or side by side
+        a, n, at = rng.getrandbits(64), rng.randint(1, 5), rng.randrange(64)
+        bits = rng.sample(range(64), n) if rng.random() < 0.5 else [(at + i) % 64 for i in range(n)]
+        fps += [a, a ^ sum(1 << b for b in bits)]
+    fps += [0, (1 << 64) - 1, 7, 1 << 63]
+    want = {frozenset((a, b)) for a, b in itertools.combinations(set(fps), 2) if (a ^ b).bit_count() <= max_bits}
+    signed = [(x - (1 << 64) if x >> 63 else x,) for x in set(fps)]
+    found = simhash.links(spark.createDataFrame(signed, "fp long"), max_bits).collect()
+    assert {frozenset((r.u & (1 << 64) - 1, r.v & (1 << 64) - 1)) for r in found} == want
+
+
 def test_decontamination_matches_brute_force(spark, docs):
     rng = random.Random(8)
     texts = [r[1] for r in rows()]
