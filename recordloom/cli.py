@@ -190,7 +190,7 @@ def cmd_watch(a: argparse.Namespace) -> None:
                          ministry=lambda: _read_tables(spark, a.tables, required=False)["ministryofhomeaffairs"],
                          authority=lambda: _read_tables(spark, a.tables, required=False)["ib_authority"],
                          state=lambda: _read_tables(spark, a.tables, required=False)["state"], template=template,
-                         run_date=_date(a.run_date), out=a.out, batch_size=a.batch_size)
+                         run_date=_date(a.run_date), out=a.out, batch_size=a.batch_size, fold_after=a.fold_after)
     src = stream_source(spark, a.incoming, APPLICANT_SCHEMA, max_files_per_trigger=a.max_files)
     run_with_restarts(lambda: job.start(src, f"{a.out}/_checkpoint", once=a.once, poll_seconds=a.poll))
 
@@ -252,6 +252,7 @@ def parser() -> argparse.ArgumentParser:
             s.add_argument("--incoming", required=True)
             s.add_argument("--poll", type=int, default=DEFAULT_POLL_SECONDS)
             s.add_argument("--once", action="store_true", help="process what is there and stop")
+            s.add_argument("--fold-after", type=int, default=200, help="micro-batches after which the ledger's small folders are folded")
             s.add_argument("--max-files", type=int, help="cap on new files per micro-batch (bounds a backlog)")
     s = sub.add_parser("compact", help="fold the ledger into a new copy of the tables")
     s.add_argument("--tables", required=True)

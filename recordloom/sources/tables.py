@@ -23,6 +23,23 @@ def read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def folder_ids(spark: SparkSession, path: str, name: str, finished: bool = True) -> list[int]:
+    """Values of the folders ``<path>/<name>=<value>``, ascending; ``finished``: only those a write has completed.
+
+    One listing of names: no file is opened.
+    """
+    fs = spark._jvm.org.apache.hadoop.fs
+    pattern = fs.Path(f"{path}/{name}=*" + ("/_SUCCESS" if finished else ""))
+    found = [f.getPath() for f in pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []]
+    return sorted(int((p.getParent() if finished else p).getName().split("=", 1)[1]) for p in found)
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def scan_sheet(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv",
                schema: T.StructType | None = None, with_row_order: bool = True,
                line_breaks_in_cells: bool = True) -> DataFrame:

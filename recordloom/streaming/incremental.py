@@ -14,6 +14,13 @@ All outputs go to ``<out>/<table>/micro_batch=<id>``. A replayed micro-batch
 starts from the same pending table, overwrites exactly its own folders and
 ignores its own earlier ledger rows, so a restart from the checkpoint gives the
 same ledger (exactly-once by idempotent writes).
+
+A watch that runs for long makes many small folders. Every ``fold_after``
+micro-batches the finished ones' ledger is folded into one folder per key
+bucket (``ledger_folded/upto=<id>``); readers take the newest completed fold
+and the micro-batches behind it. Of the pending tables, only the one that a
+replay would start from is kept beside the newest. So what a poll lists and
+reads doesn't grow with the number of polls before it.
 """
 
 from __future__ import annotations
@@ -33,10 +40,11 @@ from ..operators import joins, numbering, render, select
 from ..plans.pipelines import Registry, certificate_records
 from ..schemas import APPLICANT_SCHEMA, DEFAULT_BATCH_SIZE, DEFAULT_POLL_SECONDS, LEDGER_SCHEMA, STATUS_PRINTED
 from ..session import staged
-from ..sources.tables import read_if_exists
+from ..sources.tables import drop_folder, folder_ids, read_if_exists
 
 LEDGER_COLUMNS = LEDGER_SCHEMA
 LEDGER_BUCKETS = 128  # folders of the ledger by key hash, so a lookup of few keys reads few of them
+FOLD_AFTER = 200      # micro-batches whose ledger folders are folded into one per key bucket
 PENDING = [*[f.name for f in APPLICANT_SCHEMA], "reason"]
 NO_PARENT = "no parent record"
 
@@ -69,6 +77,7 @@ class IncrementalJob:
     batch_size: int = DEFAULT_BATCH_SIZE
     mark: bool = True
     suppress_blank_lines: bool = True
+    fold_after: int = FOLD_AFTER
     batches_seen: list[int] = field(default_factory=list)
     failures: dict[int, int] = field(default_factory=dict)
 
@@ -85,13 +94,41 @@ class IncrementalJob:
         empty.write.mode("overwrite").parquet(self.path("ledger", -1) + "/key_bucket=0")
 
     def ledger(self, before_batch: int | None = None) -> DataFrame:
+        """All ledger rows (but those of ``before_batch``): the newest fold, and the micro-batches behind it."""
         schema = T.StructType([*LEDGER_COLUMNS.fields, T.StructField("micro_batch", T.LongType()),
                                T.StructField("key_bucket", T.IntegerType())])
         led = self.spark.read.schema(schema).parquet(self.path("ledger"))
+        folds = folder_ids(self.spark, self.path("ledger_folded"), "upto")
+        if folds:
+            folded = self.spark.read.schema(schema).parquet(f"{self.path('ledger_folded')}/upto={folds[-1]}")
+            led = folded.unionByName(led.filter(F.col("micro_batch") > F.lit(folds[-1])))
         if before_batch is not None:
             led = led.filter(F.col("micro_batch") != F.lit(before_batch))
         return led
 
+    def fold_ledger(self, before_batch: int) -> None:
+        """Fold the ledger of the micro-batches before ``before_batch`` if ``fold_after`` of them are not folded yet.
+
+        A fold counts once its write is complete; until then the folders it
+        was made of are read. They are deleted at the next fold only, so a
+        reader that began under the fold before still finds its files.
+        """
+        at, folds = self.path("ledger_folded"), folder_ids(self.spark, self.path("ledger_folded"), "upto")
+        last = folds[-1] if folds else -1
+        kept = [i for i in folder_ids(self.spark, self.path("ledger"), "micro_batch", finished=False) if i >= 0]
+        new = [i for i in kept if last < i < before_batch]
+        if len(new) < max(self.fold_after, 1):
+            return
+        # Rebalanced, not repartitioned: small buckets share a task, a large one is split over several.
+        (self.ledger().filter(F.col("micro_batch") <= F.lit(new[-1])).hint("rebalance", "key_bucket")
+             .write.mode("overwrite").partitionBy("key_bucket").parquet(f"{at}/upto={new[-1]}"))
+        for i in kept:
+            if i <= last:
+                drop_folder(self.spark, self.path("ledger", i))
+        for i in folder_ids(self.spark, at, "upto", finished=False):
+            if i < last:
+                drop_folder(self.spark, f"{at}/upto={i}")
+
     def ledger_of(self, keys: DataFrame, before_batch: int | None = None) -> DataFrame:
         """The ledger's folders that can hold one of the keys (column ``file_number``).
 
@@ -103,15 +140,15 @@ class IncrementalJob:
 
     def pending(self, before_batch: int | None = None) -> DataFrame | None:
         """Rows still unprinted after the last micro-batch (before ``before_batch``), with the reason; None before the first."""
-        found = read_if_exists(self.spark, self.path("pending"))
-        if found is None:
+        written = self._pending_ids(before_batch)
+        if not written:
             return None
-        if before_batch is not None:
-            found = found.filter(F.col("micro_batch") < F.lit(before_batch))
-        last = found.agg(F.max("micro_batch")).first()[0]  # a folder value; an empty table keeps a marker row
-        if last is None:
-            return None
-        return found.filter((F.col("micro_batch") == F.lit(last)) & F.col("file_number").isNotNull()).select(*PENDING)
+        # An empty table keeps a marker row.
+        return self.spark.read.parquet(self.path("pending", written[-1])).filter("file_number IS NOT NULL").select(*PENDING)
+
+    def _pending_ids(self, before_batch: int | None) -> list[int]:
+        ids = folder_ids(self.spark, self.path("pending"), "micro_batch")
+        return [i for i in ids if before_batch is None or i < before_batch]
 
     # -- one micro-batch -----------------------------------------------------
     def process(self, batch: DataFrame, batch_id: int) -> None:
@@ -119,6 +156,8 @@ class IncrementalJob:
         self.batches_seen.append(batch_id)
         ministry, authority, state = (d() if callable(d) else d for d in (self.ministry, self.authority, self.state))
         fact = select.active_table(self.to_fact(batch)).withColumn("reason", F.lit(None).cast("string"))
+        if self.mark:
+            self.fold_ledger(batch_id)
         waiting = self.pending(batch_id) if self.mark else None
         if waiting is not None:
             # A record that comes again replaces its pending row.
@@ -161,6 +200,8 @@ class IncrementalJob:
         marker = self.spark.createDataFrame([(None,) * len(PENDING)], T.StructType(
             [T.StructField(f.name, f.dataType) for f in left.schema]))
         left.unionByName(marker).write.mode("overwrite").parquet(self.path("pending", batch_id))
+        for i in self._pending_ids(batch_id)[:-1]:  # the last one is where a replay of this micro-batch starts from
+            drop_folder(self.spark, self.path("pending", i))
 
     def guarded(self, batch: DataFrame, batch_id: int) -> None:
         """:meth:`process`; a micro-batch that fails twice goes to the dead-letter folder and the stream goes on.

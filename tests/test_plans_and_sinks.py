@@ -349,6 +349,44 @@ def test_ledger_lookup_reads_few_folders(spark, scratch):
     assert buckets <= 2 and incremental.LEDGER_BUCKETS > 50
 
 
+def test_folded_ledger_stays_whole_and_small(spark, scratch):
+    """Folds, a fold that crashes, and replays: the ledger is what it would be without them, in few folders."""
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    plain, job = _job(spark, os.path.join(scratch, "plain"), SF_SMALL), _job(spark, os.path.join(scratch, "out"), SF_SMALL)
+    job.fold_after = 2
+    part = lambda i: orders.filter(F.col("o_orderkey") % 7 == i)
+    rows_of = lambda j: sorted(tuple(r) for r in j.ledger().drop("key_bucket").collect())
+    for j in (plain, job):
+        j.init_ledger()
+    folders = lambda t: sorted(n for n in os.listdir(f"{job.out}/{t}") if "=" in n)
+    for i in range(7):
+        plain.process(part(i), i)
+        job.process(part(i), i)
+        if i == 2:
+            assert folders("ledger_folded") == ["upto=1"]
+            # Still there for readers that began before the fold, but not read twice.
+            assert {"micro_batch=0", "micro_batch=1"} <= set(folders("ledger"))
+        if i == 3:  # a fold that stopped before it was complete doesn't count
+            half = f"{job.out}/ledger_folded/upto=3"
+            os.makedirs(f"{half}/key_bucket=0")
+            assert rows_of(job) == rows_of(plain)
+        if i in (4, 5):  # replayed, with a fold made by the first attempt
+            job.process(part(i), i)
+        assert rows_of(job) == rows_of(plain)
+        assert sorted(tuple(r) for r in job.pending().collect()) == sorted(tuple(r) for r in plain.pending().collect())
+        assert len(folders("pending")) <= 2
+    assert folders("ledger_folded") == ["upto=3", "upto=5"] and folders("ledger") == [
+        "micro_batch=-1", "micro_batch=4", "micro_batch=5", "micro_batch=6"]
+    assert job.ledger().select("file_number").distinct().count() == job.ledger().count()
+    # What is printed already is found in the fold.
+    n = job.ledger().count()
+    job.process(orders, 7)
+    assert job.ledger().count() == n
+    key = job.ledger().filter("micro_batch = 1").agg(F.min("file_number")).first()[0]
+    keys = spark.createDataFrame([(key,)], "file_number string")
+    assert job.ledger_of(keys).join(keys, "file_number", "left_semi").count() == 1
+
+
 def test_a_poisoned_file_does_not_end_the_watch(spark, scratch):
     src, out = os.path.join(scratch, "incoming"), os.path.join(scratch, "out")
     orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
