@@ -19,8 +19,8 @@ A watch that runs for long makes many small folders. Every ``fold_after``
 micro-batches the finished ones' ledger is folded into one folder per key
 bucket (``ledger_folded/upto=<id>``); readers take the newest completed fold
 and the micro-batches behind it. Of the pending tables, only the one that a
-replay would start from is kept beside the newest. So what a poll lists and
-reads doesn't grow with the number of polls before it.
+replay would start from is kept beside the newest. So the folders that a poll
+lists don't grow in number with the polls before it.
 """
 
 from __future__ import annotations
