@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor
 kept. All but the last return the columns of ``documents``; the last returns
 the pieces of the packed sequences.
+
+Defined cases: a null or empty text has too few words and goes in the first
+stage; a null source is a host of its own; a text that loses all its lines
+stays as an empty one, of which the near-duplicate stage keeps the least id;
+other columns are dropped; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -60,8 +65,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-# Fingerprints and token ids are beyond SQL. The tests compare every stage's operator with brute force, except the
-# removal of boilerplate lines and the whole run(), of which they check columns and documents only.
+# Fingerprints and token ids are beyond SQL. The tests compare run() with brute force over a fixture.
 ORACLE_SQL = None
 
 
