@@ -355,6 +355,37 @@ def test_passages_cover_every_repeated_window_behind_partial_holders(spark):
         assert len(lost) <= 1  # the first one is a partner only
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_passages_pair_every_two_texts_whoever_comes_first(spark, monkeypatch, hot):
+    monkeypatch.setattr(passages, "HOT", hot)
+    rng = random.Random(31)
+    texts, wanted, exact = [], set(), []
+    for k in range(12):
+        shared = prose(rng, 64, 999).split()
+        changed = [f"changed{k}" if i in (20, 42) else w for i, w in enumerate(shared)]
+        n = len(texts)
+        # parts of the passage stand elsewhere too; the passage itself, changed, in three texts
+        for part in (shared[:21], shared[20:42], shared[42:], shared, changed, [*shared[:30], "other", *shared[31:]]):
+            texts.append(" ".join([prose(rng, 30, 999), *part, prose(rng, 30, 999)]))
+        wanted |= {(n + 3, n + 4), (n + 3, n + 5), (n + 4, n + 5)}
+    for _ in range(6):  # two passages of a pair with much between them
+        one, two = prose(rng, 60, 999), prose(rng, 60, 999)
+        wanted.add((len(texts), len(texts) + 1))
+        exact.append((len(texts), len(texts) + 1))
+        texts += [" ".join([one, prose(rng, 80, 999), two, prose(rng, 20, 999)]) for _ in range(2)]
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+    pairs = Counter(tuple(sorted((r.doc_id, r.partner_id))) for r in got)
+    assert set(pairs) <= wanted
+    if hot == 64:
+        assert set(pairs) == wanted
+    assert all(pairs[p] == 2 for p in exact)  # each of the two passages
+
+
+def test_hot_passages_cover_every_repeated_window(spark, monkeypatch):
+    monkeypatch.setattr(passages, "HOT", 1)
+    test_passages_cover_every_repeated_window_behind_partial_holders(spark)
+
+
 def test_recall_of_changed_passages(spark):
     """Pairs of texts that share 60 or 120 words, every n-th of them changed in one; figures as in the README."""
     rng = random.Random(17)
