@@ -45,9 +45,28 @@ def first_per_key(df: DataFrame, key: str | Sequence[str], order: str | Column =
 
 def insert_ignore(new_rows: DataFrame, target: DataFrame | None, key: str,
                   order: str | Column = ORDER_COL) -> DataFrame:
-    """OP-49: rows to append: first per key, and only keys not yet in ``target``."""
-    first = first_per_key(new_rows, key, order)
-    return joins.anti_existing(first, target, key) if target is not None else first
+    """OP-49: rows to append: first per key, and only keys not yet in ``target``.
+
+    Whole rows are long. A row whose key (by a hash) no other row and no row of
+    the target has is one to append and stays where it is. Of the others, only
+    those that may be the first of their key, by their key and order alone, are
+    ranked and compared with the target as whole rows.
+    """
+    keyed = new_rows.filter(F.col(key).isNotNull()).withColumn("__hash", F.xxhash64(key))
+    hashes = keyed.select("__hash", F.lit(1).alias("n"))
+    if target is not None:
+        old = target.select(F.xxhash64(F.col(key).cast(new_rows.schema[key].dataType)).alias("__hash"), F.lit(1).alias("n"))
+        hashes = hashes.unionByName(old)
+    contested = staged(hashes.groupBy("__hash").agg(F.sum("n").alias("n")).filter("n > 1").select("__hash"), "contested-keys")
+    tested = joins.may_hold(keyed, contested, "__hash").withColumnRenamed("may_hold", "__contested")
+    alone = tested.filter("NOT __contested").select(*new_rows.columns)
+    several = tested.filter("__contested").drop("__contested")
+
+    rank = order if isinstance(order, Column) else F.col(order)
+    several = several.withColumn("__order", rank).withColumn("__hash", F.xxhash64(F.col(key), F.col("__order")))
+    firsts = staged(first_per_key(several.select(key, "__order", "__hash"), key, "__order").select("__hash"), "first-keys")
+    first = first_per_key(joins.may_hold(several, firsts, "__hash").filter("may_hold"), key, "__order").select(*new_rows.columns)
+    return alone.unionByName(joins.anti_existing(first, target, key) if target is not None else first)
 
 
 def first_pairs(df: DataFrame, key: str, value: str, order: str = ORDER_COL) -> DataFrame:
