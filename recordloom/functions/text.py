@@ -125,9 +125,9 @@ def to_text(x: str | Column) -> Column:
 
 
 def is_missing(x: str | Column) -> Column:
-    """SF-15: NULL or whitespace-only."""
+    """SF-15: NULL or whitespace-only (:func:`strip` leaves nothing), decided at the first other character."""
     c = _c(x)
-    return c.isNull() | (strip(c) == F.lit(""))
+    return c.isNull() | ~c.cast("string").rlike(r"(?U)\S")
 
 
 def join_names(flags: Iterable[tuple[str, Column]], sep: str = ", ") -> Column:

@@ -4,6 +4,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from recordloom.functions import text as tx
 
@@ -141,3 +142,14 @@ def test_apply_ledger_matches_python(spark, entries):
     for f, s, r in sorted(entries, key=lambda t: t[2]):
         expected[f] = s
     assert got == expected
+
+
+def test_missing_is_decided_at_the_first_other_character(spark):
+    blank = ["", " ", "\t\n\x0b\f\r", "  　", "\x85 "]
+    full = ["a", " a", " .　", "\x00", "​", "\n\U0001f600\n"]
+    df = spark.createDataFrame([(v,) for v in [None, *blank, *full]], "s string")
+    marked = df.select("s", tx.is_missing("s").alias("missing"), (F.col("s").isNull() | (tx.strip("s") == "")).alias("stripped"))
+    got = {r["s"]: (r["missing"], r["stripped"]) for r in marked.collect()}
+    assert got == {v: (v not in full, v not in full) for v in [None, *blank, *full]}
+    # No copy of the cell is made for the test.
+    assert "regexp_replace" not in df.select(tx.is_missing("s"))._jdf.queryExecution().optimizedPlan().toString()
