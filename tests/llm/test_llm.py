@@ -412,6 +412,48 @@ def test_chaining_prefers_the_collinear_matches():
     assert chain == [(0, 100), (10, 110), (20, 120), (30, 130)]
 
 
+def test_seeds_of_many_texts_are_those_of_each(monkeypatch):
+    rng = random.Random(23)
+    texts = [prose(rng, n, 999) for n in (0, 1, 4, 5, 6, 21, 22, 23, 60, 300)] * 3 + ["", " \t x\x0b", "a a a a " * 60]
+    keys, owner, at = passages.seeds_of(texts)
+    for i, text in enumerate(texts):
+        mers = passages.mers_of(passages.hashes_of(text.encode().lower().split()), passages.K)
+        wanted = {j for j, m in enumerate(mers.tolist()) if m < int(passages.SHARE * 2**64)}
+        width = min(passages.WINDOW, len(mers))
+        wanted |= {j + int(mers[j:j + width].argmin()) for j in range(len(mers) - width + 1) if width}
+        assert at[owner == i].tolist() == sorted(wanted)
+        assert keys[owner == i].tolist() == mers[sorted(wanted)].tolist()
+    monkeypatch.setattr(passages, "CHUNK", 10)
+    assert list(passages.chunks([3, 9, 25, 2])) == [slice(0, 2), slice(2, 3), slice(3, 4)] and not list(passages.chunks([]))
+
+
+def test_scores_in_line_are_those_of_the_tree():
+    rng = random.Random(29)
+    for _ in range(300):
+        n = rng.randint(0, 14)
+        matches = list(zip(*(sorted(rng.sample(range(400), n)) for _ in "ab")))
+        assert passages._scores_in_line(matches) == passages._scores(matches)
+
+
+def test_passages_take_texts_apart_once(spark, monkeypatch):
+    """Places are those of the whole texts' words, whatever stands between them; words are cut from the text taken apart before."""
+    rng = random.Random(31)
+    shared = prose(rng, 60, 999).split()
+    here, there = prose(rng, 100, 999).split(), prose(rng, 90, 999).split()
+    changed = [*shared[:30], "changed", *shared[31:]]
+    texts = ["\n\t" + " \x0b\r ".join(here + shared).upper() + "\f ", "  ".join([*there, *changed, *here[:45]])]
+    made = {}
+    whole = passages.common.materialise
+    monkeypatch.setattr(passages.common, "materialise", lambda df, name: made.setdefault(name, df) and whole(df, name))
+    got = passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    spans = {min((r.first_word, r.partner_first), (r.partner_first, r.first_word)): r for r in got}
+    assert len(got) == 2
+    for (a, b), n, identity in (((90, 100), 60, round(59 / 60, 6)), ((0, 150), 45, 1.0)):
+        r = spans[(a, b)]
+        assert r.end_word - r.first_word == n == r.partner_end - r.partner_first and r.identity == identity
+    assert "regexp" not in made["passages"]._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_fingerprint_and_components_match_brute_force(spark, docs):
     import xxhash
 
